@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,22 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelrisk.llm.common import space_chunks
+from parcelrisk.llm.common import Memo, space_chunks
 
 
 class Codec:
     """Encoder and decoder of one rank file (base64 bytes and rank on each line)."""
 
-    def __init__(self, path: str, pattern: str, cache_words: int = 500_000, leaf: int = 4) -> None:
+    def __init__(self, path: str, pattern: str, cache_words: int = 500_000, leaf: int = 7) -> None:
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.find, self.cache_words, self.leaf = regex.compile(pattern).findall, cache_words, leaf
-        self.cache: dict[str, bytes] = {}
+        self.cache = Memo(lambda c: self.chunk(" " + c))
         self.stable_pairs: dict[tuple[int, int], bool] = {}
         self.merges: dict[bytes, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def window(self, piece: bytes) -> list[int]:
         """``merge``, remembered: leaves and boundary windows are syllables that many words share."""
@@ -93,25 +95,30 @@ class Codec:
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
-    def piece(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.tree(piece)
+    def piece(self, text: str) -> list[int]:
+        """Ids of one match of the pattern: a piece that is a token is that token, any other goes through the tree."""
+        known = self.pieces.get(text)
+        if known is None:
+            piece = text.encode()
+            whole = self.ranks.get(piece)
+            known = [whole] if whole is not None else self.tree(piece)
+            if len(piece) <= 64:
+                self.pieces[text] = known
+        return known
 
     def chunk(self, text: str) -> bytes:
-        return np.array([i for p in self.find(text) for i in self.piece(p.encode())], "<u4").tobytes()
+        found = self.find(text)
+        if len(found) == 1:
+            return array("I", self.piece(found[0])).tobytes()
+        return array("I", [i for p in found for i in self.piece(p)]).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; pieces join by plain concatenation, since none merges with its neighbour."""
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        out, cache = [], self.cache
-        for t in texts:
-            head, *rest = space_chunks(t or "")
-            for c in rest:
-                if c not in cache:
-                    cache[c] = self.chunk(" " + c)
-            out.append(self.chunk(head) + b"".join(map(cache.__getitem__, rest)))
-        return out
+            self.pieces.clear()
+        rows, of = [space_chunks(t or "") for t in texts], self.cache.__getitem__
+        return [self.chunk(head) + b"".join(map(of, rest)) for head, *rest in rows]
 
     def decode(self, ids: bytes, fan: int = 4096) -> bytes:
         """Bytes of little-endian unsigned 32-bit ids: runs of ``fan`` tokens become strings, which join level by level."""

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,22 @@ def space_chunks(text: str) -> list[str]:
     space put back) can be encoded by itself.
     """
     return _INNER.split(text) if _ODD.search(text) else text.split(" ")
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary file stands for: printable Latin-1 characters are themselves, the others follow from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Memo(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.make(key)
+        return value

@@ -7,6 +7,7 @@ bins as a window has tokens however large the corpus is; pieces then find their
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,31 +18,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parcelrisk.llm.common import Scratch, space_chunks
+from parcelrisk.llm.common import Memo, Scratch, byte_letters, space_chunks
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Encoder:
-    """ids of a byte-level vocabulary file, encoded by its library; chunks that a worker has seen come from a dictionary."""
+    """ids of a byte-level vocabulary file. Chunks that a worker has seen come from a dictionary; special strings and the first chunk of a text go to the file's own library, other new chunks to a faster one that holds the same ranks."""
 
-    def __init__(self, path: str, cache_words: int) -> None:
+    def __init__(self, path: str, pattern: str, cache_words: int) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library, self.cache_words = Tokenizer.from_file(path), cache_words
-        self.cache: dict[str, bytes] = {}
-        self.spaced = np.zeros(1 + max(self.library.get_vocab().values()), bool)
-        for token, i in self.library.get_vocab().items():
-            self.spaced[i] = token.startswith("\u0120")
-
-    def encode_words(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that each stand behind a space, encoded as one text and cut where a token starts with a space."""
-        ids = np.array(self.library.encode(" " + " ".join(chunks), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.spaced[ids])
-        if len(at) != len(chunks):  # white space inside a chunk
-            return self.encode([" " + c for c in chunks])
-        raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-        return [raw[a:b] for a, b in zip((4 * at).tolist(), ends, strict=True)]
+        self.cache = Memo(self.encode_word)
+        # the file's own vocabulary as ranks: its ids stand in the order of its merges, so both libraries give the same ids
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        letters = byte_letters()
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in self.library.get_vocab().items() if t not in self.special}
+        self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_word(self, chunk: str) -> bytes:
+        """Ids of a chunk behind a space."""
+        if any(s in chunk for s in self.special):
+            return self.encode([" " + chunk])[0]
+        return array("I", self.fast.encode_ordinary(" " + chunk)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -50,25 +51,21 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        rows = [space_chunks(t or "") for t in texts]
-        fresh = list({c for row in rows for c in row[1:] if c not in self.cache})
-        for lo in range(0, len(fresh), 2_000):
-            part = fresh[lo : lo + 2_000]
-            self.cache.update(zip(part, self.encode_words(part), strict=True))
+        rows, of = [space_chunks(t or "") for t in texts], self.cache.__getitem__
         heads = self.encode([row[0] for row in rows])
-        return [head + b"".join(map(self.cache.__getitem__, row[1:])) for head, row in zip(heads, rows, strict=True)]
+        return [head + b"".join(map(of, row[1:])) for head, row in zip(heads, rows, strict=True)]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, cache_words: int) -> Encoder:
-    return Encoder(path, cache_words)
+def encoder(path: str, pattern: str, cache_words: int) -> Encoder:
+    return Encoder(path, pattern, cache_words)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, slice_rows: int = 1_000, cache_words: int = 500_000) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end_id: int = 0, slice_rows: int = 1_000, cache_words: int = 500_000) -> DataFrame:
     """One row per piece of at most ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens. A null text is an empty one; every document ends with ``end_id`` and so has a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(vocabulary, cache_words), np.array([end_id], "<u4").tobytes()
+        code, end = encoder(vocabulary, pattern, cache_words), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for lo in range(0, whole.num_rows, slice_rows):
                 batch = whole.slice(lo, slice_rows)
@@ -152,14 +149,14 @@ def ranked(spark: SparkSession, pieces: DataFrame, total: int, group_rows: int =
     return p.join(sizes, ["length", "salt"]).withColumn("rank", F.col("within") + F.col("first")).drop("salt", "within", "first")
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024) -> DataFrame:
     """Places all documents in sequences of at most ``window`` ids. Returns one row per piece: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset. Each id lies in exactly one piece; pieces of a sequence lie without gaps from offset 0.
     An empty table gives no rows; repeated rows are packed once each; documents without id are packed too.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.write(token_pieces(docs, vocabulary, window), "pieces")
+    pieces = scratch.write(token_pieces(docs, vocabulary, pattern, window), "pieces")
     histogram = np.zeros(window + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # one row a length: at most `window` rows
         histogram[length] = n

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelrisk.llm.common import byte_letters
+
 NO_RANK = np.int32(2**31 - 1)
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 #: Python's str.split() takes these as white space, Unicode does not.
@@ -41,9 +43,7 @@ class MergeTable:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in printable]
-        self.to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+        self.to_byte = byte_letters()
         self.inner, self.last = np.zeros(256, np.int32), np.zeros(256, np.int32)
         for char, byte in self.to_byte.items():
             self.inner[byte], self.last[byte] = vocab[char], vocab[char + end]
