@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelrisk.llm import bpe, embedding_dedup, packing, simhash, token_counts
+from parcelrisk.llm import bpe, embedding_dedup, lm_scoring, packing, simhash, token_counts
 from parcelrisk.llm.common import table
 
 
@@ -50,5 +50,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), lm_scoring.held_out("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL}
