@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelrisk.llm import bpe, embedding_dedup, lm_scoring, packing, simhash, token_counts
+from parcelrisk.llm import bpe, embedding_dedup, lm_scoring, packing, simhash, token_counts, warc
 from parcelrisk.llm.common import table
 
 
@@ -50,9 +50,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), lm_scoring.held_out("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op10_lm_scoring)}
-ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op8_warc, op10_lm_scoring)}
+ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL}
