@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelrisk.llm import bpe, embedding_dedup, lm_scoring, packing, simhash, token_counts, warc
+from parcelrisk.llm import bpe, embedding_dedup, lm_scoring, packing, simhash, token_counts, toxicity, warc
 from parcelrisk.llm.common import table
 
 
@@ -64,9 +64,15 @@ FROM f
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), lm_scoring.held_out("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op8_warc, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op8_warc, op9_toxicity, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL}
