@@ -24,7 +24,7 @@ from parcelrisk.llm.common import Memo, space_chunks
 class Codec:
     """Encoder and decoder of one rank file (base64 bytes and rank on each line)."""
 
-    def __init__(self, path: str, pattern: str, cache_words: int = 500_000, leaf: int = 7) -> None:
+    def __init__(self, path: str, pattern: str, cache_words: int = 150_000, leaf: int = 7) -> None:
         import regex
 
         with open(path, "rb") as f:
@@ -102,6 +102,8 @@ class Codec:
             piece = text.encode()
             whole = self.ranks.get(piece)
             known = [whole] if whole is not None else self.tree(piece)
+            if len(self.pieces) > self.cache_words:
+                self.pieces.clear()
             if len(piece) <= 64:
                 self.pieces[text] = known
         return known
@@ -114,9 +116,8 @@ class Codec:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; pieces join by plain concatenation, since none merges with its neighbour."""
-        if len(self.cache) > self.cache_words:
+        if len(self.cache) > 2 * self.cache_words:
             self.cache.clear()
-            self.pieces.clear()
         rows, of = [space_chunks(t or "") for t in texts], self.cache.__getitem__
         return [self.chunk(head) + b"".join(map(of, rest)) for head, *rest in rows]
 

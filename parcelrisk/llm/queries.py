@@ -6,10 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelrisk.llm import bpe, embedding_dedup, lm_scoring, packing, simhash, token_counts, toxicity, warc
+from parcelrisk.llm import bpe, embedding_dedup, line_dedup, lm_scoring, packing, simhash, token_counts, toxicity, warc
 from parcelrisk.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]{1,200}[.!?]* *\n?|[.!?]+ *\n?|\n') AS lines FROM d),
+u AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM l),
+f AS (SELECT *, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h, ends_with(x, chr(10)) AS nl, length(x) < 40 AS s FROM u),
+g AS (SELECT *, lag(h) OVER w AS ph, lag(nl) OVER w AS pnl FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT *, s AND (nl OR i = n) AND (i = 1 OR pnl) AS alone FROM g),
+b AS (SELECT *, lead(alone) OVER (PARTITION BY doc_id ORDER BY i) AS next_alone FROM a),
+e AS (SELECT *, i = n OR (31 * coalesce(ph, 0) + h) % 12 = 0 OR (nl AND NOT (alone AND coalesce(next_alone, false))) AS last FROM b),
+c AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+t AS (SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS chunk, count(*) AS m FROM c GROUP BY doc_id, k),
+r AS (SELECT *, m > 1 AND length(chunk) >= 80 AND row_number() OVER (PARTITION BY chunk, m > 1 AND length(chunk) >= 80 ORDER BY doc_id, k) > 1 AS gone FROM t),
+o AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, '' ORDER BY k), '') AS text, count(*) FILTER (gone) AS chunks_removed, coalesce(sum(length(chunk)) FILTER (gone), 0)::BIGINT AS chars_removed FROM r GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(o.text, documents.text) AS text, coalesce(o.chunks_removed, 0) AS chunks_removed, coalesce(o.chars_removed, 0) AS chars_removed
+FROM documents LEFT JOIN o ON documents.doc_id = o.doc_id
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -74,5 +96,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), lm_scoring.held_out("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op8_warc, op9_toxicity, op10_lm_scoring)}
-ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op8_warc, op9_toxicity, op10_lm_scoring)}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL}
