@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelrisk.llm import bpe, embedding_dedup, line_dedup, lm_scoring, packing, simhash, token_counts, toxicity, warc
+from parcelrisk.llm import bpe, embedding_dedup, fingerprints, line_dedup, lm_scoring, packing, simhash, token_counts, toxicity, warc
 from parcelrisk.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -96,5 +100,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), lm_scoring.held_out("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op8_warc, op9_toxicity, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_packing, op4_byte_bpe, op5_embedding_dedup, op6_simhash, op7_fingerprints, op8_warc, op9_toxicity, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op8_warc": OP8_SQL}
