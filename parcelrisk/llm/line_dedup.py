@@ -18,44 +18,46 @@ SHORT = 40
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    """k1, k2 name a row: rows of one id with different texts stay apart, also where the id is null."""
-    return docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("k2", F.xxhash64("doc_id", "text"))
+    """__k1, __k2 name a row: rows of one id with different texts stay apart, also where the id is null."""
+    return docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__k2", F.xxhash64("doc_id", "text"))
 
 
 def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
-    """k1, k2, start, len (in characters) and digest of each chunk of at least two lines and ``least_chars`` characters."""
-    d = docs.filter(F.length("text") > 0).select("k1", "k2", F.regexp_extract_all("text", F.lit(LINE), F.lit(0)).alias("lines"))
+    """__k1, __k2, start, len (in characters) and digest of each chunk of at least two lines and ``least_chars`` characters."""
+    d = docs.filter(F.length("text") > 0).select("__k1", "__k2", F.regexp_extract_all("text", F.lit(LINE), F.lit(0)).alias("lines"))
     d = d.withColumn("n", F.size("lines"))
     facts = "transform(lines, x -> named_struct('h', cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint), 'nl', endswith(x, '\\n'), 's', length(x) < {}))"
     d = d.withColumn("f", F.expr(facts.format(SHORT)))
     alone = "f[{i}].s AND (f[{i}].nl OR {i} = n - 1) AND ({i} = 0 OR f[{i} - 1].nl)"  # a short line by itself
+    # inside a line the hash of two lines decides, but not so that one is left alone at either end of it
+    inside = "i > 0 AND NOT f[i - 1].nl AND NOT f[i + 1].nl AND i + 2 < n"
     ends = f"""filter(sequence(0, n - 1), i -> i = n - 1
-        OR (31 * CASE WHEN i > 0 THEN f[i - 1].h ELSE 0L END + f[i].h) % {divisor} = 0
+        OR (({inside}) AND (31 * f[i - 1].h + f[i].h) % {divisor} = 0)
         OR (f[i].nl AND NOT ({alone.format(i="i")} AND {alone.format(i="(i + 1)")})))"""
     d = d.withColumn("ends", F.expr(ends)).drop("f", "n")
     spans = """transform(ends, (e, k) -> named_struct('lines', e - CASE WHEN k = 0 THEN -1 ELSE ends[k - 1] END,
         'chunk', array_join(slice(lines, CASE WHEN k = 0 THEN 1 ELSE ends[k - 1] + 2 END, e - CASE WHEN k = 0 THEN -1 ELSE ends[k - 1] END), '')))"""
-    d = d.select("k1", "k2", F.expr(spans).alias("c"))
+    d = d.select("__k1", "__k2", F.expr(spans).alias("c"))
     sizes = "transform(c, x -> named_struct('lines', x.lines, 'len', length(x.chunk), 'digest', unhex(md5(x.chunk))))"
-    d = d.select("k1", "k2", F.expr(sizes).alias("c"))
+    d = d.select("__k1", "__k2", F.expr(sizes).alias("c"))
     starts = "aggregate(c, named_struct('at', 0, 'all', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x.len, 'all', array_append(a.all, a.at)), a -> a.all)"
     d = d.withColumn("starts", F.expr(starts))
     kept = f"filter(transform(c, (x, k) -> named_struct('start', starts[k], 'len', x.len, 'lines', x.lines, 'digest', x.digest)), x -> x.lines > 1 AND x.len >= {least_chars})"
-    return d.select("k1", "k2", F.expr(f"explode({kept})").alias("x")).select("k1", "k2", "x.start", "x.len", "x.digest")
+    return d.select("__k1", "__k2", F.expr(f"explode({kept})").alias("x")).select("__k1", "__k2", "x.start", "x.len", "x.digest")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars: int) -> DataFrame:
-    """k1, k2, start, len of every chunk that an earlier chunk of the corpus equals byte by byte."""
+    """__k1, __k2, start, len of every chunk that an earlier chunk of the corpus equals byte by byte."""
     all_chunks = scratch.write(chunks(docs, divisor, least_chars), "chunks")
     often = all_chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    candidates = all_chunks.join(often, "digest").select("k1", "k2", "start", "len", "digest")
-    bodies = docs.select("k1", "k2", "text")
-    met = bodies.join(candidates.hint("shuffle_hash"), ["k1", "k2"])
-    met = met.select("k1", "k2", "start", "len", "digest", F.substring("text", F.col("start") + 1, F.col("len")).alias("chunk"))
+    candidates = all_chunks.join(often, "digest").select("__k1", "__k2", "start", "len", "digest")
+    bodies = docs.select("__k1", "__k2", "text")
+    met = bodies.join(candidates.hint("shuffle_hash"), ["__k1", "__k2"])
+    met = met.select("__k1", "__k2", "start", "len", "digest", F.substring("text", F.col("start") + 1, F.col("len")).alias("chunk"))
     met = scratch.write(met, "candidates")
-    place = F.struct("k1", "k2", "start")
+    place = F.struct("__k1", "__k2", "start")
     first = met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return met.join(first, ["digest", "chunk"]).filter(place > F.col("first")).select("k1", "k2", "start", "len")
+    return met.join(first, ["digest", "chunk"]).filter(place > F.col("first")).select("__k1", "__k2", "start", "len")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = 12, least_chars: int = 80) -> DataFrame:
@@ -68,11 +70,11 @@ def dedup_lines(docs: DataFrame, divisor: int = 12, least_chars: int = 80) -> Da
     """
     scratch = Scratch(docs.sparkSession, "lines")
     d = _with_key(docs.drop("chunks_removed", "chars_removed"))
-    spans = repeated_spans(d.select("doc_id", "text", "k1", "k2"), scratch, divisor, least_chars).distinct()
-    cuts = spans.groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("cuts"))
-    out = d.join(cuts.hint("shuffle_hash"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    kept = """array_join(transform(sequence(0, size(cuts)), i -> substring(text, CASE WHEN i = 0 THEN 1 ELSE cuts[i - 1].start + cuts[i - 1].len + 1 END,
-        CASE WHEN i = size(cuts) THEN length(text) ELSE cuts[i].start END - CASE WHEN i = 0 THEN 0 ELSE cuts[i - 1].start + cuts[i - 1].len END)), '')"""
-    out = out.withColumn("chunks_removed", F.expr("CASE WHEN cuts IS NULL THEN 0 ELSE size(cuts) END").cast("long"))
-    out = out.withColumn("chars_removed", F.expr("CASE WHEN cuts IS NULL THEN 0L ELSE aggregate(cuts, 0L, (a, x) -> a + x.len) END"))
-    return out.withColumn("text", F.expr(f"CASE WHEN cuts IS NULL THEN text ELSE {kept} END")).drop("k1", "k2", "c1", "c2", "cuts")
+    spans = repeated_spans(d.select("doc_id", "text", "__k1", "__k2"), scratch, divisor, least_chars).distinct()
+    cuts = spans.groupBy(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2")).agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("__cuts"))
+    out = d.join(cuts.hint("shuffle_hash"), (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
+    kept = """array_join(transform(sequence(0, size(__cuts)), i -> substring(text, CASE WHEN i = 0 THEN 1 ELSE __cuts[i - 1].start + __cuts[i - 1].len + 1 END,
+        CASE WHEN i = size(__cuts) THEN length(text) ELSE __cuts[i].start END - CASE WHEN i = 0 THEN 0 ELSE __cuts[i - 1].start + __cuts[i - 1].len END)), '')"""
+    out = out.withColumn("chunks_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0 ELSE size(__cuts) END").cast("long"))
+    out = out.withColumn("chars_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0L ELSE aggregate(__cuts, 0L, (a, x) -> a + x.len) END"))
+    return out.withColumn("text", F.expr(f"CASE WHEN __cuts IS NULL THEN text ELSE {kept} END")).drop("__k1", "__k2", "__c1", "__c2", "__cuts")

@@ -19,10 +19,10 @@ WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0),
 l AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]{1,200}[.!?]* *\n?|[.!?]+ *\n?|\n') AS lines FROM d),
 u AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM l),
 f AS (SELECT *, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h, ends_with(x, chr(10)) AS nl, length(x) < 40 AS s FROM u),
-g AS (SELECT *, lag(h) OVER w AS ph, lag(nl) OVER w AS pnl FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, lag(h) OVER w AS ph, lag(nl) OVER w AS pnl, lead(nl) OVER w AS nnl FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 a AS (SELECT *, s AND (nl OR i = n) AND (i = 1 OR pnl) AS alone FROM g),
 b AS (SELECT *, lead(alone) OVER (PARTITION BY doc_id ORDER BY i) AS next_alone FROM a),
-e AS (SELECT *, i = n OR (31 * coalesce(ph, 0) + h) % 12 = 0 OR (nl AND NOT (alone AND coalesce(next_alone, false))) AS last FROM b),
+e AS (SELECT *, i = n OR (i > 1 AND NOT pnl AND NOT nnl AND i + 1 < n AND (31 * ph + h) % 12 = 0) OR (nl AND NOT (alone AND coalesce(next_alone, false))) AS last FROM b),
 c AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
 t AS (SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS chunk, count(*) AS m FROM c GROUP BY doc_id, k),
 r AS (SELECT *, m > 1 AND length(chunk) >= 80 AND row_number() OVER (PARTITION BY chunk, m > 1 AND length(chunk) >= 80 ORDER BY doc_id, k) > 1 AS gone FROM t),
