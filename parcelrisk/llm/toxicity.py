@@ -91,12 +91,12 @@ def sample(labels: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
     return kinds[0].union(kinds[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4_000, clean_rows: int = 12_000, least_df: int = 5, least_share: float = 0.01, least_ratio: float = 150.0, most_features: int = 512, grades: int = 2) -> SeverityModel:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4_000, clean_rows: int = 12_000, least_df: int = 5, least_share: float = 0.01, least_ratio: float = 150.0, pure_ratio: float = 25.0, most_features: int = 512, grades: int = 2) -> SeverityModel:
     """Fits on ``labels`` (doc_id, toxic 0/1) of ``docs`` (doc_id, text).
 
     The fit is on a bounded sample: at most ``toxic_rows`` toxic and ``clean_rows`` clean rows, whatever the size of the corpus. A
     feature is kept if at least ``least_df`` and ``least_share`` of the sample's toxic texts hold it, ``least_ratio`` times as often as
-    clean ones do. Labels have two classes only: toxic texts are graded 1, 2, ... by quantiles of how dense their telling words are.
+    clean ones do (``pure_ratio`` times if no clean text holds it, as few labels cannot show more). Labels have two classes only: toxic texts are graded 1, 2, ... by quantiles of how dense their telling words are.
     Texts become features in tasks; only the kept features' columns reach the driver. Rows without text, id or label are left out;
     without both classes nothing is toxic.
     """
@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4_000, clean_rows:
     # copies of one text would make all its words telling: of texts with an equal key one counts
     one = described.select("toxic", F.explode("held").alias("f")).groupBy("f").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     ratio = (F.col("bad") / n_toxic) / ((F.col("all") - F.col("bad") + 0.5) / (n_clean + 1))
-    kept = one.filter((F.col("bad") >= max(least_df, least_share * n_toxic)) & (ratio >= least_ratio)).orderBy(F.desc("bad"), "f").limit(most_features)
+    telling = (ratio >= least_ratio) | ((F.col("bad") == F.col("all")) & (ratio >= pure_ratio))
+    kept = one.filter((F.col("bad") >= max(least_df, least_share * n_toxic)) & telling).orderBy(F.desc("bad"), "f").limit(most_features)
     names = {r["f"]: k for k, r in enumerate(kept.collect())}  # at most most_features rows
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
