@@ -78,13 +78,13 @@ def ring_area(ring: Column) -> Column:
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Area centroid; a ring without area has the mean of its corners."""
     area, n = ring_area(ring), F.size(ring)
-    cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    out = []
-    for k in ("x", "y"):
-        moment = F.aggregate(_corners(ring), F.lit(0.0), lambda a, e, k=k: a + (e[f"{k}1"] + e[f"{k}2"]) * cross(e))
-        mean = F.aggregate(ring, F.lit(0.0), lambda a, p, k=k: a + p[k]) / n
-        out.append(F.when(F.abs(area) < 1e-12, mean).otherwise(moment / F.when(F.abs(area) >= 1e-12, 6 * area)))
-    return out[0], out[1]
+
+    def along(k: str) -> Column:
+        moment = F.aggregate(_corners(ring), F.lit(0.0), lambda a, e: a + (e[f"{k}1"] + e[f"{k}2"]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
+        mean = F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / n
+        return F.when(F.abs(area) < 1e-12, mean).otherwise(moment / F.when(F.abs(area) >= 1e-12, 6 * area))
+
+    return along("x"), along("y")
 
 
 def crosses_ray(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -125,12 +125,13 @@ def newest_file(spark: SparkSession, folders: list[str], prefix: str) -> str | N
     best = None
     for folder in folders:
         try:
-            d = spark.read.format("binaryFile").load(folder).select("path", "modificationTime")
+            # recursive, as other folders beneath would be taken for partitions; what lies deeper is left out below
+            d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", prefix + "*").load(folder).select("path", "modificationTime")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
-        row = d.filter(F.element_at(F.split("path", "/"), -1).startswith(prefix)).agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]
+        row = d.filter(F.element_at(F.split("path", "/"), -2) == folder.rstrip("/").rpartition("/")[2]).agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]
         best = max([x for x in (best, row) if x is not None], default=None)
     return None if best is None else best["path"]
 
