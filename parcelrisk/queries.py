@@ -524,6 +524,81 @@ def parcel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.parcel_rows(placed, {0: "KB", 1: "MT"}).drop("x", "y", "probabilities"))
 
 
+@query("SELECT site_id, round(greatest(500, (5082 - (max(x) - min(x))) / 2, (5082 - (max(y) - min(y))) / 2), 6) AS buffer_m FROM parcel GROUP BY site_id")
+def export_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = fixture(spark, sf_dir, "parcel").groupBy("site_id").agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    return rounded(box.select("site_id", P.export_buffer(F.col("w"), F.col("h"), 500.0).alias("buffer_m")))
+
+
+@query("SELECT site_id, CASE WHEN (max(x) - min(x)) * (max(y) - min(y)) / 1e6 BETWEEN 0.1 AND 20 THEN 'polygon' ELSE 'box' END AS boundary FROM parcel GROUP BY site_id")
+def boundary_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = fixture(spark, sf_dir, "parcel").groupBy("site_id").agg(((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) / 1e6).alias("km2"))
+    return box.select("site_id", P.boundary(F.col("km2"), F.lit("polygon"), F.lit("box")).alias("boundary"))
+
+
+@query("WITH t AS (SELECT infra_id, unnest(CASE category WHEN 'water' THEN ['water', 'road'] WHEN 'sanitation' THEN ['sanitation'] ELSE ['road'] END) AS category FROM infra) SELECT infra_id, category FROM t")
+def infra_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags made from the category; a tap beside a road is in two."""
+    c = F.col("category")
+    amenity = F.when(c == "water", "drinking_water").when(c == "sanitation", "toilets").otherwise("bench")
+    tags = F.map_filter(F.create_map(F.lit("amenity"), amenity, F.lit("highway"), F.when(c != "sanitation", "path"), F.lit("man_made"), F.lit("water_tap")), lambda k, v: v.isNotNull())
+    return fixture(spark, sf_dir, "infra").select("infra_id", F.explode(P.infra_categories(tags)).alias("category"))
+
+
+@query("SELECT site_id, \"row\", col, coalesce(slope, 0) AS slope, coalesce(occurrence, 0) AS occurrence FROM terrain")
+def layout_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.layout(fixture(spark, sf_dir, "terrain"), ["slope"], "occurrence")
+
+
+@query("SELECT site_id, \"row\", col, slope, round(elevation, 6) AS elevation, (occurrence > 0.5)::INT AS y FROM terrain WHERE slope IS NOT NULL AND elevation IS NOT NULL AND occurrence IS NOT NULL")
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(raster.feature_matrix(fixture(spark, sf_dir, "terrain"), ["slope", "elevation"], "occurrence"))
+
+
+@query("WITH c AS (SELECT site_id, \"row\", col, (col + 0.5) * 8 AS px, 384 - (\"row\" + 0.5) * 8 AS py FROM terrain), t AS (SELECT c.*, s.*, greatest(0, least(1, ((px - s.x1) * (s.x2 - s.x1) + (py - s.y1) * (s.y2 - s.y1)) / ((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2))) AS t FROM c, line_segment s) SELECT site_id, \"row\", col, (min((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2) <= 225.0001)::INT AS mask FROM t GROUP BY site_id, \"row\", col")
+def corridor_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.corridor_mask(fixture(spark, sf_dir, "terrain"), fixture(spark, sf_dir, "line_segment"), AFFINE, 225.0001**0.5)
+
+
+@query("SELECT round(avg(y), 6) AS lat, round(avg(x), 6) AS lon FROM parcel WHERE site_id = 1")
+def site_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.site_centre(fixture(spark, sf_dir, "parcel").filter("site_id = 1"), "y", "x", (-1.3, 36.8)))
+
+
+@query("SELECT node_id, round(1 / (1 + exp(-(p_low * 4 - 2))), 6) AS s, round(exp(p_low) / (exp(p_low) + exp(p_medium) + exp(p_high)), 6) AS p0, CASE WHEN p_low >= p_medium AND p_low >= p_high THEN 0 WHEN p_medium >= p_high THEN 1 ELSE 2 END AS k FROM parcel_heads")
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.array("p_low", "p_medium", "p_high")
+    return rounded(fixture(spark, sf_dir, "parcel_heads").select("node_id", R.sigmoid(F.col("p_low") * 4 - 2).alias("s"), R.softmax(z)[0].alias("p0"), R.argmax(z).alias("k")))
+
+
+@query("SELECT site_id, count(*) AS pixels, sum((occurrence >= 50)::INT)::BIGINT AS flooded, round(avg((occurrence >= 50)::INT), 6) AS fraction FROM terrain WHERE occurrence IS NOT NULL GROUP BY site_id")
+def label_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "terrain").filter("occurrence IS NOT NULL").withColumn("flood", R.permanent_water(F.col("occurrence")).cast("int"))
+    return rounded(raster.label_profile(d, ["site_id"]))
+
+
+@query("SELECT site_id, count(*) AS entries FROM manifest GROUP BY site_id")
+def manifest_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.by_site(fixture(spark, sf_dir, "manifest"))
+
+
+@query("SELECT site_id, \"row\", col, round(avg(greatest(0, least(1, (vv + 30) / 30))), 6) AS vv FROM scene_obs GROUP BY ALL")
+def unit_decibels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "scene_obs").withColumn("vv", R.unit_db(F.col("vv")))
+    return rounded(d.groupBy(*raster.PIXEL).agg(F.avg("vv").alias("vv")))
+
+
+@query(f'WITH RECURSIVE {EVENT} SELECT site_id, "row", col, CASE WHEN kept.row IS NULL THEN 0 ELSE 1 END AS flood FROM s3 LEFT JOIN kept USING (site_id, "row", col)')
+def event_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.event_flood_label(settle(pixels(spark, sf_dir)))[0]
+
+
+@query("SELECT site_id, node_id, flood_proba IS NOT NULL AND flood_proba BETWEEN -1e-6 AND 1 + 1e-6 AS flood_ok, p_low + p_medium + p_high > 1e-8 AS class_ok FROM parcel_heads")
+def usable_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = [F.col(f"p_{c}") for c in S.CLASSES]
+    return fixture(spark, sf_dir, "parcel_heads").select("site_id", "node_id", heads.flood_usable(F.col("flood_proba")).alias("flood_ok"), heads.class_usable(p).alias("class_ok"))
+
+
 # --- models ----------------------------------------------------------------------------------------------------------------------
 
 WEIGHTS = ([[0.02, 0.01], [-0.01, 0.03]], [[0.01, -0.02], [0.02, 0.01]], [0.1, -0.2])
