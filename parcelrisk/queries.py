@@ -69,10 +69,10 @@ def policy_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.drop("fused_features", "action_proba", "model_action_proba").withColumn("action", heads.action_name(F.col("action_index"))))
 
 
-@query(f"WITH {DECIDE} SELECT node_id, round(f, 6) AS f0, CASE WHEN dok THEN round(q0, 6) END AS f1, CASE WHEN dok THEN round(q1, 6) END AS f2, CASE WHEN dok THEN round(q2, 6) END AS f3, round(CASE WHEN valid THEN (1 - pf) * q0 ELSE 0e0 END, 6) AS m0, round(CASE WHEN valid THEN (1 - pf) * q1 ELSE 0e0 END, 6) AS m1, round(CASE WHEN valid THEN (1 - pf) * q2 ELSE 0e0 END, 6) AS m2, round(CASE WHEN valid THEN pf * (q0 + q1) ELSE 0e0 END, 6) AS m3, round(CASE WHEN valid THEN pf * q2 ELSE 0e0 END, 6) AS m4 FROM decided")
+@query(f"WITH {DECIDE} SELECT node_id, round(f, 9) AS f0, CASE WHEN dok THEN round(q0, 9) END AS f1, CASE WHEN dok THEN round(q1, 9) END AS f2, CASE WHEN dok THEN round(q2, 9) END AS f3, round(CASE WHEN valid THEN (1 - pf) * q0 ELSE 0e0 END, 9) AS m0, round(CASE WHEN valid THEN (1 - pf) * q1 ELSE 0e0 END, 9) AS m1, round(CASE WHEN valid THEN (1 - pf) * q2 ELSE 0e0 END, 9) AS m2, round(CASE WHEN valid THEN pf * (q0 + q1) ELSE 0e0 END, 9) AS m3, round(CASE WHEN valid THEN pf * q2 ELSE 0e0 END, 9) AS m4 FROM decided")
 def action_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decided(spark, sf_dir)
-    return rounded(d.select("node_id", *[F.col("fused_features")[k].alias(f"f{k}") for k in range(4)], *[F.col("action_proba")[k].alias(f"m{k}") for k in range(5)]))
+    return rounded(d.select("node_id", *[F.col("fused_features")[k].alias(f"f{k}") for k in range(4)], *[F.col("action_proba")[k].alias(f"m{k}") for k in range(5)]), 9)
 
 
 @query(f"""WITH {DECIDE}, t AS (SELECT site_id, count(*) AS parcels, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS insufficient, count(*) FILTER (pact = 0) AS retain_formalise, count(*) FILTER (pact = 1) AS retain_upgrade, count(*) FILTER (pact = 2) AS in_situ_upgrade_priority, count(*) FILTER (pact = 3) AS flood_resilient_upgrade, count(*) FILTER (pact = 4) AS compensated_resettlement, count(*) FILTER (displacement) AS displaced, count(*) FILTER (override_applied) AS overrides, count(*) FILTER (gate) AS gated FROM decided GROUP BY ROLLUP (site_id))
@@ -367,9 +367,9 @@ def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(*graph.prune(nodes, edges, graph.components(nodes, edges)))
 
 
-@query(f"WITH {EDGES} SELECT p.site_id, p.node_id, round(coalesce(avg(q.area_m2), 0), 6) AS mean_area_m2, round(coalesce(avg(q.x), 0), 6) AS mean_x FROM parcel p LEFT JOIN both_ways b ON b.site_id = p.site_id AND b.src = p.node_id LEFT JOIN parcel q ON q.site_id = b.site_id AND q.node_id = b.dst GROUP BY p.site_id, p.node_id")
+@query(f"WITH {EDGES} SELECT p.site_id, p.node_id, round(coalesce(avg(q.area_m2), 0), 9) AS mean_area_m2, round(coalesce(avg(q.x), 0), 9) AS mean_x FROM parcel p LEFT JOIN both_ways b ON b.site_id = p.site_id AND b.src = p.node_id LEFT JOIN parcel q ON q.site_id = b.site_id AND q.node_id = b.dst GROUP BY p.site_id, p.node_id")
 def neighbour_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.neighbour_mean(*parcel_graph(spark, sf_dir), ["area_m2", "x"]).select("site_id", "node_id", "mean_area_m2", "mean_x"))
+    return rounded(graph.neighbour_mean(*parcel_graph(spark, sf_dir), ["area_m2", "x"]).select("site_id", "node_id", "mean_area_m2", "mean_x"), 9)
 
 
 @query("SELECT site_id, node_id, row_number() OVER (ORDER BY site_id, node_id) - 1 AS flat_id FROM parcel")
