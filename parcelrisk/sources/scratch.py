@@ -9,17 +9,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
+_own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset a local folder that goes with the process."""
-    if given := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return given
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="parcelrisk-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
+    """A folder for this session's tables in ``spark.checkpoint.dir``, deleted when the driver ends; only where that is unset a local one."""
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if given:
+            _own[app] = f"{given}/parcelrisk-{uuid.uuid4().hex}"
+            path = spark._jvm.org.apache.hadoop.fs.Path(_own[app])
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+        else:
+            _own[app] = tempfile.mkdtemp(prefix="parcelrisk-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
