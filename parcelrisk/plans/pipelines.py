@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
-from parcelrisk.operators import features, graph, metrics, policy, raster, spatial, tiles
+from parcelrisk.operators import features, graph, metrics, policy, raster, spatial, splits, tiles
 from parcelrisk.sources.scratch import settle
 
 
@@ -65,6 +65,17 @@ def fusion(parcels: DataFrame, heads: DataFrame, zones: DataFrame, reference: Da
     return out | ({"lift": policy.action_lift(ref)} if covered else {})
 
 
+def prepare_sites(parts: list[DataFrame], seed: int = 0) -> DataFrame:
+    """Site tables (site_id, node_id, y, ...) as one with a flat id and a split inside each site and class."""
+    whole = graph.union_sites(parts).withColumn("id", F.col("node_id"))
+    return splits.stratified_split(whole, by_site=True, seed=seed).drop("id")
+
+
+def evaluate_split(df: DataFrame, split: str) -> DataFrame:
+    """The multiclass report of one split (y, pred), per site and pooled."""
+    return metrics.class_report(df.filter(F.col("split") == split), by_site=True)
+
+
 def site_report(df: DataFrame, targets: dict[str, float]) -> dict[str, DataFrame]:
     """Multiclass report per site and pooled, with a table of flags for each target score."""
     report = metrics.class_report(df, by_site=True)

@@ -402,6 +402,17 @@ def stratified_split_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_split(fixture(spark, sf_dir, "class_pairs"), by_site=True).select("site_id", "id", "y", "split")
 
 
+@query(f"WITH sp AS ({_split_sql('site_id, y', 'site_id')}), f AS (SELECT site_id, id, row_number() OVER (ORDER BY site_id, id) - 1 AS flat_id FROM class_pairs) SELECT site_id, id AS node_id, y, flat_id, split FROM sp JOIN f USING (site_id, id)")
+def prepared_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "class_pairs").withColumnRenamed("id", "node_id")
+    return pipelines.prepare_sites([d.filter(f"site_id = {k}") for k in range(3)]).select("site_id", "node_id", "y", "flat_id", "split")
+
+
+@query(f"WITH sp AS ({_split_sql('site_id, y', 'site_id')}), {REPORT.replace('FROM class_pairs', 'FROM (SELECT p.* FROM class_pairs p JOIN sp USING (site_id, id) WHERE split = ' + repr('test') + ') t')} SELECT * FROM report")
+def split_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pipelines.evaluate_split(splits.stratified_split(fixture(spark, sf_dir, "class_pairs"), by_site=True), "test"))
+
+
 @query("WITH l AS (SELECT DISTINCT site_id, row_off, col_off FROM manifest), k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY row_off, col_off) AS i, count(*) OVER (PARTITION BY site_id) AS n FROM l) SELECT m.site_id, entry_id, CASE WHEN i = n THEN 'val' ELSE 'train' END AS split FROM manifest m JOIN k USING (site_id, row_off, col_off)")
 def spatial_holdout_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.holdout_one(fixture(spark, sf_dir, "manifest")).select("site_id", "entry_id", "split")
