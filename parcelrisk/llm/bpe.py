@@ -24,28 +24,21 @@ from parcelrisk.llm.common import Memo, space_chunks
 class Codec:
     """Encoder and decoder of one rank file (base64 bytes and rank on each line)."""
 
-    def __init__(self, path: str, pattern: str, cache_words: int = 150_000, leaf: int = 7) -> None:
+    def __init__(self, path: str, pattern: str, cache_words: int = 200_000, leaf: int = 7) -> None:
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.find, self.cache_words, self.leaf = regex.compile(pattern).findall, cache_words, leaf
-        self.cache = Memo(lambda c: self.chunk(" " + c))
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.merges: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.find, self.leaf = regex.compile(pattern).findall, leaf
+        # words, leaves, windows and token pairs that a worker has seen; entries are small, as long pieces are not kept
+        self.cache = Memo(lambda c: self.chunk(" " + c), cache_words)
+        self.pieces = Memo(self.encode_piece, cache_words)
+        self.windows = Memo(self.merge, cache_words // 2)
+        self.stable_pairs = Memo(lambda p: self.merge(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == list(p), cache_words // 2)
 
     def window(self, piece: bytes) -> list[int]:
-        """``merge``, remembered: leaves and boundary windows are syllables that many words share."""
-        known = self.merges.get(piece)
-        if known is None:
-            if len(self.merges) > self.cache_words:
-                self.merges.clear()
-            known = self.merge(piece)
-            if len(piece) <= 32:
-                self.merges[piece] = known
-        return known
+        return self.windows[piece] if len(piece) <= 32 else self.merge(piece)
 
     def merge(self, piece: bytes) -> list[int]:
         """Plain merging, lowest rank first, for the leaves of the tree and for windows."""
@@ -67,13 +60,7 @@ class Codec:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens side by side are the encoding of their bytes."""
-        known = self.stable_pairs.get((left, right))
-        if known is None:
-            known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.stable_pairs) > self.cache_words:
-                self.stable_pairs.clear()
-            self.stable_pairs[left, right] = known
-        return known
+        return self.stable_pairs[left, right]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both sides' bytes."""
@@ -95,29 +82,25 @@ class Codec:
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
-    def piece(self, text: str) -> list[int]:
+    def encode_piece(self, text: str) -> list[int]:
         """Ids of one match of the pattern: a piece that is a token is that token, any other goes through the tree."""
-        known = self.pieces.get(text)
-        if known is None:
-            piece = text.encode()
-            whole = self.ranks.get(piece)
-            known = [whole] if whole is not None else self.tree(piece)
-            if len(self.pieces) > self.cache_words:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[text] = known
-        return known
+        piece = text.encode()
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self.tree(piece)
+
+    def piece(self, text: str) -> list[int]:
+        return self.pieces[text] if len(text) <= 32 else self.encode_piece(text)
 
     def chunk(self, text: str) -> bytes:
+        if text[1:].isalpha() and text[0] == " ":  # one word: one match
+            return array("I", self.piece(text)).tobytes()
+        if text[-1:] in ",." and text[1:-1].isalpha() and text[0] == " ":
+            return array("I", self.piece(text[:-1]) + self.piece(text[-1])).tobytes()
         found = self.find(text)
-        if len(found) == 1:
-            return array("I", self.piece(found[0])).tobytes()
         return array("I", [i for p in found for i in self.piece(p)]).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; pieces join by plain concatenation, since none merges with its neighbour."""
-        if len(self.cache) > 2 * self.cache_words:
-            self.cache.clear()
         rows, of = [space_chunks(t or "") for t in texts], self.cache.__getitem__
         return [self.chunk(head) + b"".join(map(of, rest)) for head, *rest in rows]
 

@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,12 +70,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class Memo(dict):
-    """A dictionary that makes what it lacks."""
+    """A dictionary that makes what it lacks and holds two generations of at most ``most`` entries: what is used again survives."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable, most: int) -> None:
         super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        self[key] = value = self.make(key)
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: Hashable) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:  # entries stay small
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value

@@ -30,8 +30,8 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.library, self.cache_words = Tokenizer.from_file(path), cache_words
-        self.cache = Memo(self.encode_word)
+        self.library = Tokenizer.from_file(path)
+        self.cache = Memo(self.encode_word, cache_words)
         # the file's own vocabulary as ranks: its ids stand in the order of its merges, so both libraries give the same ids
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         letters = byte_letters()
@@ -49,8 +49,6 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
         rows, of = [space_chunks(t or "") for t in texts], self.cache.__getitem__
         heads = self.encode([row[0] for row in rows])
         return [head + b"".join(map(of, row[1:])) for head, row in zip(heads, rows, strict=True)]
@@ -61,7 +59,7 @@ def encoder(path: str, pattern: str, cache_words: int) -> Encoder:
     return Encoder(path, pattern, cache_words)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end_id: int = 0, slice_rows: int = 1_000, cache_words: int = 500_000) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end_id: int = 0, slice_rows: int = 1_000, cache_words: int = 250_000) -> DataFrame:
     """One row per piece of at most ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens. A null text is an empty one; every document ends with ``end_id`` and so has a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
