@@ -202,7 +202,17 @@ CHUNK = "chunk long, words array<binary>, train array<long>, doc_ids array<long>
 ARROW_CHUNK = pa.schema({"chunk": pa.int64(), "words": pa.list_(pa.binary()), "train": pa.list_(pa.int64()), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "widths": pa.list_(pa.int64()), "which": pa.binary(), "times": pa.binary()})
 
 
-def chunked(docs: DataFrame, chunk_rows: int = 2_000, chunk_bytes: int = 8_000_000) -> DataFrame:
+def narrow(numbers: array) -> bytes:
+    """Unsigned numbers of the smallest width that holds them all."""
+    a = np.asarray(numbers)
+    return a.astype(np.min_scalar_type(int(a.max(initial=0)))).tobytes()
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}")
+
+
+def chunked(docs: DataFrame, chunk_rows: int = 20_000, chunk_bytes: int = 32_000_000) -> DataFrame:
     """Texts (doc_id, text, held_out) as chunks of up to so many rows and about so many bytes: distinct words with their counts in training texts, and each text's words by place and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +223,7 @@ def chunked(docs: DataFrame, chunk_rows: int = 2_000, chunk_bytes: int = 8_000_0
         ids, held, sizes, widths, which, times, load = [], [], [], [], array("i"), array("i"), 0
 
         def flush() -> pa.RecordBatch:
-            row = [number, list(place), train, ids, held, sizes, widths, which.tobytes(), times.tobytes()]
+            row = [number, list(place), train, ids, held, sizes, widths, narrow(which), narrow(times)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for b in batches:
@@ -291,17 +301,18 @@ def score(docs: DataFrame, model: str, held: Column, smoothing: float = 0.1, rou
             with np.errstate(divide="ignore"):
                 seen = np.log((1 - share) * c / max(total, 1))
             mixed = np.logaddexp(seen, marginal) / math.log(10)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array(np.log10((c + smoothing) / below)), pa.array(mixed)], ["word", "known", "base", "mixed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mixed)], ["word", "c", "mixed"])
 
-    scored = counts.mapInArrow(weigh, "word binary, known boolean, base double, mixed double")
+    scored = counts.mapInArrow(weigh, "word binary, c long, mixed double")
     asked = chunks.select(F.col("chunk").alias("asker"), F.posexplode("words").alias("at", "word"))
-    answers = asked.join(scored, "word").select("asker", "at", "known", "base", "mixed")
+    answers = asked.join(scored, "word").select("asker", "at", "c", "mixed")
 
     def add_up(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         row = texts.iloc[0]
-        table = np.empty((len(words), 3))
-        table[words["at"].to_numpy()] = words[["known", "base", "mixed"]].to_numpy(np.float64)
-        which, times = np.frombuffer(row["which"], "i"), np.frombuffer(row["times"], "i")
+        table, at, c = np.empty((len(words), 3)), words["at"].to_numpy(), words["c"].to_numpy()
+        table[at, 0], table[at, 1], table[at, 2] = c > 0, np.log10((c + smoothing) / below), words["mixed"]
+        pairs = int(np.sum(row["widths"]))
+        which, times = widen(row["which"], pairs), widen(row["times"], pairs)
         first = np.cumsum(row["widths"]) - row["widths"]
         known, base, mixed = (np.add.reduceat(table[which, k] * times, first) for k in range(3))
         return pd.DataFrame({"doc_id": pd.array(list(row["doc_ids"]), "Int64"), "held_out": np.array(list(row["held"]), bool), "n_tokens": row["sizes"], "n_known": known.astype(np.int64), "base_score": base, "score": mixed})
