@@ -290,7 +290,8 @@ def score(docs: DataFrame, model: str, held: Column, smoothing: float = 0.1, rou
     counts = scratch.write(listed.groupBy("word").agg(F.sum("c").alias("c")), "counts")
     total, distinct, once = (x or 0 for x in counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum((F.col("c") == 1).cast("long"))).first())
     share = min(0.5, max(once, 1) / total) if total else 1.0
-    log_p = fit_pieces(counts.filter("c > 0"), existing_scores(model), rounds if total else 0)
+    # each kind of word counts once: the lattice stands in for words that were not seen
+    log_p = fit_pieces(counts.filter("c > 0").select("word", F.lit(1).cast("long").alias("c")), existing_scores(model), rounds if total else 0)
     below = total + smoothing * (distinct + 1)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
