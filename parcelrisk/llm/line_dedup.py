@@ -15,6 +15,7 @@ from parcelrisk.llm.common import Scratch
 
 LINE = r"[^.!?\n]{1,200}[.!?]* *\n?|[.!?]+ *\n?|\n"
 SHORT = 40
+SALTED_ROWS = 200
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -49,15 +50,18 @@ def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars: int) -> DataFrame:
     """__k1, __k2, start, len of every chunk that an earlier chunk of the corpus equals byte by byte."""
     all_chunks = scratch.write(chunks(docs, divisor, least_chars), "chunks")
-    often = all_chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    candidates = all_chunks.join(often, "digest").select("__k1", "__k2", "start", "len", "digest")
+    often = all_chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    candidates = all_chunks.join(often, "digest").select("__k1", "__k2", "start", "len", "digest", F.ceil(F.col("n") / SALTED_ROWS).cast("int").alias("salts"))
     bodies = docs.select("__k1", "__k2", "text")
     met = bodies.join(candidates.hint("shuffle_hash"), ["__k1", "__k2"])
-    met = met.select("__k1", "__k2", "start", "len", "digest", F.substring("text", F.col("start") + 1, F.col("len")).alias("chunk"))
+    met = met.select("__k1", "__k2", "start", "len", "digest", "salts", F.substring("text", F.col("start") + 1, F.col("len")).alias("chunk"))
     met = scratch.write(met, "candidates")
     place = F.struct("__k1", "__k2", "start")
-    first = met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return met.join(first, ["digest", "chunk"]).filter(place > F.col("first")).select("__k1", "__k2", "start", "len")
+    first = met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("salts").alias("salts")).filter("n > 1")
+    # a chunk that very many texts hold meets its first occurrence in several tasks
+    first = first.select("digest", "chunk", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = met.withColumn("salt", F.pmod(F.xxhash64("__k1", "__k2", "start"), F.col("salts")).cast("int"))
+    return salted.join(first, ["digest", "chunk", "salt"]).filter(place > F.col("first")).select("__k1", "__k2", "start", "len")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = 12, least_chars: int = 80) -> DataFrame:
