@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -47,6 +48,11 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def free(self) -> None:
+        """Has the driver collect its garbage now, so that Spark deletes the shuffle files of what has been written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm, path = self.spark._jvm, self.path(name)
         p = jvm.org.apache.hadoop.fs.Path(path)

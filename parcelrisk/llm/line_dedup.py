@@ -56,6 +56,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars:
     met = bodies.join(candidates.hint("shuffle_hash"), ["__k1", "__k2"])
     met = met.select("__k1", "__k2", "start", "len", "digest", "salts", F.substring("text", F.col("start") + 1, F.col("len")).alias("chunk"))
     met = scratch.write(met, "candidates")
+    scratch.drop("chunks")
+    scratch.free()  # the texts that were shuffled for the candidates
     place = F.struct("__k1", "__k2", "start")
     first = met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("salts").alias("salts")).filter("n > 1")
     # a chunk that very many texts hold meets its first occurrence in several tasks
@@ -74,7 +76,9 @@ def dedup_lines(docs: DataFrame, divisor: int = 12, least_chars: int = 80) -> Da
     """
     scratch = Scratch(docs.sparkSession, "lines")
     d = _with_key(docs.drop("chunks_removed", "chars_removed"))
-    spans = repeated_spans(d.select("doc_id", "text", "__k1", "__k2"), scratch, divisor, least_chars).distinct()
+    spans = scratch.write(repeated_spans(d.select("doc_id", "text", "__k1", "__k2"), scratch, divisor, least_chars).distinct(), "spans")
+    scratch.drop("candidates")
+    scratch.free()
     cuts = spans.groupBy(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2")).agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("__cuts"))
     out = d.join(cuts.hint("shuffle_hash"), (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
     kept = """array_join(transform(sequence(0, size(__cuts)), i -> substring(text, CASE WHEN i = 0 THEN 1 ELSE __cuts[i - 1].start + __cuts[i - 1].len + 1 END,
