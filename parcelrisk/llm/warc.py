@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelrisk.llm.common import Scratch
@@ -22,8 +23,9 @@ CRLF = "\r\n"
 PARSED = "type string, record_id string, uri string, refers_to string, digest string, segment int, origin string, total long, block binary"
 
 
-def record_id(key: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), key.cast("string"), F.lit(">"))
+def record_id(key: Column, digest: Column, copy: Column) -> Column:
+    """A page_id, null among them, may come with several payloads, and each of these more than once."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
 def header(*fields: tuple[str, Column]) -> Column:
@@ -32,13 +34,13 @@ def header(*fields: tuple[str, Column]) -> Column:
 
 
 def classify(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """page_id, url, html (never null), digest (SHA-256), bytes, first: the smallest page_id with an equal payload of at least ``least_bytes``, else null."""
+    """page_id, url, html (never null), digest (SHA-256), bytes, copy: 1, 2, ... among the rows of one page_id and payload, first: the smallest page_id with an equal payload of at least ``least_bytes`` if it is less than the row's, else null."""
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     long = p.filter(F.col("bytes") >= least_bytes).select("page_id", "digest")
     groups = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
-    later = long.join(groups, "digest").filter("page_id > first OR page_id IS NULL").select(F.col("page_id").alias("page"), "first").filter("page IS NOT NULL").distinct()
-    return p.join(later, p["page_id"] == later["page"], "left").drop("page")
+    later = long.join(groups, "digest").filter("page_id > first").select("page_id", "digest", "first").distinct()
+    return p.join(later, ["page_id", "digest"], "left").withColumn("copy", F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url")))
 
 
 def records(pages: DataFrame, segment_bytes: int = 16_384, chunk_bytes: int = 4_096) -> DataFrame:
@@ -59,15 +61,15 @@ def records(pages: DataFrame, segment_bytes: int = 16_384, chunk_bytes: int = 4_
     p = p.withColumn("segments", F.greatest(F.ceil(F.col("length") / segment_bytes).cast("int"), F.lit(1)))
     p = p.withColumn("segment", F.explode(F.sequence(F.lit(1), F.col("segments"))))
     part = F.substring("block", (F.col("segment") - 1) * segment_bytes + 1, F.lit(segment_bytes))
-    own, begins, several = record_id(F.col("page_id")), F.col("segment") == 1, F.col("segments") > 1
+    own, begins, several = record_id(F.col("page_id"), F.col("digest"), F.col("copy")), F.col("segment") == 1, F.col("segments") > 1
     head = header(
         ("WARC-Type", F.when(~begins, "continuation").when(F.col("first").isNull(), "response").otherwise("revisit")),
-        ("WARC-Record-ID", F.when(begins, own).otherwise(F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(":segment:"), F.col("segment").cast("string"), F.lit(">")))),
+        ("WARC-Record-ID", F.when(begins, own).otherwise(F.concat(F.rtrim(own, F.lit(">")), F.lit(":segment:"), F.col("segment").cast("string"), F.lit(">")))),
         ("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         ("WARC-Target-URI", F.when(begins, F.regexp_replace("url", r"[\r\n\s]", "%20"))),
         ("WARC-Payload-Digest", F.when(begins, F.concat(F.lit("sha256:"), F.col("digest")))),
         ("WARC-Profile", F.when(begins & F.col("first").isNotNull(), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", F.when(begins, record_id(F.col("first")))),
+        ("WARC-Refers-To", F.when(begins, record_id(F.col("first"), F.col("digest"), F.lit(1)))),
         ("WARC-Segment-Number", F.when(several, F.col("segment"))),
         ("WARC-Segment-Origin-ID", F.when(~begins, own)),
         ("WARC-Segment-Total-Length", F.when(several & (F.col("segment") == F.col("segments")), F.col("length"))),
@@ -182,17 +184,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload. A revisit has no payload of its own: it takes size and digest from the record it refers to, which
-    must agree with the digest it states. Rows without page_id are never written. A page_id given twice is two records only if the
-    rows are distinct; of repeated equal rows one is written, since record ids are unique.
+    must agree with the digest it states. Every row is a record of its own, also where its page_id is null or comes more than once.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    write_archives(classify(pages.filter("page_id IS NOT NULL")), scratch.path("archives"))
+    write_archives(classify(pages), scratch.path("archives"))
     facts = scratch.write(payload_facts(reassemble(read_archives(spark, scratch.path("archives")))), "facts")
-    of = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).cast("long")
+    of = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+|null):", 1).try_cast("long")
     responses = facts.filter("type = 'response'").select(of("record_id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("sha256").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    revisits = facts.filter("type = 'revisit'").select(of("record_id").alias("page_id"), of("refers_to").alias("target"), "digest")
-    seen = facts.filter("type = 'response'").select("record_id", F.col("bytes").alias("payload_bytes"), "sha256")
-    named = revisits.join(seen.withColumn("target", of("record_id")).drop("record_id"), "target")
+    revisits = facts.filter("type = 'revisit'").select(of("record_id").alias("page_id"), F.col("refers_to").alias("target"), "digest")
+    seen = facts.filter("type = 'response'").select(F.col("record_id").alias("target"), F.col("bytes").alias("payload_bytes"), "sha256")
+    named = revisits.join(seen, "target", "left")
     checked = F.when(F.col("digest") == F.col("sha256"), F.col("sha256")).otherwise(F.raise_error(F.lit("a revisit and its response differ")).cast("string"))
-    return responses.union(named.select("page_id", "payload_bytes", checked.alias("payload_digest"), F.lit("revisit"), F.col("target")))
+    return responses.union(named.select("page_id", "payload_bytes", checked.alias("payload_digest"), F.lit("revisit"), of("target")))

@@ -27,6 +27,22 @@ def test_pages_come_back_whole(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_repeated_and_null_pages_are_records_of_their_own(spark):
+    import duckdb
+
+    from parcelrisk.llm.queries import OP8_SQL
+
+    long = "long é " * 6_000
+    rows = [(1, "u", "x" * 200), (1, "u", "x" * 200), (2, "u", "x" * 200), (2, "u", "x" * 200), (2, "v", "other" * 50), (3, "u", long), (3, "u", long), (3, "v", long), (4, "u", long)]
+    rows += [(5, "u", "own " * 50), (5, "u", "x" * 200), (6, "u", "short"), (6, "u", "short"), (None, "u", long), (None, "u", long), (None, "v", "x" * 200), (None, None, None), (7, "u", "none " * 50), (None, "u", "none " * 50), (None, "u", "lone " * 50)]
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = con.sql(OP8_SQL)
+    assert collections.Counter(map(tuple, got.select(*want.columns).collect())) == collections.Counter(want.fetchall())
+
+
 def test_lost_segments_and_broken_chunks_fail(spark, tmp_path):
     pages = warc.classify(spark.createDataFrame([(1, "u", "y" * 50_000)], PAGES))
     warc.write_archives(pages, str(tmp_path / "a"))
