@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier one holds; n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs)
+    cleaned = line_dedup.dedup_passages(docs)
     n_chars = F.when(F.col("chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return cleaned.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -4,6 +4,9 @@ A text is cut into lines: at newlines, and inside long ones at sentence ends. A
 a chunk ends, so the same lines are cut alike wherever they stand; a newline after a long line always ends one. Chunks of several
 lines that occur more than once in the corpus are candidates; their bytes are compared, and all but the first occurrence (by doc_id,
 then place) are cut out of their texts.
+
+``dedup_lines`` does that, as the query's SQL states it: it finds a repeat only if its ends are cut alike. ``dedup_passages`` finds
+all repeated runs of lines, wherever they start or end, from the shortest passage at each line and before each line's end.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from parcelrisk.llm.common import Scratch
 LINE = r"[^.!?\n]{1,200}[.!?]* *\n?|[.!?]+ *\n?|\n"
 SHORT = 40
 SALTED_ROWS = 200
+SALTED_PASSAGES = 5_000
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -86,3 +90,73 @@ def dedup_lines(docs: DataFrame, divisor: int = 12, least_chars: int = 80) -> Da
     out = out.withColumn("chunks_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0 ELSE size(__cuts) END").cast("long"))
     out = out.withColumn("chars_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0L ELSE aggregate(__cuts, 0L, (a, x) -> a + x.len) END"))
     return out.withColumn("text", F.expr(f"CASE WHEN __cuts IS NULL THEN text ELSE {kept} END")).drop("__k1", "__k2", "__c1", "__c2", "__cuts")
+
+
+def passages(docs: DataFrame, least_chars: int) -> DataFrame:
+    """__k1, __k2, i, k and digest of the shortest passages (two lines and ``least_chars`` characters at least) that start or end with each line: k lines from line i on.
+
+    White space at a passage's end does not count. Every line of a run of lines that could be a passage lies in one of these that does not leave the run.
+    """
+    d = docs.filter(F.length("text") > 0).select("__k1", "__k2", F.regexp_extract_all("text", F.lit(LINE), F.lit(0)).alias("lines")).withColumn("n", F.size("lines")).filter("n > 1")
+    d = d.withColumn("len", F.expr("transform(lines, x -> length(x))")).withColumn("bare", F.expr("transform(lines, x -> length(trim(TRAILING ' \\n' FROM x)))"))
+
+    def shortest(at: str, step: int, most: str) -> str:
+        """Least number of lines from line ``at`` on (step 1) or up to it (step -1): the first few by themselves, more in one pass."""
+        line = lambda k: f"get(len, {at} + {k})" if step > 0 else f"get(len, {at} - {k})"
+        if step > 0:
+            sums = [f"{' + '.join(line(j) for j in range(k - 1))} + get(bare, {at} + {k - 1})" for k in (2, 3, 4)]
+            rest, begin, add = f"slice(both, {at} + 4, {least_chars - 2})", " + ".join(line(j) for j in range(3)), "a.sum + x.bare"
+        else:
+            sums = [f"{' + '.join(line(j) for j in range(1, k))} + bare[{at}]" for k in (2, 3, 4)]
+            rest, begin, add = f"reverse(slice(both, greatest({at} - {least_chars + 1}, 0) + 1, {at} - 2 - greatest({at} - {least_chars + 1}, 0)))", f"{line(1)} + {line(2)} + bare[{at}]", "a.sum + x.len"
+        fold = f"""aggregate({rest}, named_struct('sum', {begin}, 'k', 3, 'found', cast(NULL AS INT)),
+            (a, x) -> named_struct('sum', a.sum + x.len, 'k', a.k + 1, 'found', coalesce(a.found, CASE WHEN {add} >= {least_chars} THEN a.k + 1 END)), a -> a.found)"""
+        return f"CASE {' '.join(f'WHEN {c} >= {least_chars} THEN {k}' for k, c in zip((2, 3, 4), sums, strict=True))} WHEN {most} > 4 THEN {fold} END"
+
+    d = d.withColumn("both", F.expr("arrays_zip(len, bare)"))
+    d = d.withColumn("ahead", F.expr(f"transform(sequence(0, n - 2), i -> {shortest('i', 1, 'n - i')})"))
+    d = d.withColumn("back", F.expr(f"transform(sequence(1, n - 1), e -> {shortest('e', -1, 'e + 1')})"))
+    starts = "transform(ahead, (k, i) -> named_struct('i', i, 'k', k))"
+    ends = "filter(transform(back, (k, j) -> named_struct('i', j + 2 - k, 'k', k)), x -> x.k IS NOT NULL AND NOT ahead[x.i] <=> x.k)"
+    d = d.select("__k1", "__k2", "lines", F.expr(f"concat(filter({starts}, x -> x.k IS NOT NULL), {ends})").alias("p"))
+    digest = "unhex(substring(sha2(trim(TRAILING ' \\n' FROM array_join(slice(lines, x.i + 1, x.k), '')), 256), 1, 32))"
+    return d.select("__k1", "__k2", F.expr(f"explode(transform(p, x -> named_struct('i', x.i, 'k', x.k, 'digest', {digest})))").alias("x")).select("__k1", "__k2", "x.i", "x.k", "x.digest")
+
+
+def dedup_passages(docs: DataFrame, least_chars: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with every repeated run of lines cut out of ``text``, and chunks_removed (runs), chars_removed (long).
+
+    A run of at least two lines (sentences inside paragraphs) and ``least_chars`` characters goes if it stands in an earlier place,
+    wherever it starts or ends there; white space at its end may differ. Texts are compared by 128 bits of SHA-256. What
+    is left keeps its bytes and order, and each line stays somewhere. Order, nulls, equal rows and columns are as in ``dedup_lines``.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    d = _with_key(docs.drop("chunks_removed", "chars_removed"))
+    found = scratch.write(passages(d.select("__k1", "__k2", "text"), least_chars), "passages")
+    place = F.struct("__k1", "__k2", "i")
+    often = scratch.write(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / SALTED_PASSAGES).cast("int")), "often")
+    scratch.free()
+    # a passage that very many texts hold meets its first occurrence in several tasks
+    hot = often.filter("salts > 1").select("digest", "salts")
+    salts = F.coalesce("salts", F.lit(1))
+    salted = found.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("__k1", "__k2", "i"), salts).cast("int")).drop("salts")  # less than one row for SALTED_PASSAGES rows
+    first = often.select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    spans = scratch.write(salted.join(first, ["digest", "salt"]).filter(place > F.col("first")).select("__k1", "__k2", "i", "k"), "spans")
+    scratch.drop("passages")
+    scratch.drop("often")
+    scratch.free()
+    cuts = spans.groupBy(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2")).agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("__spans"))
+    # overlapping and touching passages are one run: [from, to)
+    runs = """aggregate(__spans, named_struct('done', cast(array() as array<struct<from: int, to: int>>), 'from', __spans[0].i, 'to', __spans[0].i),
+        (a, x) -> IF(x.i <= a.to, named_struct('done', a.done, 'from', a.from, 'to', greatest(a.to, x.i + x.k)),
+            named_struct('done', array_append(a.done, named_struct('from', a.from, 'to', a.to)), 'from', x.i, 'to', x.i + x.k)),
+        a -> array_append(a.done, named_struct('from', a.from, 'to', a.to)))"""
+    cuts = cuts.select("__c1", "__c2", F.expr(runs).alias("__cuts"))
+    out = d.join(cuts.hint("shuffle_hash"), (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
+    out = out.withColumn("__lines", F.when(F.col("__cuts").isNotNull(), F.regexp_extract_all("text", F.lit(LINE), F.lit(0))))
+    kept = """array_join(transform(sequence(0, size(__cuts)), j -> array_join(slice(__lines, IF(j = 0, 0, __cuts[j - 1].to) + 1,
+        IF(j = size(__cuts), size(__lines), __cuts[j].from) - IF(j = 0, 0, __cuts[j - 1].to)), '')), '')"""
+    out = out.withColumn("__kept", F.expr(f"CASE WHEN __cuts IS NULL THEN text ELSE {kept} END"))
+    out = out.withColumn("chunks_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0 ELSE size(__cuts) END").cast("long"))
+    out = out.withColumn("chars_removed", F.coalesce(F.length("text") - F.length("__kept"), F.lit(0)).cast("long"))
+    return out.withColumn("text", F.col("__kept")).drop("__k1", "__k2", "__c1", "__c2", "__cuts", "__lines", "__kept")

@@ -43,6 +43,44 @@ def test_lines_inside_one_text_and_equal_rows(docs, spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_passages(rows, least=80):
+    """Every run of lines is compared: a line goes if it lies in a run that stands in an earlier place."""
+    seen, out = set(), {}
+    for k, t in sorted(rows):
+        lines = re.findall(line_dedup.LINE, t)
+        gone = set()
+        for i in range(len(lines)):
+            mine = []
+            for j in range(i + 2, len(lines) + 1):
+                run = "".join(lines[i:j]).rstrip(" \n")
+                if len(run) >= least:
+                    if run in seen:
+                        gone.update(range(i, j))
+                    mine.append(run)
+            seen.update(mine)
+        out[k] = "".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_repeated_runs_go_wherever_they_start_and_end(docs):
+    g = random.Random(8)
+    wrapped = "".join(" ".join(g.choice(WORDS) for _ in range(10))[:58] + "\n" for _ in range(12))
+    short = "".join(f"{g.choice(WORDS)} {k};\n" for k in range(14))
+    prose = " ".join(sentence(g) for _ in range(5))
+    own = lambda: " ".join(sentence(g) for _ in range(3))
+    rows = [(1, f"{own()}\n{wrapped}{own()}"), (2, f"a\n{wrapped}{own()}"), (3, f"x\n{short}y\n"), (4, f"other\n{short}{own()}")]
+    rows += [(5, f"{own()} {prose} {own()}"), (6, f"{own()} {prose}\n{own()}"), (7, prose), (8, f"{own()} " + " ".join(prose.split(". ")[1:4]) + own())]
+    every = [sentence(g, g.randrange(1, 9)) for _ in range(12)]
+    rows += [(10 + k, "".join(g.choice(every) + g.choice([" ", "\n", "", "\n\n"]) for _ in range(30))) for k in range(12)]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_passages(docs(rows)).collect()}
+    want = brute_passages(rows)
+    for k, t in rows:
+        assert out[k]["text"] == want[k] and out[k]["chars_removed"] == len(t) - len(want[k])
+    assert wrapped[:40] not in out[2]["text"] and short[:40] not in out[4]["text"] and prose[-30:] not in out[6]["text"] and out[7]["text"] == ""
+    odd = {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(docs([(1, None), (2, ""), (None, prose), (3, prose), (3, prose), (4, "one")])).collect()}
+    assert odd == {1: None, 2: "", None: prose, 3: "", 4: "one"} and line_dedup.dedup_passages(docs([])).count() == 0
+
+
 def brute_simhash(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
