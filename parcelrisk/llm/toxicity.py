@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
+SAMPLE_TASKS = 32
 
 
 def features(word: str) -> list[str]:
@@ -83,8 +84,8 @@ def fit_cumulative_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray, grades
 
 
 def sample(labels: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
-    """(doc_id, toxic) of at most so many labelled rows of each kind, drawn by the hash of the id."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """(doc_id, toxic) of at most so many labelled ids of each kind, drawn by the hash of the id. An id with several labels is toxic if one of them says so."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     kinds = [known.filter((F.col("toxic") == k) & (draw < int(1_000_000 * min(1.0, most / max(size.get(k, 0), 1))))).limit(most) for k, most in ((1, toxic_rows), (0, clean_rows))]
@@ -94,14 +95,16 @@ def sample(labels: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4_000, clean_rows: int = 12_000, least_df: int = 5, least_share: float = 0.01, least_ratio: float = 150.0, pure_ratio: float = 25.0, most_features: int = 512, grades: int = 2) -> SeverityModel:
     """Fits on ``labels`` (doc_id, toxic 0/1) of ``docs`` (doc_id, text).
 
-    The fit is on a bounded sample: at most ``toxic_rows`` toxic and ``clean_rows`` clean rows, whatever the size of the corpus. A
+    The fit is on a bounded sample: at most ``toxic_rows`` toxic and ``clean_rows`` clean ids with one text each, whatever the size of the corpus. A
     feature is kept if at least ``least_df`` and ``least_share`` of the sample's toxic texts hold it, ``least_ratio`` times as often as
     clean ones do (``pure_ratio`` times if no clean text holds it, as few labels cannot show more). Labels have two classes only: toxic texts are graded 1, 2, ... by quantiles of how dense their telling words are.
     Texts become features in tasks; only the kept features' columns reach the driver. Rows without text, id or label are left out;
     without both classes nothing is toxic.
     """
     drawn = sample(labels, toxic_rows, clean_rows)
-    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")  # bounded by the sample
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # an id that several rows hold counts once, so that the sample bounds the rows; the task number keeps batches of texts small
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text").repartition(SAMPLE_TASKS)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

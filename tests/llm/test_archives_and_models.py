@@ -88,6 +88,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_repeated_ids_and_labels_do_not_weigh_more(spark):
+    rows = corpus(random.Random(6))
+    labels = [(k, t) for k, _, t in rows]
+    once = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    many = toxicity.fit(spark.createDataFrame([r[:2] for r in rows] + [rows[k][:2] for k in (0, 1, 6)] * 50, "doc_id long, text string"), spark.createDataFrame(labels + labels[:20] * 3, "doc_id long, toxic int"))
+    assert once.weights and many.weights.keys() == once.weights.keys()
+    assert all(math.isclose(many.weights[f], w, rel_tol=1e-6, abs_tol=1e-9) for f, w in once.weights.items()) and np.allclose(many.cuts, once.cuts)
+
+
 def test_cumulative_link_recovers_the_order():
     g = np.random.default_rng(3)
     x = (g.random((3000, 3)) < 0.4).astype(float)
