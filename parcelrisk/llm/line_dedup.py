@@ -1,162 +1,138 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
-A text is cut into lines: at newlines, and inside long ones at sentence ends. A rolling hash over the hashes of two lines decides where
-a chunk ends, so the same lines are cut alike wherever they stand; a newline after a long line always ends one. Chunks of several
-lines that occur more than once in the corpus are candidates; their bytes are compared, and all but the first occurrence (by doc_id,
-then place) are cut out of their texts.
-
-``dedup_lines`` does that, as the query's SQL states it: it finds a repeat only if its ends are cut alike. ``dedup_passages`` finds
-all repeated runs of lines, wherever they start or end, from the shortest passage at each line and before each line's end.
+A text is cut into lines: at newlines, and inside paragraphs at sentence ends. A rolling hash over the hashes of two lines decides
+where boundaries lie, so the same lines are cut alike wherever they stand. Chunks run from one boundary to the next; so that the ends of
+a repeated passage are found too, the shortest chunk of several lines that begins or ends at each boundary counts as well. Chunks that
+occur more than once in the corpus are candidates; their bytes are compared, and all but the first occurrence (by doc_id, then place)
+are cut out of their texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk.llm.common import Scratch
 
-LINE = r"[^.!?\n]{1,200}[.!?]* *\n?|[.!?]+ *\n?|\n"
-SHORT = 40
-SALTED_ROWS = 200
-SALTED_PASSAGES = 5_000
+LINE = r"[^.!?。！？\n]{1,200}[.!?。！？]* *\n?|[.!?。！？]+ *\n?|\n"
+BLANK = r" \n"
+HOT_CHUNKS = 10_000
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """__k1, __k2 name a row: rows of one id with different texts stay apart, also where the id is null."""
-    return docs.withColumn("__k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__k2", F.xxhash64("doc_id", "text"))
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    """k1, k2 name a row: rows of one id with different texts stay apart, also where the id is null."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(doc_id, text).alias("k2")]
 
 
-def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
-    """__k1, __k2, start, len (in characters) and digest of each chunk of at least two lines and ``least_chars`` characters."""
-    d = docs.filter(F.length("text") > 0).select("__k1", "__k2", F.regexp_extract_all("text", F.lit(LINE), F.lit(0)).alias("lines"))
-    d = d.withColumn("n", F.size("lines"))
-    facts = "transform(lines, x -> named_struct('h', cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint), 'nl', endswith(x, '\\n'), 's', length(x) < {}))"
-    d = d.withColumn("f", F.expr(facts.format(SHORT)))
-    alone = "f[{i}].s AND (f[{i}].nl OR {i} = n - 1) AND ({i} = 0 OR f[{i} - 1].nl)"  # a short line by itself
-    # inside a line the hash of two lines decides, but not so that one is left alone at either end of it
-    inside = "i > 0 AND NOT f[i - 1].nl AND NOT f[i + 1].nl AND i + 2 < n"
-    ends = f"""filter(sequence(0, n - 1), i -> i = n - 1
-        OR (({inside}) AND (31 * f[i - 1].h + f[i].h) % {divisor} = 0)
-        OR (f[i].nl AND NOT ({alone.format(i="i")} AND {alone.format(i="(i + 1)")})))"""
-    d = d.withColumn("ends", F.expr(ends)).drop("f", "n")
-    spans = """transform(ends, (e, k) -> named_struct('lines', e - CASE WHEN k = 0 THEN -1 ELSE ends[k - 1] END,
-        'chunk', array_join(slice(lines, CASE WHEN k = 0 THEN 1 ELSE ends[k - 1] + 2 END, e - CASE WHEN k = 0 THEN -1 ELSE ends[k - 1] END), '')))"""
-    d = d.select("__k1", "__k2", F.expr(spans).alias("c"))
-    sizes = "transform(c, x -> named_struct('lines', x.lines, 'len', length(x.chunk), 'digest', unhex(md5(x.chunk))))"
-    d = d.select("__k1", "__k2", F.expr(sizes).alias("c"))
-    starts = "aggregate(c, named_struct('at', 0, 'all', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x.len, 'all', array_append(a.all, a.at)), a -> a.all)"
-    d = d.withColumn("starts", F.expr(starts))
-    kept = f"filter(transform(c, (x, k) -> named_struct('start', starts[k], 'len', x.len, 'lines', x.lines, 'digest', x.digest)), x -> x.lines > 1 AND x.len >= {least_chars})"
-    return d.select("__k1", "__k2", F.expr(f"explode({kept})").alias("x")).select("__k1", "__k2", "x.start", "x.len", "x.digest")
+def _lines(text: str = "text") -> Column:
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars: int) -> DataFrame:
-    """__k1, __k2, start, len of every chunk that an earlier chunk of the corpus equals byte by byte."""
-    all_chunks = scratch.write(chunks(docs, divisor, least_chars), "chunks")
-    often = all_chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    candidates = all_chunks.join(often, "digest").select("__k1", "__k2", "start", "len", "digest", F.ceil(F.col("n") / SALTED_ROWS).cast("int").alias("salts"))
-    bodies = docs.select("__k1", "__k2", "text")
-    met = bodies.join(candidates.hint("shuffle_hash"), ["__k1", "__k2"])
-    met = met.select("__k1", "__k2", "start", "len", "digest", "salts", F.substring("text", F.col("start") + 1, F.col("len")).alias("chunk"))
-    met = scratch.write(met, "candidates")
-    scratch.drop("chunks")
-    scratch.free()  # the texts that were shuffled for the candidates
-    place = F.struct("__k1", "__k2", "start")
-    first = met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("salts").alias("salts")).filter("n > 1")
-    # a chunk that very many texts hold meets its first occurrence in several tasks
-    first = first.select("digest", "chunk", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    salted = met.withColumn("salt", F.pmod(F.xxhash64("__k1", "__k2", "start"), F.col("salts")).cast("int"))
-    return salted.join(first, ["digest", "chunk", "salt"]).filter(place > F.col("first")).select("__k1", "__k2", "start", "len")
+def _chunk(lines: str, i: str, k: str) -> str:
+    """k lines from line i on, without white space at the end."""
+    return f"trim(TRAILING '{BLANK}' FROM array_join(slice({lines}, {i} + 1, {k}), ''))"
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 12, least_chars: int = 80) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with repeated multi-line chunks cut out of ``text``, and chunks_removed, chars_removed (long).
+def _shortest(at: str, step: int, most: str, least_chars: int) -> str:
+    """Least number of lines, two at least, that hold ``least_chars`` characters from line ``at`` on (step 1) or up to it (step -1): the first few by themselves, more in one pass."""
+    line = lambda k: f"get(len, {at} + {k})" if step > 0 else f"get(len, {at} - {k})"
+    if step > 0:
+        sums = [f"{' + '.join(line(j) for j in range(k - 1))} + get(bare, {at} + {k - 1})" for k in (2, 3, 4)]
+        rest, begin, add = f"slice(both, {at} + 4, {least_chars - 2})", " + ".join(line(j) for j in range(3)), "a.sum + x.bare"
+    else:
+        sums = [f"{' + '.join(line(j) for j in range(1, k))} + bare[{at}]" for k in (2, 3, 4)]
+        low = f"greatest({at} - {least_chars + 1}, 0)"
+        rest, begin, add = f"reverse(slice(both, {low} + 1, {at} - 2 - {low}))", f"{line(1)} + {line(2)} + bare[{at}]", "a.sum + x.len"
+    fold = f"""aggregate({rest}, named_struct('sum', {begin}, 'k', 3, 'found', cast(NULL AS INT)),
+        (a, x) -> named_struct('sum', a.sum + x.len, 'k', a.k + 1, 'found', coalesce(a.found, CASE WHEN {add} >= {least_chars} THEN a.k + 1 END)), a -> a.found)"""
+    return f"CASE {' '.join(f'WHEN {c} >= {least_chars} THEN {k}' for k, c in zip((2, 3, 4), sums, strict=True))} WHEN {most} > 4 THEN {fold} END"
 
-    A chunk ends on average after ``divisor`` lines inside long lines; shorter ones than ``least_chars`` characters and single lines
-    stay. What is left keeps its bytes and order. The first occurrence, by doc_id (null first), text hash and place, stays; repeats
-    inside one text go too. Equal rows of one id are one document and stay alike. A text may become empty; null stays null and
-    empty stays empty. Other columns are kept, existing ones of the two names are replaced.
-    """
-    scratch = Scratch(docs.sparkSession, "lines")
-    d = _with_key(docs.drop("chunks_removed", "chars_removed"))
-    spans = scratch.write(repeated_spans(d.select("doc_id", "text", "__k1", "__k2"), scratch, divisor, least_chars).distinct(), "spans")
-    scratch.drop("candidates")
-    scratch.free()
-    cuts = spans.groupBy(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2")).agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("__cuts"))
-    out = d.join(cuts.hint("shuffle_hash"), (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
-    kept = """array_join(transform(sequence(0, size(__cuts)), i -> substring(text, CASE WHEN i = 0 THEN 1 ELSE __cuts[i - 1].start + __cuts[i - 1].len + 1 END,
-        CASE WHEN i = size(__cuts) THEN length(text) ELSE __cuts[i].start END - CASE WHEN i = 0 THEN 0 ELSE __cuts[i - 1].start + __cuts[i - 1].len END)), '')"""
-    out = out.withColumn("chunks_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0 ELSE size(__cuts) END").cast("long"))
-    out = out.withColumn("chars_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0L ELSE aggregate(__cuts, 0L, (a, x) -> a + x.len) END"))
-    return out.withColumn("text", F.expr(f"CASE WHEN __cuts IS NULL THEN text ELSE {kept} END")).drop("__k1", "__k2", "__c1", "__c2", "__cuts")
 
+def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
+    """k1, k2, i, k and digest of the chunks of each text (k1, k2, text): k lines from line i on, two lines and ``least_chars`` characters at least.
 
-def passages(docs: DataFrame, least_chars: int) -> DataFrame:
-    """__k1, __k2, i, k and digest of the shortest passages (two lines and ``least_chars`` characters at least) that start or end with each line: k lines from line i on.
-
-    White space at a passage's end does not count. Every line of a run of lines that could be a passage lies in one of these that does not leave the run.
+    One line in ``divisor`` ends at a boundary. With 1 all do, and every run of lines that could be a chunk is covered by chunks that do not leave it.
     """
-    d = docs.filter(F.length("text") > 0).select("__k1", "__k2", F.regexp_extract_all("text", F.lit(LINE), F.lit(0)).alias("lines")).withColumn("n", F.size("lines")).filter("n > 1")
-    d = d.withColumn("len", F.expr("transform(lines, x -> length(x))")).withColumn("bare", F.expr("transform(lines, x -> length(trim(TRAILING ' \\n' FROM x)))"))
-
-    def shortest(at: str, step: int, most: str) -> str:
-        """Least number of lines from line ``at`` on (step 1) or up to it (step -1): the first few by themselves, more in one pass."""
-        line = lambda k: f"get(len, {at} + {k})" if step > 0 else f"get(len, {at} - {k})"
-        if step > 0:
-            sums = [f"{' + '.join(line(j) for j in range(k - 1))} + get(bare, {at} + {k - 1})" for k in (2, 3, 4)]
-            rest, begin, add = f"slice(both, {at} + 4, {least_chars - 2})", " + ".join(line(j) for j in range(3)), "a.sum + x.bare"
-        else:
-            sums = [f"{' + '.join(line(j) for j in range(1, k))} + bare[{at}]" for k in (2, 3, 4)]
-            rest, begin, add = f"reverse(slice(both, greatest({at} - {least_chars + 1}, 0) + 1, {at} - 2 - greatest({at} - {least_chars + 1}, 0)))", f"{line(1)} + {line(2)} + bare[{at}]", "a.sum + x.len"
-        fold = f"""aggregate({rest}, named_struct('sum', {begin}, 'k', 3, 'found', cast(NULL AS INT)),
-            (a, x) -> named_struct('sum', a.sum + x.len, 'k', a.k + 1, 'found', coalesce(a.found, CASE WHEN {add} >= {least_chars} THEN a.k + 1 END)), a -> a.found)"""
-        return f"CASE {' '.join(f'WHEN {c} >= {least_chars} THEN {k}' for k, c in zip((2, 3, 4), sums, strict=True))} WHEN {most} > 4 THEN {fold} END"
-
-    d = d.withColumn("both", F.expr("arrays_zip(len, bare)"))
-    d = d.withColumn("ahead", F.expr(f"transform(sequence(0, n - 2), i -> {shortest('i', 1, 'n - i')})"))
-    d = d.withColumn("back", F.expr(f"transform(sequence(1, n - 1), e -> {shortest('e', -1, 'e + 1')})"))
-    starts = "transform(ahead, (k, i) -> named_struct('i', i, 'k', k))"
-    ends = "filter(transform(back, (k, j) -> named_struct('i', j + 2 - k, 'k', k)), x -> x.k IS NOT NULL AND NOT ahead[x.i] <=> x.k)"
-    d = d.select("__k1", "__k2", "lines", F.expr(f"concat(filter({starts}, x -> x.k IS NOT NULL), {ends})").alias("p"))
-    digest = "unhex(substring(sha2(trim(TRAILING ' \\n' FROM array_join(slice(lines, x.i + 1, x.k), '')), 256), 1, 32))"
-    return d.select("__k1", "__k2", F.expr(f"explode(transform(p, x -> named_struct('i', x.i, 'k', x.k, 'digest', {digest})))").alias("x")).select("__k1", "__k2", "x.i", "x.k", "x.digest")
+    d = docs.filter(F.length("text") > 0).select("k1", "k2", _lines().alias("lines")).withColumn("n", F.size("lines")).filter("n > 1")
+    d = d.withColumn("bare", F.expr(f"transform(lines, x -> trim(TRAILING '{BLANK}' FROM x))"))
+    d = d.withColumn("hash", F.expr("transform(bare, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) AS bigint))") if divisor > 1 else F.lit(None))
+    d = d.withColumn("len", F.expr("transform(lines, x -> length(x))")).withColumn("bare", F.expr("transform(bare, x -> length(x))")).withColumn("both", F.expr("arrays_zip(len, bare)"))
+    here = f"i > 0 AND (31 * hash[i - 1] + hash[i]) % {divisor} = 0" if divisor > 1 else "true"
+    d = d.withColumn("last", F.expr(f"filter(sequence(0, n - 1), i -> i = n - 1 OR ({here}))"))
+    d = d.withColumn("begin", F.expr("concat(array(0), transform(slice(last, 1, size(last) - 1), e -> e + 1))"))
+    # a chunk as one number: i * 2^32 + k
+    ahead = f"transform(begin, i -> i * 4294967296L + CASE WHEN i < n - 1 THEN {_shortest('i', 1, 'n - i', least_chars)} END)"
+    back = f"transform(transform(last, e -> named_struct('e', e, 'k', CASE WHEN e > 0 THEN {_shortest('e', -1, 'e + 1', least_chars)} END)), x -> (x.e + 1 - x.k) * 4294967296L + x.k)"
+    chars = "aggregate(slice(len, i + 1, last[j] - i), 0, (a, x) -> a + x) + bare[last[j]]"
+    whole = f"transform(begin, (i, j) -> CASE WHEN last[j] > i AND {chars} >= {least_chars} THEN i * 4294967296L + last[j] - i + 1 END)"
+    d = d.select("k1", "k2", "lines", F.expr(f"array_compact(array_distinct(concat({ahead}, {back}, {whole})))").alias("p"))
+    i, k = "cast(shiftright(x, 32) AS int)", "cast(x & 4294967295L AS int)"
+    found = f"transform(p, x -> named_struct('i', {i}, 'k', {k}, 'digest', unhex(md5({_chunk('lines', i, k)}))))"
+    return d.select("k1", "k2", F.expr(f"explode({found})").alias("x")).select("k1", "k2", "x.i", "x.k", "x.digest")
+
+
+def _meet(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """``rows`` beside the group (digest, n, ...) of their digest. A group that holds more than one in ``HOT_CHUNKS`` of all rows meets them in several tasks; the list of such groups is that short at any size."""
+    share = max(total // HOT_CHUNKS, 1_000)
+    salts = F.ceil(F.col("n") / share).cast("int")
+    hot = groups.filter(F.col("n") > share).select("digest", salts.alias("salts"))
+    salted = rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("k1", "k2", "i"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    return salted.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), ["digest", "salt"]).drop("salt")
 
 
-def dedup_passages(docs: DataFrame, least_chars: int = 80) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with every repeated run of lines cut out of ``text``, and chunks_removed (runs), chars_removed (long).
-
-    A run of at least two lines (sentences inside paragraphs) and ``least_chars`` characters goes if it stands in an earlier place,
-    wherever it starts or ends there; white space at its end may differ. Texts are compared by 128 bits of SHA-256. What
-    is left keeps its bytes and order, and each line stays somewhere. Order, nulls, equal rows and columns are as in ``dedup_lines``.
+def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars: int) -> DataFrame:
+    """k1, k2, i, k of every chunk that an earlier chunk of the corpus equals byte by byte."""
+    found = scratch.write(chunks(docs, divisor, least_chars), "chunks")
+    often = scratch.write(found.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    candidates = _meet(found, often, found.count()).groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "k", "digest")).alias("c"))
+    met = docs.select("k1", "k2", "text").join(candidates, ["k1", "k2"]).select("k1", "k2", _lines().alias("lines"), "c")
+    held = f"transform(c, x -> named_struct('i', x.i, 'k', x.k, 'digest', x.digest, 'chunk', {_chunk('lines', 'x.i', 'x.k')}))"
+    met = scratch.write(met.select("k1", "k2", F.expr(f"explode({held})").alias("c")).select("k1", "k2", "c.*"), "candidates")
+    for name in ("chunks", "often"):
+        scratch.drop(name)
+    scratch.free()  # the texts that were shuffled for the candidates
+    place = F.struct("k1", "k2", "i")
+    first = scratch.write(met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
+    # nearly every digest stands for one string: its rows need no more than the digest to find their first occurrence
+    kinds = first.groupBy("digest").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    slim = met.select("k1", "k2", "i", "k", "digest")
+    alike = _meet(slim, kinds.filter("kinds = 1 AND n > 1").drop("kinds"), met.count())
+    clashing = kinds.filter("kinds > 1").select("digest")
+    apart = met.join(first.join(clashing, "digest", "left_semi").drop("n"), ["digest", "chunk"])
+    return alike.select("k1", "k2", "i", "k", "first").unionByName(apart.select("k1", "k2", "i", "k", "first")).filter(place > F.col("first")).select("k1", "k2", "i", "k")
+
+
+def dedup_lines(docs: DataFrame, divisor: int = 2, least_chars: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with repeated chunks of lines cut out of ``text``, and chunks_removed (runs of them), chars_removed (long).
+
+    One line in ``divisor`` ends at a boundary on average. Chunks of less than two lines or ``least_chars`` characters stay; white space
+    at a chunk's end does not count. What is left keeps its bytes and order. The first occurrence, by doc_id (null first), text hash
+    and place, stays; repeats inside one text go too. Equal rows of one id are one document and stay alike. A text may become empty;
+    null stays null and empty stays empty; an empty table gives no rows. Other columns are kept, existing ones of the two names are
+    replaced.
     """
-    scratch = Scratch(docs.sparkSession, "passages")
-    d = _with_key(docs.drop("chunks_removed", "chars_removed"))
-    found = scratch.write(passages(d.select("__k1", "__k2", "text"), least_chars), "passages")
-    place = F.struct("__k1", "__k2", "i")
-    often = scratch.write(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / SALTED_PASSAGES).cast("int")), "often")
-    scratch.free()
-    # a passage that very many texts hold meets its first occurrence in several tasks
-    hot = often.filter("salts > 1").select("digest", "salts")
-    salts = F.coalesce("salts", F.lit(1))
-    salted = found.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("__k1", "__k2", "i"), salts).cast("int")).drop("salts")  # less than one row for SALTED_PASSAGES rows
-    first = often.select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    spans = scratch.write(salted.join(first, ["digest", "salt"]).filter(place > F.col("first")).select("__k1", "__k2", "i", "k"), "spans")
-    scratch.drop("passages")
-    scratch.drop("often")
+    scratch = Scratch(docs.sparkSession, "lines")
+    docs = docs.drop("chunks_removed", "chars_removed")
+    d = docs.select(*_keys(F.col("doc_id"), F.col("text")), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    spans = scratch.write(repeated_spans(d.select("k1", "k2", "row.text"), scratch, divisor, least_chars).distinct(), "spans")
+    for name in ("candidates", "first"):
+        scratch.drop(name)
     scratch.free()
-    cuts = spans.groupBy(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2")).agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("__spans"))
-    # overlapping and touching passages are one run: [from, to)
-    runs = """aggregate(__spans, named_struct('done', cast(array() as array<struct<from: int, to: int>>), 'from', __spans[0].i, 'to', __spans[0].i),
+    # overlapping and touching chunks are one run: [from, to)
+    runs = """aggregate(spans, named_struct('done', cast(array() as array<struct<from: int, to: int>>), 'from', spans[0].i, 'to', spans[0].i),
         (a, x) -> IF(x.i <= a.to, named_struct('done', a.done, 'from', a.from, 'to', greatest(a.to, x.i + x.k)),
             named_struct('done', array_append(a.done, named_struct('from', a.from, 'to', a.to)), 'from', x.i, 'to', x.i + x.k)),
         a -> array_append(a.done, named_struct('from', a.from, 'to', a.to)))"""
-    cuts = cuts.select("__c1", "__c2", F.expr(runs).alias("__cuts"))
-    out = d.join(cuts.hint("shuffle_hash"), (F.col("__k1") == F.col("__c1")) & (F.col("__k2") == F.col("__c2")), "left")
-    out = out.withColumn("__lines", F.when(F.col("__cuts").isNotNull(), F.regexp_extract_all("text", F.lit(LINE), F.lit(0))))
-    kept = """array_join(transform(sequence(0, size(__cuts)), j -> array_join(slice(__lines, IF(j = 0, 0, __cuts[j - 1].to) + 1,
-        IF(j = size(__cuts), size(__lines), __cuts[j].from) - IF(j = 0, 0, __cuts[j - 1].to)), '')), '')"""
-    out = out.withColumn("__kept", F.expr(f"CASE WHEN __cuts IS NULL THEN text ELSE {kept} END"))
-    out = out.withColumn("chunks_removed", F.expr("CASE WHEN __cuts IS NULL THEN 0 ELSE size(__cuts) END").cast("long"))
-    out = out.withColumn("chars_removed", F.coalesce(F.length("text") - F.length("__kept"), F.lit(0)).cast("long"))
-    return out.withColumn("text", F.col("__kept")).drop("__k1", "__k2", "__c1", "__c2", "__cuts", "__lines", "__kept")
+    cuts = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("spans")).select("k1", "k2", F.expr(runs).alias("cuts"))
+    out = d.join(cuts, ["k1", "k2"], "left").select("row", "cuts", F.when(F.col("cuts").isNotNull(), _lines("row.text")).alias("lines"))
+    kept = """array_join(transform(sequence(0, size(cuts)), j -> array_join(slice(lines, IF(j = 0, 0, cuts[j - 1].to) + 1,
+        IF(j = size(cuts), size(lines), cuts[j].from) - IF(j = 0, 0, cuts[j - 1].to)), '')), '')"""
+    out = out.select("row", "cuts", F.expr(f"CASE WHEN cuts IS NULL THEN row.text ELSE {kept} END").alias("kept"))
+    columns = [(F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
+    removed = F.coalesce(F.length("row.text") - F.length("kept"), F.lit(0)).cast("long")
+    return out.select(*columns, F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long").alias("chunks_removed"), removed.alias("chars_removed"))
+
+
+def dedup_passages(docs: DataFrame, least_chars: int = 80) -> DataFrame:
+    """``dedup_lines`` with a boundary at every line: every repeated run of lines goes, wherever it starts or ends."""
+    return dedup_lines(docs, 1, least_chars)

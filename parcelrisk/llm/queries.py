@@ -15,18 +15,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0),
-l AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]{1,200}[.!?]* *\n?|[.!?]+ *\n?|\n') AS lines FROM d),
+WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？\n]{1,200}[.!?。！？]* *\n?|[.!?。！？]+ *\n?|\n') AS lines FROM documents WHERE length(text) > 0),
 u AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM l),
-f AS (SELECT *, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h, ends_with(x, chr(10)) AS nl, length(x) < 40 AS s FROM u),
-g AS (SELECT *, lag(h) OVER w AS ph, lag(nl) OVER w AS pnl, lead(nl) OVER w AS nnl FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-a AS (SELECT *, s AND (nl OR i = n) AND (i = 1 OR pnl) AS alone FROM g),
-b AS (SELECT *, lead(alone) OVER (PARTITION BY doc_id ORDER BY i) AS next_alone FROM a),
-e AS (SELECT *, i = n OR (i > 1 AND NOT pnl AND NOT nnl AND i + 1 < n AND (31 * ph + h) % 12 = 0) OR (nl AND NOT (alone AND coalesce(next_alone, false))) AS last FROM b),
-c AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-t AS (SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS chunk, count(*) AS m FROM c GROUP BY doc_id, k),
-r AS (SELECT *, m > 1 AND length(chunk) >= 80 AND row_number() OVER (PARTITION BY chunk, m > 1 AND length(chunk) >= 80 ORDER BY doc_id, k) > 1 AS gone FROM t),
-o AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, '' ORDER BY k), '') AS text, count(*) FILTER (gone) AS chunks_removed, coalesce(sum(length(chunk)) FILTER (gone), 0)::BIGINT AS chars_removed FROM r GROUP BY doc_id)
+f AS (SELECT doc_id, x, i, n, length(rtrim(x, ' ' || chr(10))) AS bare, ('0x' || substr(md5(rtrim(x, ' ' || chr(10))), 1, 8))::BIGINT AS h,
+  sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS before FROM u),
+e AS (SELECT *, i = n OR (i > 1 AND (31 * lag(h) OVER w + h) % 2 = 0) AS last FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, i = 1 OR lag(last) OVER w AS begin, min(CASE WHEN last THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT a.doc_id, a.i AS a, b.i AS b, a.begin, b.last, a.next FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.i > a.i AND b.before + b.bare - a.before >= 80 AND (a.begin OR b.last)),
+s AS (SELECT doc_id, a, min(b) AS b FROM p WHERE begin GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM p WHERE last GROUP BY doc_id, b UNION SELECT doc_id, a, b FROM p WHERE begin AND b = next),
+t AS (SELECT s.doc_id, a, b, rtrim(string_agg(x, '' ORDER BY i), ' ' || chr(10)) AS chunk FROM s JOIN f ON f.doc_id = s.doc_id AND i BETWEEN a AND b GROUP BY s.doc_id, a, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) > 1 AS gone FROM t),
+c AS (SELECT f.*, EXISTS (SELECT 1 FROM r WHERE r.doc_id = f.doc_id AND gone AND i BETWEEN a AND b) AS cut FROM f),
+d AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER w, false) AS opens FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+o AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN x END, '' ORDER BY i), '') AS text, count(*) FILTER (opens) AS chunks_removed, coalesce(sum(length(x)) FILTER (cut), 0)::BIGINT AS chars_removed FROM d GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(o.text, documents.text) AS text, coalesce(o.chunks_removed, 0) AS chunks_removed, coalesce(o.chars_removed, 0) AS chars_removed
 FROM documents LEFT JOIN o ON documents.doc_id = o.doc_id
 """
