@@ -21,18 +21,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier one holds; n_chars follows the text."""
-    cleaned = line_dedup.dedup_passages(docs)
+    """All documents, without chunks of lines that an earlier place holds; n_chars follows the text."""
+    cleaned = line_dedup.dedup_lines(docs)
     n_chars = F.when(F.col("chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return cleaned.select(*[n_chars if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; documents without id stay."""
+    """One document of each near-duplicate group: that of the smallest id, and of several rows of that id the first by the text's hash. Documents without id stay."""
     scratch = Scratch(spark, "keepers")
-    groups = simhash.near_duplicates(docs)
-    gone = scratch.write(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = scratch.write(simhash.near_duplicates(docs), "groups")
+    often = scratch.write(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "often")
+    gone = scratch.write(groups.filter("doc_id <> component_id").select("doc_id").union(often).distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if often.isEmpty():
+        return kept
+    # rows that share an id are told apart by their fingerprints
+    again = docs.join(often, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("h"))
+    prints = simhash.fingerprints(again.select("h", "row.text"), key="h").distinct()
+    first = groups.filter("doc_id = component_id").join(often, "doc_id", "left_semi").distinct()
+    again = again.join(prints, "h").join(first, (F.col("row.doc_id") == F.col("doc_id")) & (prints["fp"] == first["fp"])).groupBy("component_id").agg(F.min_by("row", "h").alias("row"))
+    return kept.unionByName(again.select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
