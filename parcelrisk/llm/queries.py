@@ -24,7 +24,7 @@ g AS (SELECT *, i = 1 OR lag(last) OVER w AS begin, min(CASE WHEN last THEN i EN
 p AS (SELECT a.doc_id, a.i AS a, b.i AS b, a.begin, b.last, a.next FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.i > a.i AND b.before + b.bare - a.before >= 80 AND (a.begin OR b.last)),
 s AS (SELECT doc_id, a, min(b) AS b FROM p WHERE begin GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM p WHERE last GROUP BY doc_id, b UNION SELECT doc_id, a, b FROM p WHERE begin AND b = next),
 t AS (SELECT s.doc_id, a, b, rtrim(string_agg(x, '' ORDER BY i), ' ' || chr(10)) AS chunk FROM s JOIN f ON f.doc_id = s.doc_id AND i BETWEEN a AND b GROUP BY s.doc_id, a, b),
-r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) > 1 AS gone FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) > 1 AS gone FROM t WHERE length(chunk) >= 80),
 c AS (SELECT f.*, EXISTS (SELECT 1 FROM r WHERE r.doc_id = f.doc_id AND gone AND i BETWEEN a AND b) AS cut FROM f),
 d AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER w, false) AS opens FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 o AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN x END, '' ORDER BY i), '') AS text, count(*) FILTER (opens) AS chunks_removed, coalesce(sum(length(x)) FILTER (cut), 0)::BIGINT AS chars_removed FROM d GROUP BY doc_id)
