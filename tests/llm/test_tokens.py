@@ -113,3 +113,26 @@ def test_plan_uses_each_piece_once():
             for length in row:
                 used[length] += n
         assert (used == h).all()
+
+
+def residual(lengths, h, x):
+    return h - np.bincount(lengths.ravel(), (np.where(lengths > 0, 1.0, 0) * x[:, None]).ravel(), len(h))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_counts_are_nearly_the_least_squares(seed):
+    """Against coordinate descent, which is exact in the end."""
+    g, window = np.random.default_rng(seed), 24
+    h = [g.integers(0, 500, window + 1), np.bincount(g.integers(1, 9, 5000), minlength=window + 1), np.bincount(np.r_[g.integers(14, 25, 3000), g.integers(1, 25, 400)], minlength=window + 1)][seed - 1]
+    h[0] = 0
+    lengths = packing.combinations(window)
+    x = packing.repeat_counts(lengths, h)
+    exact, rest = np.zeros(len(lengths)), h.astype(float)
+    rows = [[int(v) for v in row if v] for row in lengths]
+    for _ in range(4000):
+        for j, row in enumerate(rows):
+            move = max(sum(rest[v] for v in row) / sum(row.count(v) for v in row), -exact[j])
+            exact[j] += move
+            for v in row:
+                rest[v] -= move
+    assert (x >= 0).all() and np.linalg.norm(residual(lengths, h, x)) <= 1.01 * np.linalg.norm(rest) + 1e-3 * np.linalg.norm(h)
