@@ -28,6 +28,11 @@ def record_id(key: Column, digest: Column, copy: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
+def joined_bytes(parts: Column) -> Column:
+    """Strings of one character a byte as one binary, in time linear in its length."""
+    return F.encode(F.array_join(parts, ""), "ISO-8859-1")
+
+
 def header(*fields: tuple[str, Column]) -> Column:
     """A field whose value is null is left out."""
     return F.concat(F.lit("WARC/1.1" + CRLF), *[F.coalesce(F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit(CRLF)), F.lit("")) for k, v in fields], F.lit(CRLF))
@@ -45,15 +50,14 @@ def classify(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 
 def records(pages: DataFrame, segment_bytes: int = 16_384, chunk_bytes: int = 4_096) -> DataFrame:
     """One string per WARC record of the classified pages. Blocks are HTTP responses with chunked bodies; what is longer than ``segment_bytes`` continues in further records. Cuts fall on bytes, not on letters."""
-    size = F.octet_length("html")
     raw = F.col("html").cast("binary")
 
     def frame(i: Column) -> Column:
         piece = F.substring(raw, i * chunk_bytes + 1, F.lit(chunk_bytes))
-        return F.concat(F.lower(F.hex(F.octet_length(piece).cast("long"))).cast("binary"), F.lit(CRLF).cast("binary"), piece, F.lit(CRLF).cast("binary"))
+        return F.concat(F.lower(F.hex(F.octet_length(piece).cast("long"))), F.lit(CRLF), F.decode(piece, "ISO-8859-1"), F.lit(CRLF))
 
-    count = F.ceil(size / chunk_bytes).cast("int")
-    frames = F.when(size > 0, F.aggregate(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), frame), F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x))).otherwise(F.lit("").cast("binary"))
+    count = F.ceil(F.octet_length("html") / chunk_bytes).cast("int")
+    frames = F.when(count > 0, joined_bytes(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), frame))).otherwise(F.lit("").cast("binary"))
     http = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Transfer-Encoding: chunked{CRLF}{CRLF}").cast("binary")
     full = F.concat(http, frames, F.lit(f"0{CRLF}{CRLF}").cast("binary"))
     empty = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}").cast("binary")
@@ -159,7 +163,7 @@ def reassemble(parsed: DataFrame) -> DataFrame:
     parts = parsed.filter("segment IS NOT NULL").withColumn("of", F.coalesce("origin", "record_id"))
     piece = F.struct("segment", "total", "block", "type", "uri", "refers_to", "digest")
     grouped = parts.groupBy("of").agg(F.array_sort(F.collect_list(piece)).alias("s"))
-    joined = F.aggregate("s", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["block"]))
+    joined = joined_bytes(F.transform("s", lambda x: F.decode(x["block"], "ISO-8859-1")))
     numbers_fit = F.expr("forall(sequence(1, size(s)), i -> element_at(s, i).segment = i)")
     last, first = F.element_at("s", -1), F.element_at("s", 1)
     grouped = grouped.withColumn("block", joined)

@@ -59,6 +59,14 @@ def test_lost_segments_and_broken_chunks_fail(spark, tmp_path):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
 
 
+def test_a_very_long_page_of_any_bytes(spark):
+    long = "".join(map(chr, [*range(0x0, 0xD800), *range(0xE000, 0x11000)])) * 24
+    out = warc.round_trip(spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "x" * 4096), (4, "u", "y" * 8192)], PAGES)).orderBy("page_id").collect()
+    body = long.encode()
+    assert [(r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out[:2]] == [(len(body), "response", None), (len(body), "revisit", 1)]
+    assert all(r["payload_digest"] == hashlib.sha256(body).hexdigest() for r in out[:2]) and [r["payload_bytes"] for r in out[2:]] == [4096, 8192]
+
+
 def corpus(g, n=400):
     clean = ["".join(g.choice(["ba", "do", "ki", "lu", "me"]) for _ in range(g.randrange(1, 5))) for _ in range(300)]
     rows = []
