@@ -2,7 +2,8 @@
 
 Unit vectors are quantised to int8 codes with one scale each; the length of what quantisation drops is kept as the vector's error.
 The product of two codes is off by at most e_x + e_y + e_x e_y, so a tile product that adds these terms never misses a link; only
-pairs it lets through are computed again in double precision.
+pairs it lets through are computed again in double precision. Products of int8 codes are whole numbers: summed over at most
+``EXACT_WIDTH`` components they are exact in single precision, whose matrix product is the fast one here.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from parcelrisk.llm.components import connected_components
 
 BLOCK = "block int, rows int, width int, row_ids binary, vec_ids binary, missing binary, codes binary, scales binary, errors binary, exact binary"
 TILE_OUT = "a long, b long, links long"
+EXACT_WIDTH = 1040  # 1040 x 127 x 127 < 2^24
+ROUNDING = 1e-9  # far above what double precision loses
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,14 +31,25 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(unit - codes * scale[:, None], axis=1)
 
 
+def code_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact products of two matrices of int8 codes (rows by rows)."""
+    slabs = [x[:, lo : lo + EXACT_WIDTH].astype(np.float32) @ y[:, lo : lo + EXACT_WIDTH].astype(np.float32).T for lo in range(0, x.shape[1], EXACT_WIDTH)]
+    return slabs[0] if len(slabs) == 1 else np.sum(slabs, axis=0, dtype=np.float64)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. The largest component becomes 1 first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def pack_block(group: pd.DataFrame) -> pd.DataFrame:
-    x = np.array(group["embedding"].tolist(), np.float64)
-    norm = np.linalg.norm(x, axis=1)
-    codes, scale, error = quantise(x / norm[:, None])
+    x = unit_rows(np.array(group["embedding"].tolist(), np.float64))
+    codes, scale, error = quantise(x)
     block = int(group["block"].iloc[0])
     row_ids = (block << 24) + np.arange(len(group), dtype=np.int64)
     ids = group["vec_id"]
-    return pd.DataFrame([[block, len(group), x.shape[1], row_ids.tobytes(), ids.fillna(0).to_numpy(np.int64).tobytes(), ids.isna().to_numpy().tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes(), (x / norm[:, None]).tobytes()]], columns=[c.split()[0] for c in BLOCK.split(", ")])
+    return pd.DataFrame([[block, len(group), x.shape[1], row_ids.tobytes(), ids.fillna(0).to_numpy(np.int64).tobytes(), ids.isna().to_numpy().tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes(), x.tobytes()]], columns=[c.split()[0] for c in BLOCK.split(", ")])
 
 
 def _matrices(row: pd.Series) -> tuple[np.ndarray, ...]:
@@ -63,16 +77,13 @@ def link_tile(group: pd.DataFrame, threshold: float, rows: int = 512) -> pd.Data
     same = len(parts) == 1
     (ids_x, qx, sx, ex, x), (ids_y, qy, sy, ey, y) = parts[0], parts[-1]
     nx, ny = len(ids_x), len(ids_y)
-    worst = ex.max()
-    # two more columns carry the error terms: the product is then an upper bound of the cosine
-    left = np.column_stack([qx * sx[:, None], ex, np.ones(nx)]).astype(np.float32)
-    right = np.column_stack([qy * sy[:, None], np.ones(ny), ey * (1 + worst)]).astype(np.float32).T.copy()
     ids = ids_x if same else np.r_[ids_x, ids_y]
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
     shift = 0 if same else nx
     for lo in range(0, nx, rows):
-        bound = left[lo : lo + rows] @ right
-        r, c = np.divmod(np.flatnonzero(bound >= np.float32(threshold - 1e-4)), ny)  # 1e-4: far above what float32 sums can lose
+        part = slice(lo, lo + rows)
+        bound = code_products(qx[part], qy) * (sx[part, None] * sy) + ex[part, None] + (1 + ex[part, None]) * ey
+        r, c = np.divmod(np.flatnonzero(bound >= threshold - ROUNDING), ny)
         r += lo
         if same:
             r, c = r[r < c], c[r < c]

@@ -205,6 +205,16 @@ def test_quantised_bound_never_misses():
     assert (np.abs(approx - u @ u.T) <= error[:, None] + error[None, :] + error[:, None] * error[None, :] + 1e-12).all()
 
 
+def test_products_of_codes_are_exact_and_lengths_do_not_overflow(spark):
+    g = np.random.default_rng(7)
+    for d in (3, 1040, 2500):
+        x, y = (g.choice(np.array([-127, 127, 126], np.int8), (5, d)) for _ in range(2))
+        assert (embedding_dedup.code_products(x, y) == x.astype(np.int64) @ y.astype(np.int64).T).all()
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [3.0, 6.0]), (4, [5e-324, 0.0]), (5, [2.0, 0.0]), (None, [1.0, 2.0]), (1, [1.0, 2.0])]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in out) == [(-1, 4, 1, False), (1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
 def jaccard(x, y):
     x, y = (collections.Counter(t.lower().split()) for t in (x, y))
     total = sum(max(x[w], y[w]) for w in x | y)
