@@ -41,14 +41,15 @@ def _shortest(at: str, step: int, most: str, least_chars: int) -> str:
     """Least number of lines, two at least, that hold ``least_chars`` characters from line ``at`` on (step 1) or up to it (step -1): the first few by themselves, more in one pass."""
     near = range(2, 7)  # numbers of lines that are tried one by one
     n = near[-1]
+    both = lambda begin, size: f"zip_with(slice(len, {begin}, {size}), slice(bare, {begin}, {size}), (l, b) -> named_struct('len', l, 'bare', b))"
     line = lambda k: f"get(len, {at} + {k})" if step > 0 else f"get(len, {at} - {k})"
     if step > 0:
         sums = [f"{' + '.join(line(j) for j in range(k - 1))} + get(bare, {at} + {k - 1})" for k in near]
-        rest, begin, add = f"slice(both, {at} + {n}, {least_chars})", " + ".join(line(j) for j in range(n - 1)), "a.sum + x.bare"
+        rest, begin, add = both(f"{at} + {n}", least_chars), " + ".join(line(j) for j in range(n - 1)), "a.sum + x.bare"
     else:
         sums = [f"{' + '.join(line(j) for j in range(1, k))} + bare[{at}]" for k in near]
         low = f"greatest({at} - {least_chars + 1}, 0)"
-        rest, begin, add = f"reverse(slice(both, {low} + 1, {at} - {n - 2} - {low}))", f"{' + '.join(line(j) for j in range(1, n - 1))} + bare[{at}]", "a.sum + x.len"
+        rest, begin, add = f"reverse({both(f'{low} + 1', f'{at} - {n - 2} - {low}')})", f"{' + '.join(line(j) for j in range(1, n - 1))} + bare[{at}]", "a.sum + x.len"
     fold = f"""aggregate({rest}, named_struct('sum', {begin}, 'k', {n - 1}, 'found', cast(NULL AS INT)),
         (a, x) -> named_struct('sum', a.sum + x.len, 'k', a.k + 1, 'found', coalesce(a.found, CASE WHEN {add} >= {least_chars} THEN a.k + 1 END)), a -> a.found)"""
     return f"CASE {' '.join(f'WHEN {c} >= {least_chars} THEN {k}' for k, c in zip(near, sums, strict=True))} WHEN {most} > {n} THEN {fold} END"
@@ -59,29 +60,30 @@ def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
 
     One line in ``divisor`` ends at a boundary. With 1 all do, and every run of lines that could be a chunk is covered by chunks that do not leave it.
     """
-    d = docs.filter(F.length("text") > 0).select("k1", "k2", _lines().alias("lines")).withColumn("n", F.size("lines")).filter("n > 1")
+    d = docs.filter(F.length("text") > 0).select("k1", "k2", _lines().alias("lines")).withColumn("n", F.size("lines"))
     d = d.withColumn("ends", F.expr(f"transform(lines, x -> trim(TRAILING '{BLANK}' FROM x))"))
     # arrays of their own: fields taken from an array of structs would be taken anew for every element
     turn = "transform(ends, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) AS bigint))" if divisor > 1 else "array(0L)"
     d = d.select("k1", "k2", "n", F.expr("transform(lines, x -> length(x)) AS len"), F.expr("transform(ends, x -> length(x)) AS bare"), F.expr("transform(lines, x -> xxhash64(x)) AS hash"), F.expr("transform(ends, x -> xxhash64(x)) AS end"), F.expr(f"{turn} AS turn"))
-    d = d.withColumn("both", F.expr("arrays_zip(len, bare)"))
     here = f"i > 0 AND (31 * turn[i - 1] + turn[i]) % {divisor} = 0" if divisor > 1 else "true"
     d = d.withColumn("last", F.expr(f"filter(sequence(0, n - 1), i -> i = n - 1 OR ({here}))"))
     d = d.withColumn("begin", F.expr("concat(array(0), transform(slice(last, 1, size(last) - 1), e -> e + 1))"))
     # a chunk as one number: i * 2^32 + k
     ahead = f"transform(begin, i -> i * 4294967296L + CASE WHEN i < n - 1 THEN {_shortest('i', 1, 'n - i', least_chars)} END)"
     back = f"transform(transform(last, e -> named_struct('e', e, 'k', CASE WHEN e > 0 THEN {_shortest('e', -1, 'e + 1', least_chars)} END)), x -> (x.e + 1 - x.k) * 4294967296L + x.k)"
-    chars = "aggregate(slice(len, i + 1, last[j] - i), 0, (a, x) -> a + x) + bare[last[j]]"
-    whole = f"transform(begin, (i, j) -> CASE WHEN last[j] > i AND {chars} >= {least_chars} THEN i * 4294967296L + last[j] - i + 1 END)"
-    d = d.select("k1", "k2", "len", "hash", "end", "bare", F.expr(f"array_compact(array_distinct(concat({ahead}, {back}, {whole})))").alias("p"))
+    d = d.withColumn("ahead", F.expr(ahead))
+    # characters never fall as a run grows: a whole chunk is long enough if it has no fewer lines than the shortest from its begin
+    whole = "transform(last, (e, j) -> CASE WHEN e + 1 > begin[j] + (ahead[j] & 4294967295L) THEN begin[j] * 4294967296L + e + 1 - begin[j] END)"
+    d = d.select("k1", "k2", "len", "hash", "end", "bare", F.expr(f"array_compact(array_distinct(concat(ahead, {back}, {whole})))").alias("p"))
     # the digest is a hash of the lines' hashes, where blank lines at the end do not count
     d = d.withColumn("p", F.expr("transform(p, x -> named_struct('i', cast(shiftright(x, 32) AS int), 'k', cast(x & 4294967295L AS int)))"))
     tail = "array_position(reverse(transform(slice(bare, x.i + 1, x.k), b -> b > 0)), true)"
     full = f"CASE WHEN bare[x.i + x.k - 1] > 0 THEN x.k WHEN {tail} > 0 THEN x.k - {tail} + 1 ELSE 0 END"
-    digest = "xxhash64(slice(hash, x.i + 1, x.full - 1), end[x.i + x.full - 1])"
     long = f"x.full = x.k OR (x.full > 0 AND aggregate(slice(len, x.i + 1, x.full - 1), 0, (a, y) -> a + y) + bare[x.i + x.full - 1] >= {least_chars})"
-    found = f"transform(filter(transform(p, x -> named_struct('i', x.i, 'k', x.k, 'full', cast({full} AS int))), x -> {long}), x -> named_struct('i', x.i, 'k', x.k, 'digest', {digest}))"
-    return d.select("k1", "k2", F.expr(f"explode({found})").alias("x")).select("k1", "k2", "x.i", "x.k", "x.digest")
+    found = f"filter(transform(p, x -> named_struct('i', x.i, 'k', x.k, 'full', cast({full} AS int))), x -> {long})"
+    # from here on code is compiled; of an inner explode the optimizer would infer filters, and evaluate the arrays once more for them
+    d = d.select("k1", "k2", "hash", "end", F.expr(f"explode_outer({found})").alias("x")).filter("x IS NOT NULL")
+    return d.select("k1", "k2", "x.i", "x.k", F.expr("xxhash64(slice(hash, x.i + 1, x.full - 1), get(end, x.i + x.full - 1))").alias("digest"))
 
 
 def _meet(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
@@ -100,7 +102,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars:
     candidates = _meet(found, often, found.count()).groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "k", "digest")).alias("c"))
     met = docs.select("k1", "k2", "text").join(candidates, ["k1", "k2"]).select("k1", "k2", _lines().alias("lines"), "c")
     held = f"transform(c, x -> named_struct('i', x.i, 'k', x.k, 'digest', x.digest, 'chunk', {_chunk('lines', 'x.i', 'x.k')}))"
-    met = scratch.write(met.select("k1", "k2", F.expr(f"explode({held})").alias("c")).select("k1", "k2", "c.*"), "candidates")
+    met = scratch.write(met.select("k1", "k2", F.expr(f"explode_outer({held})").alias("c")).filter("c IS NOT NULL").select("k1", "k2", "c.*"), "candidates")
     for name in ("chunks", "often"):
         scratch.drop(name)
     scratch.free()  # the texts that were shuffled for the candidates
