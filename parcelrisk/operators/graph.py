@@ -100,8 +100,8 @@ def standardise(df: DataFrame, features: list[str], keys: list[str], prefix: str
 
 def feature_table(nodes: DataFrame, features: list[str], label: str | None = None) -> DataFrame:
     """Keys, z-scored features in order, the label if there is one, and the position, which is no feature."""
-    z = standardise(nodes, features, ["site_id"])
-    return z.select("site_id", "node_id", *[F.col(f"z_{f}").alias(f) for f in features], *([F.col(label).alias("y")] if label else []), F.col("x").alias("pos_x"), F.col("y").alias("pos_y")) if label != "y" else z
+    z = standardise(nodes.withColumn("label", F.col(label)) if label else nodes, features, ["site_id"])
+    return z.select("site_id", "node_id", *[F.col(f"z_{f}").alias(f) for f in features], *([F.col("label").alias("y")] if label else []), F.col("x").alias("pos_x"), F.col("y").alias("pos_y"))
 
 
 def union_sites(parts: list[DataFrame]) -> DataFrame:

@@ -71,6 +71,13 @@ def first_original(manifest: DataFrame) -> DataFrame:
     return manifest.filter("variant = 'orig'").withColumn("k", k).filter("k = 1").drop("k")
 
 
+def check_split(df: DataFrame, ids: list[str], split: str = "split") -> DataFrame:
+    """One row per site: its ids, those in more than one split (shared) and those with a row that has no split (missing), and whether the split is exclusive and complete."""
+    each = df.groupBy("site_id", *ids).agg(F.count_distinct(split).alias("splits"), F.max(F.col(split).isNull().cast("int")).alias("without"))
+    report = each.groupBy("site_id").agg(F.count("*").alias("ids"), F.count_if(F.col("splits") > 1).alias("shared"), F.count_if(F.col("without") == 1).alias("missing"))
+    return report.withColumns({"exclusive": F.col("shared") == 0, "complete": F.col("missing") == 0})
+
+
 def by_site(manifest: DataFrame) -> DataFrame:
     """Entries per site; a row without site fails."""
     key = F.coalesce("site_id", F.raise_error(F.lit("manifest entry without site")).cast("int"))

@@ -50,11 +50,12 @@ def label_ingredients(obs: DataFrame, terrain: DataFrame) -> DataFrame:
 
 def fusion(parcels: DataFrame, heads: DataFrame, zones: DataFrame, reference: DataFrame | None = None) -> dict[str, DataFrame]:
     """decisions, summary, audit, lift. ``heads`` has flood_proba and class probabilities by parcel; zones override, a corridor never does.
+    A parcel without a row in ``heads`` stays, without a valid decision.
 
     A failing audit raises. Lift is reported only if every fused site has reference parcels.
     """
     placed = spatial.in_zone(parcels, zones)
-    joined = placed.join(heads.drop("inside_zone"), ["site_id", "node_id"])
+    joined = placed.join(heads.drop("inside_zone"), ["site_id", "node_id"], "left")
     decisions = settle(policy.decide_policy(joined))
     audit = policy.justice_audit(decisions)
     if not audit.first()["passes"]:

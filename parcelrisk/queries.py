@@ -223,7 +223,7 @@ def zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT site_id, \"row\", col, round(median(vv), 6) AS median_vv, min(vv) AS min_vv FROM scene_obs WHERE (qa & 3072) = 0 GROUP BY site_id, \"row\", col")
 def composite_median_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fixture(spark, sf_dir, "scene_obs").filter(R.clear_sky(F.col("qa")))
-    return rounded(d.groupBy(*raster.PIXEL).agg(F.median("vv").alias("median_vv"), F.min("vv").alias("min_vv")))
+    return rounded(raster.composite(d, "vv", "median", "median_vv").join(raster.composite(d, "vv", "min", "min_vv"), raster.PIXEL))
 
 
 @query("SELECT qa, count(*) AS n, count(*) FILTER ((qa & 3072) = 0) AS clear, round(sum(CASE WHEN (qa & 3072) = 0 THEN vv / 10000 END), 6) AS scaled FROM scene_obs GROUP BY qa")
@@ -429,6 +429,12 @@ def prefer_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.prefer_original(fixture(spark, sf_dir, "manifest")).select("site_id", "entry_id", "variant")
 
 
+@query("WITH e AS (SELECT site_id, row_off, col_off, count(DISTINCT nullif(entry_id % 4, 3)) AS n, bool_or(entry_id % 4 = 3) AS without FROM manifest GROUP BY ALL) SELECT site_id, count(*) AS ids, count(*) FILTER (n > 1) AS shared, count(*) FILTER (without) AS missing, count(*) FILTER (n > 1) = 0 AS exclusive, count(*) FILTER (without) = 0 AS complete FROM e GROUP BY site_id")
+def split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.when(F.col("entry_id") % 4 < 3, F.array(F.lit("train"), F.lit("val"), F.lit("test"))[(F.col("entry_id") % 4).cast("int")])
+    return splits.check_split(fixture(spark, sf_dir, "manifest").withColumn("split", split), ["row_off", "col_off"])
+
+
 @query("SELECT site_id, row_off, col_off, min(entry_id) AS entry_id FROM manifest WHERE variant = 'orig' GROUP BY ALL")
 def first_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.first_original(fixture(spark, sf_dir, "manifest")).select("site_id", "row_off", "col_off", "entry_id")
@@ -610,6 +616,11 @@ def usable_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "parcel_heads").select("site_id", "node_id", heads.flood_usable(F.col("flood_proba")).alias("flood_ok"), heads.class_usable(p).alias("class_ok"))
 
 
+@query("WITH m AS (SELECT site_id, avg(area_m2) AS m, greatest(coalesce(stddev_samp(area_m2), 1e-6), 1e-6) AS s FROM parcel GROUP BY site_id) SELECT site_id, node_id, round((area_m2 - m) / s, 6) AS area_m2, round(p.y, 6) AS y, round(x, 6) AS pos_x, round(p.y, 6) AS pos_y FROM parcel p JOIN m USING (site_id)")
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.feature_table(fixture(spark, sf_dir, "parcel"), ["area_m2"], "y"))
+
+
 # --- models ----------------------------------------------------------------------------------------------------------------------
 
 WEIGHTS = ([[0.02, 0.01], [-0.01, 0.03]], [[0.01, -0.02], [0.02, 0.01]], [0.1, -0.2])
