@@ -38,21 +38,25 @@ def _chunk(lines: str, i: str, k: str) -> str:
 
 
 def _shortest(at: str, step: int, most: str, least_chars: int) -> str:
-    """Least number of lines, two at least, that hold ``least_chars`` characters from line ``at`` on (step 1) or up to it (step -1): the first few by themselves, more in one pass."""
-    near = range(2, 7)  # numbers of lines that are tried one by one
+    """Least number of lines, two at least, that hold ``least_chars`` characters from line ``at`` on (step 1) or up to it (step -1).
+
+    Few lines are tried one by one, then a fold goes over the next dozen and, where these do not do, one over as many lines as can be needed.
+    It carries sum * 2^32 + lines as one number and, once enough are found, their number below zero: structs would cost several times as much.
+    """
+    near = range(2, 5)  # numbers of lines that are tried one by one
     n = near[-1]
-    both = lambda begin, size: f"zip_with(slice(len, {begin}, {size}), slice(bare, {begin}, {size}), (l, b) -> named_struct('len', l, 'bare', b))"
     line = lambda k: f"get(len, {at} + {k})" if step > 0 else f"get(len, {at} - {k})"
     if step > 0:
         sums = [f"{' + '.join(line(j) for j in range(k - 1))} + get(bare, {at} + {k - 1})" for k in near]
-        rest, begin, add = both(f"{at} + {n}", least_chars), " + ".join(line(j) for j in range(n - 1)), "a.sum + x.bare"
+        begin, chars, width = " + ".join(line(j) for j in range(n)), "(x & 4294967295L)", "(x - (x & 4294967295L))"
+        rest = lambda size: f"slice(both, {at} + {n + 1}, {size})"
     else:
         sums = [f"{' + '.join(line(j) for j in range(1, k))} + bare[{at}]" for k in near]
-        low = f"greatest({at} - {least_chars + 1}, 0)"
-        rest, begin, add = f"reverse({both(f'{low} + 1', f'{at} - {n - 2} - {low}')})", f"{' + '.join(line(j) for j in range(1, n - 1))} + bare[{at}]", "a.sum + x.len"
-    fold = f"""aggregate({rest}, named_struct('sum', {begin}, 'k', {n - 1}, 'found', cast(NULL AS INT)),
-        (a, x) -> named_struct('sum', a.sum + x.len, 'k', a.k + 1, 'found', coalesce(a.found, CASE WHEN {add} >= {least_chars} THEN a.k + 1 END)), a -> a.found)"""
-    return f"CASE {' '.join(f'WHEN {c} >= {least_chars} THEN {k}' for k, c in zip(near, sums, strict=True))} WHEN {most} > {n} THEN {fold} END"
+        begin, chars, width = f"{' + '.join(line(j) for j in range(1, n))} + bare[{at}]", "x", "x * 4294967296L"
+        rest = lambda size: f"reverse(slice(len, greatest({at} - {n + size - 2}, 1), least({at} - {n - 1}, {size})))"
+    fold = lambda size: f"""aggregate({rest(size)}, ({begin}) * 4294967296L + {n},
+        (a, x) -> IF(a < 0, a, IF(shiftright(a, 32) + {chars} >= {least_chars}, -(a & 4294967295L) - 1, a + {width} + 1)), a -> IF(a < 0, -a, NULL))"""
+    return f"CASE {' '.join(f'WHEN {c} >= {least_chars} THEN {k}' for k, c in zip(near, sums, strict=True))} WHEN {most} > {n} THEN coalesce({fold(12)}, {fold(least_chars)}) END"
 
 
 def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
@@ -64,13 +68,13 @@ def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
     d = d.withColumn("ends", F.expr(f"transform(lines, x -> trim(TRAILING '{BLANK}' FROM x))"))
     # arrays of their own: fields taken from an array of structs would be taken anew for every element
     turn = "transform(ends, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) AS bigint))" if divisor > 1 else "array(0L)"
-    d = d.select("k1", "k2", "n", F.expr("transform(lines, x -> length(x)) AS len"), F.expr("transform(ends, x -> length(x)) AS bare"), F.expr("transform(lines, x -> xxhash64(x)) AS hash"), F.expr("transform(ends, x -> xxhash64(x)) AS end"), F.expr(f"{turn} AS turn"))
+    d = d.select("k1", "k2", "n", F.expr("transform(lines, x -> length(x)) AS len"), F.expr("transform(ends, x -> length(x)) AS bare"), F.expr("zip_with(lines, ends, (x, y) -> length(x) * 4294967296L + length(y)) AS both"), F.expr("transform(lines, x -> xxhash64(x)) AS hash"), F.expr("transform(ends, x -> xxhash64(x)) AS end"), F.expr(f"{turn} AS turn"))
     here = f"i > 0 AND (31 * turn[i - 1] + turn[i]) % {divisor} = 0" if divisor > 1 else "true"
     d = d.withColumn("last", F.expr(f"filter(sequence(0, n - 1), i -> i = n - 1 OR ({here}))"))
     d = d.withColumn("begin", F.expr("concat(array(0), transform(slice(last, 1, size(last) - 1), e -> e + 1))"))
     # a chunk as one number: i * 2^32 + k
     ahead = f"transform(begin, i -> i * 4294967296L + CASE WHEN i < n - 1 THEN {_shortest('i', 1, 'n - i', least_chars)} END)"
-    back = f"transform(transform(last, e -> named_struct('e', e, 'k', CASE WHEN e > 0 THEN {_shortest('e', -1, 'e + 1', least_chars)} END)), x -> (x.e + 1 - x.k) * 4294967296L + x.k)"
+    back = f"transform(last, e -> (e + 1) * 4294967296L - 4294967295L * CASE WHEN e > 0 THEN {_shortest('e', -1, 'e + 1', least_chars)} END)"  # from e + 1 - k on
     d = d.withColumn("ahead", F.expr(ahead))
     # characters never fall as a run grows: a whole chunk is long enough if it has no fewer lines than the shortest from its begin
     whole = "transform(last, (e, j) -> CASE WHEN e + 1 > begin[j] + (ahead[j] & 4294967295L) THEN begin[j] * 4294967296L + e + 1 - begin[j] END)"
@@ -81,8 +85,9 @@ def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
     full = f"CASE WHEN bare[x.i + x.k - 1] > 0 THEN x.k WHEN {tail} > 0 THEN x.k - {tail} + 1 ELSE 0 END"
     long = f"x.full = x.k OR (x.full > 0 AND aggregate(slice(len, x.i + 1, x.full - 1), 0, (a, y) -> a + y) + bare[x.i + x.full - 1] >= {least_chars})"
     found = f"filter(transform(p, x -> named_struct('i', x.i, 'k', x.k, 'full', cast({full} AS int))), x -> {long})"
-    # from here on code is compiled; of an inner explode the optimizer would infer filters, and evaluate the arrays once more for them
-    d = d.select("k1", "k2", "hash", "end", F.expr(f"explode_outer({found})").alias("x")).filter("x IS NOT NULL")
+    d = d.select("k1", "k2", "hash", "end", F.expr(found).alias("found"))
+    # from here on code is compiled, as long as no array is made inside explode; of an inner explode the optimizer would infer filters, and evaluate the arrays once more for them
+    d = d.select("k1", "k2", "hash", "end", F.explode_outer("found").alias("x")).filter("x IS NOT NULL")
     return d.select("k1", "k2", "x.i", "x.k", F.expr("xxhash64(slice(hash, x.i + 1, x.full - 1), get(end, x.i + x.full - 1))").alias("digest"))
 
 
