@@ -104,6 +104,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars:
     """k1, k2, i, k of every chunk that an earlier chunk of the corpus equals byte by byte."""
     found = scratch.write(chunks(docs, divisor, least_chars), "chunks")
     often = scratch.write(found.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    scratch.free()
     candidates = _meet(found, often, found.count()).groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "k", "digest")).alias("c"))
     met = docs.select("k1", "k2", "text").join(candidates, ["k1", "k2"]).select("k1", "k2", _lines().alias("lines"), "c")
     held = f"transform(c, x -> named_struct('i', x.i, 'k', x.k, 'digest', x.digest, 'chunk', {_chunk('lines', 'x.i', 'x.k')}))"
@@ -112,14 +113,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars:
         scratch.drop(name)
     scratch.free()  # the texts that were shuffled for the candidates
     place = F.struct("k1", "k2", "i")
-    first = scratch.write(met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
+    same = met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    kinds = scratch.write(same.groupBy("digest").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("n").alias("n")), "kinds")
+    scratch.free()  # the chunks that were shuffled to be compared
     # nearly every digest stands for one string: its rows need no more than the digest to find their first occurrence
-    kinds = first.groupBy("digest").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("n").alias("n"))
     slim = met.select("k1", "k2", "i", "k", "digest")
-    alike = _meet(slim, kinds.filter("kinds = 1 AND n > 1").drop("kinds"), met.count())
+    found = _meet(slim, kinds.filter("kinds = 1 AND n > 1").drop("kinds"), met.count()).select("k1", "k2", "i", "k", "first")
     clashing = kinds.filter("kinds > 1").select("digest")
-    apart = met.join(first.join(clashing, "digest", "left_semi").drop("n"), ["digest", "chunk"])
-    return alike.select("k1", "k2", "i", "k", "first").unionByName(apart.select("k1", "k2", "i", "k", "first")).filter(place > F.col("first")).select("k1", "k2", "i", "k")
+    if not clashing.isEmpty():
+        apart = met.join(clashing, "digest", "left_semi")
+        firsts = apart.groupBy("digest", "chunk").agg(F.min(place).alias("first"))
+        found = found.unionByName(apart.join(firsts, ["digest", "chunk"]).select("k1", "k2", "i", "k", "first"))
+    return found.filter(place > F.col("first")).select("k1", "k2", "i", "k")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = 2, least_chars: int = 80) -> DataFrame:
@@ -135,7 +140,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, least_chars: int = 80) -> Dat
     docs = docs.drop("chunks_removed", "chars_removed")
     d = docs.select(*_keys(F.col("doc_id"), F.col("text")), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     spans = scratch.write(repeated_spans(d.select("k1", "k2", "row.text"), scratch, divisor, least_chars).distinct(), "spans")
-    for name in ("candidates", "first"):
+    for name in ("candidates", "kinds"):
         scratch.drop(name)
     scratch.free()
     # overlapping and touching chunks are one run: [from, to)
