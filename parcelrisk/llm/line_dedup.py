@@ -105,13 +105,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars:
     found = scratch.write(chunks(docs, divisor, least_chars), "chunks")
     often = scratch.write(found.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     scratch.free()
-    candidates = _meet(found, often, found.count()).groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "k", "digest")).alias("c"))
-    met = docs.select("k1", "k2", "text").join(candidates, ["k1", "k2"]).select("k1", "k2", _lines().alias("lines"), "c")
-    held = f"transform(c, x -> named_struct('i', x.i, 'k', x.k, 'digest', x.digest, 'chunk', {_chunk('lines', 'x.i', 'x.k')}))"
-    met = scratch.write(met.select("k1", "k2", F.expr(f"explode_outer({held})").alias("c")).filter("c IS NOT NULL").select("k1", "k2", "c.*"), "candidates")
+    places = scratch.write(_meet(found, often, found.count()).groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "k", "digest")).alias("c")), "places")
     for name in ("chunks", "often"):
         scratch.drop(name)
-    scratch.free()  # the texts that were shuffled for the candidates
+    scratch.free()  # before the texts are shuffled
+    met = docs.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("k1", "k2", _lines().alias("lines"), "c")
+    held = f"transform(c, x -> named_struct('i', x.i, 'k', x.k, 'digest', x.digest, 'chunk', {_chunk('lines', 'x.i', 'x.k')}))"
+    met = scratch.write(met.select("k1", "k2", F.expr(f"explode_outer({held})").alias("c")).filter("c IS NOT NULL").select("k1", "k2", "c.*"), "candidates")
+    scratch.drop("places")
+    scratch.free()
     place = F.struct("k1", "k2", "i")
     same = met.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     kinds = scratch.write(same.groupBy("digest").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("n").alias("n")), "kinds")

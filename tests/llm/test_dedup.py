@@ -63,6 +63,17 @@ def brute_passages(rows, least=80):
     return out
 
 
+def test_equal_digests_of_unlike_chunks_are_told_apart(docs, monkeypatch):
+    g = random.Random(9)
+    passage = " ".join(sentence(g) for _ in range(6))
+    rows = [(k, f"{sentence(g)} {sentence(g)}\n{passage}\n") for k in range(4)]
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs(rows)).collect()))
+    assert any(r[2] for r in want)
+    real = line_dedup.chunks
+    monkeypatch.setattr(line_dedup, "chunks", lambda *a: real(*a).withColumn("digest", F.lit(0).cast("long")))
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs(rows)).collect())) == want
+
+
 def test_repeated_runs_go_wherever_they_start_and_end(docs):
     g = random.Random(8)
     wrapped = "".join(" ".join(g.choice(WORDS) for _ in range(10))[:58] + "\n" for _ in range(12))
