@@ -87,6 +87,36 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     return along("x"), along("y")
 
 
+def rings_area(rings: Column) -> Column:
+    """Area of all rings of a polygon or of several, in which holes turn the other way than outlines."""
+    return F.abs(F.aggregate(rings, F.lit(0.0), lambda a, ring: a + ring_area(ring)))
+
+
+def rings_centroid(rings: Column) -> tuple[Column, Column]:
+    """Centroid of all rings, each weighed by its signed area; without any area it is that of the first ring."""
+    area = F.aggregate(rings, F.lit(0.0), lambda a, ring: a + ring_area(ring))
+
+    def along(k: int) -> Column:
+        moment = F.aggregate(rings, F.lit(0.0), lambda a, ring: a + ring_area(ring) * ring_centroid(ring)[k])
+        return F.when(F.abs(area) < 1e-12, ring_centroid(rings[0])[k]).otherwise(moment / F.when(F.abs(area) >= 1e-12, area))
+
+    return along(0), along(1)
+
+
+def line_centroid(line: Column) -> tuple[Column, Column]:
+    """Centroid of a line, its segments weighed by length; without any length it is the mean of the corners."""
+    steps = F.transform(F.slice(line, 1, F.size(line) - 1), lambda p, i: F.struct(p.alias("a"), F.element_at(line, i + 2).alias("b")))
+    long = lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
+    length = F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s))
+
+    def along(k: str) -> Column:
+        moment = F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s) * (s["a"][k] + s["b"][k]) / 2)
+        mean = F.aggregate(line, F.lit(0.0), lambda a, p: a + p[k]) / F.size(line)
+        return F.when(length > 0, moment / F.when(length > 0, length)).otherwise(mean)
+
+    return along("x"), along("y")
+
+
 def crosses_ray(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Whether an edge crosses the ray from the point to the right: an odd number of crossings is inside."""
     spans = (y1 > py) != (y2 > py)

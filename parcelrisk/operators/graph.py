@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
+from parcelrisk.operators.numbering import number_within, range_bucket
 from parcelrisk.sources.scratch import settle
 
 
@@ -37,15 +38,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("site_id", "src", "dst").union(edges.select("site_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """site_id, node_id, component: the smallest node_id reachable.
 
     Each round takes the smallest label among a node's neighbours and then the label of that label, so a chain halves; rounds are
-    written to the shared folder, and only the number of changed labels reaches the driver.
+    written to the shared folder, and only whether labels changed reaches the driver. Labels only fall, so the rounds end by themselves.
     """
     sym = settle(both_ways(edges))
     label = settle(nodes.select("site_id", "node_id").join(sym.groupBy("site_id", F.col("src").alias("node_id")).agg(F.min("dst").alias("m")), ["site_id", "node_id"], "left").select("site_id", "node_id", F.least("node_id", F.coalesce("m", "node_id")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         low = sym.join(label.select("site_id", F.col("node_id").alias("dst"), "component"), ["site_id", "dst"]).groupBy("site_id", F.col("src").alias("node_id")).agg(F.min("component").alias("m"))
         step = label.join(low, ["site_id", "node_id"], "left").select("site_id", "node_id", F.least("component", F.coalesce("m", "component")).alias("to"), F.col("component").alias("was"))
         jump = step.select("site_id", F.col("node_id").alias("to"), F.col("to").alias("further"))
@@ -53,7 +54,6 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         label = new.drop("was")
         if not new.filter("component <> was").limit(1).count():
             return label
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,8 +110,9 @@ def union_sites(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
     sizes = whole.groupBy("site_id").agg(F.count("*").alias("n"))
-    first = sizes.select("site_id", F.coalesce(F.sum("n").over(W.orderBy("site_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row for each site
-    return whole.withColumn("k", F.row_number().over(W.partitionBy("site_id").orderBy("node_id")) - 1).join(first, "site_id").withColumn("flat_id", F.col("first") + F.col("k")).drop("first", "k")
+    first = sizes.select("site_id", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("site_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))  # a row for each site
+    numbered = number_within(whole, ["site_id"], range_bucket(whole, "node_id"), ["node_id"], "__k")
+    return numbered.join(F.broadcast(first), "site_id").withColumn("flat_id", F.col("__first") + F.col("__k") - 1).drop("__first", "__k")
 
 
 def align_positions(old: DataFrame, new: DataFrame, features: list[str], atol: float = 1e-4, rtol: float = 1e-4) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
+from parcelrisk.operators.numbering import range_bucket
 
 
 def counts(label: Column, reference: Column, valid: Column | None = None) -> list[Column]:
@@ -89,11 +90,15 @@ def tile_loss(df: DataFrame, tile: list[str], p: str = "p", y: str = "y") -> Dat
 
 
 def auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Exact rank-sum AUC with ties, from counts per distinct score; NULL with one class."""
-    g = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
-    before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(score).rowsBetween(W.unboundedPreceding, -1)  # a row for each distinct score
+    """Exact rank-sum AUC with ties, from counts per distinct score; NULL with one class. Ranges of scores are ranked by themselves, so no task sees all of a key's scores."""
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    g = known.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).withColumn("range", range_bucket(known, score))
+    before = W.partitionBy(*keys, "range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
     g = g.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(before), F.lit(0)))
-    s = g.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)).alias("u"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    part = g.groupBy(*keys, "range").agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)).alias("u"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    lower = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    part = part.withColumn("u", F.col("u") + F.col("p") * F.coalesce(F.sum("q").over(lower), F.lit(0)))
+    s = part.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "upq"])
     return s.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("auc"), F.col("p").alias("positives"), (F.col("p") + F.col("q")).alias("n"))
 
 

@@ -8,12 +8,12 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelrisk.functions.raster import softmax
 from parcelrisk.operators import graph
 from parcelrisk.operators.metrics import auc, class_report, class_weights
+from parcelrisk.operators.numbering import number_within
 
 
 class PixelClassifier:
@@ -51,14 +51,17 @@ class PixelClassifier:
 def permutation_importance(df: DataFrame, features: list[str], probability, label: str = "y", repeats: int = 3, seed: int = 0) -> DataFrame:
     """feature, mean and std of the AUC drop when one column is shuffled.
 
-    All features and repeats are one job: rows are numbered once, and for each repeat the column's values move by a second numbering
-    in hash order. ``probability`` maps {feature: column} to a score column.
+    All features and repeats are one job: rows are numbered once, and for each repeat the column's values move by a second numbering,
+    both in hash orders and by ranges of the hash. ``probability`` maps {feature: column} to a score column.
     """
-    numbered = df.withColumn("k", F.row_number().over(W.partitionBy("fold").orderBy("id")))
+    ranges = lambda h: F.shiftright(h, 56)
+    place = F.xxhash64("id")
+    numbered = number_within(df, ["fold"], ranges(place), [place, "id"], "k")
     runs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(r).alias("r")) for i in range(len(features)) for r in range(repeats)])).alias("run")
     value = F.element_at(F.array(*[F.col(f).cast("double") for f in features]), F.col("run.f") + 1)
     donors = numbered.select("fold", "id", *features, runs).select("fold", "run", "id", value.alias("given"))
-    donors = donors.withColumn("k", F.row_number().over(W.partitionBy("fold", "run").orderBy(F.xxhash64(F.lit(seed), "run", "id")))).drop("id")
+    moved_to = F.xxhash64(F.lit(seed), "run", "id")
+    donors = number_within(donors, ["fold", "run"], ranges(moved_to), [moved_to, "id"], "k").drop("id")
     each = numbered.select("*", runs).join(donors, ["fold", "run", "k"])
     moved = {f: F.when(F.col("run.f") == i, F.col("given")).otherwise(F.col(f)) for i, f in enumerate(features)}
     scored = each.select("run", F.col(label).alias("label"), F.round(probability(moved), 12).alias("score"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
 from parcelrisk.functions import geo
 from parcelrisk.operators.graph import grid, neighbouring
+from parcelrisk.operators.numbering import number_within, range_bucket
 from parcelrisk.sources.scratch import settle
 
 
@@ -43,8 +43,8 @@ def impute(df: DataFrame, column: str, missing: str = "accessible") -> DataFrame
     """Missing distances take the site's largest; a site without any takes 0, or infinity with ``missing="deprived"``."""
     if missing not in ("accessible", "deprived"):
         raise ValueError(f"unknown rule for missing categories: {missing}")
-    most = df.groupBy("site_id").agg(F.max(column).alias("most"))
-    return df.join(most, "site_id").withColumn(column, F.coalesce(column, "most", F.lit(0.0 if missing == "accessible" else 1e9))).drop("most")
+    most = df.groupBy("site_id").agg(F.max(column).alias("__most"))
+    return df.join(F.broadcast(most), "site_id").withColumn(column, F.coalesce(column, "__most", F.lit(0.0 if missing == "accessible" else 1e9))).drop("__most")  # a row for each site
 
 
 def sample_pixels(points: DataFrame, pixels: DataFrame, value: str, affine: tuple[float, ...]) -> DataFrame:
@@ -110,7 +110,7 @@ def parcel_rows(decisions: DataFrame, prefixes: dict[int, str], site: int | None
     from parcelrisk.functions import heads
 
     d = decisions.filter(heads.finite(F.col("x")) & heads.finite(F.col("y")))
-    number = F.row_number().over(W.partitionBy("site_id").orderBy("node_id"))
+    d, number = number_within(d, ["site_id"], range_bucket(d, "node_id"), ["node_id"], "__number"), F.col("__number")
     names = F.create_map(*[F.lit(v) for kv in prefixes.items() for v in kv])
     classes = F.array(*map(F.lit, S.CLASSES))
     probs = [F.col(f"p_{c}") for c in S.CLASSES]

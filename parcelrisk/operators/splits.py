@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelrisk.operators.numbering import number_within
+
 LOCATION = ["row_off", "col_off"]
 
 
@@ -19,12 +21,11 @@ def stratified_split(df: DataFrame, by_site: bool = False, fractions: tuple[floa
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions must sum to 1")
     keys = ["site_id", "y"] if by_site else ["y"]
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"))
-    n_train = F.bround(F.col("size") * fractions[0])
-    n_val = F.greatest(F.least(F.bround(F.col("size") * fractions[1]), F.col("size") - n_train), F.lit(0))
-    order = W.partitionBy(*keys).orderBy(draw(F.col("id"), F.col("site_id") + seed if by_site else F.lit(seed)), "id")
-    d = df.withColumn("k", F.row_number().over(order)).join(F.broadcast(sizes), keys)  # a row for each class (and site)
-    return d.withColumn("split", F.when(F.col("k") <= n_train, "train").when(F.col("k") <= n_train + n_val, "val").otherwise("test")).drop("k", "size")
+    n_train = F.bround(F.col("__all") * fractions[0])
+    n_val = F.greatest(F.least(F.bround(F.col("__all") * fractions[1]), F.col("__all") - n_train), F.lit(0))
+    drawn = draw(F.col("id"), F.col("site_id") + seed if by_site else F.lit(seed))
+    d = number_within(df.dropna(subset=keys), keys, F.coalesce(F.floor(drawn / 4_096), F.lit(-1)), [drawn, F.col("id")], "__k", "__all")  # 245 ranges of draws
+    return d.withColumn("split", F.when(F.col("__k") <= n_train, "train").when(F.col("__k") <= n_train + n_val, "val").otherwise("test")).drop("__k", "__all")
 
 
 def locations(manifest: DataFrame) -> DataFrame:
@@ -62,13 +63,13 @@ def usable_sites(manifest: DataFrame, least: int = 2) -> int:
 def prefer_original(manifest: DataFrame) -> DataFrame:
     """Rows of the original variant where a location has one, else all its rows."""
     has = F.max((F.col("variant") == "orig").cast("int")).over(W.partitionBy("site_id", *LOCATION))
-    return manifest.withColumn("has", has).filter((F.col("has") == 0) | (F.col("variant") == "orig")).drop("has")
+    return manifest.withColumn("__has", has).filter((F.col("__has") == 0) | (F.col("variant") == "orig")).drop("__has")
 
 
 def first_original(manifest: DataFrame) -> DataFrame:
     """The first original row of each location; locations without one are left out."""
     k = F.row_number().over(W.partitionBy("site_id", *LOCATION).orderBy("entry_id"))
-    return manifest.filter("variant = 'orig'").withColumn("k", k).filter("k = 1").drop("k")
+    return manifest.filter("variant = 'orig'").withColumn("__k", k).filter("__k = 1").drop("__k")
 
 
 def check_split(df: DataFrame, ids: list[str], split: str = "split") -> DataFrame:

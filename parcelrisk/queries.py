@@ -374,8 +374,7 @@ def neighbour_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT site_id, node_id, row_number() OVER (ORDER BY site_id, node_id) - 1 AS flat_id FROM parcel")
 def graph_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fixture(spark, sf_dir, "parcel")
-    return graph.union_sites([p.filter(f"site_id = {k}") for k in range(3)]).select("site_id", "node_id", "flat_id")
+    return graph.union_sites([fixture(spark, sf_dir, "parcel")]).select("site_id", "node_id", "flat_id")  # its sites are parts of one table
 
 
 @query("SELECT site_id, CASE site_id WHEN 0 THEN 'present' WHEN 1 THEN 'aligned' ELSE 'replaced' END AS status FROM parcel GROUP BY site_id")
@@ -405,7 +404,7 @@ def stratified_split_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH sp AS ({_split_sql('site_id, y', 'site_id')}), f AS (SELECT site_id, id, row_number() OVER (ORDER BY site_id, id) - 1 AS flat_id FROM class_pairs) SELECT site_id, id AS node_id, y, flat_id, split FROM sp JOIN f USING (site_id, id)")
 def prepared_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fixture(spark, sf_dir, "class_pairs").withColumnRenamed("id", "node_id")
-    return pipelines.prepare_sites([d.filter(f"site_id = {k}") for k in range(3)]).select("site_id", "node_id", "y", "flat_id", "split")
+    return pipelines.prepare_sites([d]).select("site_id", "node_id", "y", "flat_id", "split")
 
 
 @query(f"WITH sp AS ({_split_sql('site_id, y', 'site_id')}), {REPORT.replace('FROM class_pairs', 'FROM (SELECT p.* FROM class_pairs p JOIN sp USING (site_id, id) WHERE split = ' + repr('test') + ') t')} SELECT * FROM report")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
 from parcelrisk.functions import geo, parcels
+from parcelrisk.operators.numbering import number_within, range_bucket
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -19,29 +19,36 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_footprints(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons in degrees to parcels in metres: site_id, node_id (dense per site, in order of the feature), x, y, area_m2, tags."""
-    d = _features(spark, path).filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
-    metric = lambda p: F.struct(*[c.alias(n) for c, n in zip(geo.to_metric(p["x"], p["y"]), ("x", "y"), strict=True)])
-    d = d.withColumn("ring", F.transform(F.col("rings")[0], metric))
-    x, y = geo.ring_centroid(F.col("ring"))
-    d = d.withColumns({"x": x, "y": y, "area_m2": F.abs(geo.ring_area(F.col("ring")))})
-    return d.withColumn("node_id", F.row_number().over(W.partitionBy("site_id").orderBy("feature_id")) - 1).select("site_id", F.col("node_id").cast("long").alias("node_id"), "x", "y", "area_m2", "tags")
+    """Polygons in degrees to parcels in metres: site_id, node_id (dense per site, in order of the feature), x, y, area_m2, tags. All parts of a MultiPolygon count, and holes, which turn the other way than outlines, are taken off."""
+    d = _metric(_features(spark, path).filter(F.col("geom_type").isin("Polygon", "MultiPolygon")))
+    x, y = geo.rings_centroid(F.col("rings"))
+    d = d.withColumns({"x": x, "y": y, "area_m2": geo.rings_area(F.col("rings"))})
+    numbered = number_within(d, ["site_id"], range_bucket(d, "feature_id"), ["feature_id"], "node_id")
+    return numbered.select("site_id", (F.col("node_id") - 1).cast("long").alias("node_id"), "x", "y", "area_m2", "tags")
+
+
+def _metric(df: DataFrame) -> DataFrame:
+    """``rings`` from degrees to metres."""
+    point = lambda p: F.struct(*[c.alias(n) for c, n in zip(geo.to_metric(p["x"], p["y"]), ("x", "y"), strict=True)])
+    return df.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, point)))
 
 
 def read_infra(spark: SparkSession, path: str) -> DataFrame:
-    """Features with a category by tag (one row per category), at the mean of their corners, in metres."""
-    d = _features(spark, path).withColumn("category", F.explode(parcels.infra_categories(F.col("tags"))))
-    corners = F.col("rings")[0]
-    mean = lambda k: F.aggregate(corners, F.lit(0.0), lambda a, p: a + p[k]) / F.size(corners)
-    x, y = geo.to_metric(mean("x"), mean("y"))
+    """Features with a category by tag (one row per category) at their centroid, in metres: by area for polygons, by length for a line, the point of a point."""
+    d = _metric(_features(spark, path).withColumn("category", F.explode(parcels.infra_categories(F.col("tags")))))
+    areal = F.col("geom_type").isin("Polygon", "MultiPolygon")
+    x, y = (F.when(areal, a).otherwise(b) for a, b in zip(geo.rings_centroid(F.col("rings")), geo.line_centroid(F.col("rings")[0]), strict=True))
     return d.select("site_id", F.col("feature_id").alias("infra_id"), "category", x.alias("x"), y.alias("y"))
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Edges (zone_id, edge_no, x1, y1, x2, y2, in metres) of the polygons of a GeoJSON feature collection; holes are edges too."""
-    raw = spark.read.schema("features array<struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>>>").json(path, multiLine=True)
-    z = raw.select(F.posexplode("features").alias("zone_id", "f")).filter("f.geometry.type = 'Polygon'")
-    rings = z.select("zone_id", F.explode("f.geometry.coordinates").alias("ring"))
+    """Edges (zone_id, edge_no, x1, y1, x2, y2, in metres) of the polygons of a GeoJSON feature collection, all parts of a MultiPolygon included; holes are edges too. Another type of geometry fails."""
+    raw = spark.read.schema("features array<struct<geometry: struct<type: string, coordinates: string>>>").json(path, multiLine=True)
+    z = raw.select(F.posexplode("features").alias("zone_id", "f")).select("zone_id", "f.geometry.type", "f.geometry.coordinates")
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    unknown = F.raise_error(F.concat(F.lit("a zone is no polygon: "), F.coalesce("type", F.lit("no geometry")))).cast(one)
+    polygon = F.when(F.col("type") == "Polygon", F.from_json("coordinates", one)).when(F.col("type") == "MultiPolygon", F.flatten(F.from_json("coordinates", many))).otherwise(unknown)
+    rings = z.select("zone_id", F.explode(polygon).alias("ring"))
     ends = rings.select("zone_id", F.posexplode(F.expr("transform(sequence(1, size(ring) - 1), i -> struct(ring[i - 1] AS a, ring[i] AS b))")).alias("edge_no", "e"))
     (x1, y1), (x2, y2) = (geo.to_metric(F.col(f"e.{k}")[0], F.col(f"e.{k}")[1]) for k in ("a", "b"))
     return ends.select("zone_id", "edge_no", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parcelrisk.functions import geo, heads, raster
 from parcelrisk.functions import parcels as P
 from parcelrisk.operators import features, graph, metrics, ml, policy, raster as rasters, spatial, splits, tiles
+from parcelrisk.operators.numbering import number_within, range_bucket
 from parcelrisk.plans import pipelines
 from parcelrisk.sources import readers
 from parcelrisk.streaming.decisions import HEADS, decide_stream
@@ -221,6 +222,38 @@ def test_sources_and_sinks(spark, tmp_path):
     assert one(readers.read_infra(spark, f"{tmp_path}/features"))["category"] == "sanitation"
 
 
+def test_parts_holes_and_lines(spark, tmp_path):
+    outline = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+    d = spark.createDataFrame([([outline(0.0, 0.0, 4.0), outline(1.0, 1.0, 2.0)[::-1], outline(10.0, 0.0, 2.0)],)], "rings array<array<struct<x: double, y: double>>>")
+    x, y = geo.rings_centroid(F.col("rings"))
+    got = d.select(geo.rings_area(F.col("rings")), x, y).first()
+    assert all(math.isclose(a, b) for a, b in zip(got, (16.0, (16 * 2 - 4 * 2 + 4 * 11) / 16, (16 * 2 - 4 * 2 + 4 * 1) / 16), strict=True))
+    line = spark.createDataFrame([([(0.0, 0.0), (8.0, 0.0), (8.0, 2.0)],), ([(3.0, 5.0)],)], "line array<struct<x: double, y: double>>")
+    x, y = geo.line_centroid(F.col("line"))
+    assert [tuple(r) for r in line.select(x, y).collect()] == [((8 * 4 + 2 * 8) / 10, (2 * 1) / 10), (3.0, 5.0)]
+    ring = "[[36.8, -1.3], [36.81, -1.3], [36.81, -1.29], [36.8, -1.3]]"
+    for name, kind, coordinates in (("many", "MultiPolygon", f"[[{ring}], [{ring}, {ring}]]"), ("point", "Point", "[36.8, -1.3]")):
+        (tmp_path / name).write_text(f'{{"features": [{{"geometry": {{"type": "{kind}", "coordinates": {coordinates}}}}}]}}')
+    assert readers.read_zones(spark, f"{tmp_path}/many").count() == 9
+    with pytest.raises(Exception, match="no polygon"):
+        readers.read_zones(spark, f"{tmp_path}/point").collect()
+
+
+def test_numbers_and_ranks_by_ranges(spark):
+    g = random.Random(6)
+    rows = [(g.choice([0, 0, 0, 1, None]), g.choice([None, *range(500)]), k, g.random() < 0.4) for k in range(3000)]
+    d = spark.createDataFrame(rows, "site_id int, v long, id long, label boolean").withColumn("label", F.col("label").cast("int"))
+    got = number_within(d, ["site_id"], range_bucket(d, "v"), ["v", "id"], "number", "size").collect()
+    for site in (0, 1, None):
+        mine = sorted((r for r in got if r["site_id"] == site), key=lambda r: r["number"])
+        assert [r["number"] for r in mine] == list(range(1, len(mine) + 1)) and {r["size"] for r in mine} == {len(mine)}
+        place = [(r["v"] is not None, r["v"], r["id"]) for r in mine]
+        assert place == sorted(place)
+    known = [(v, r["label"]) for r in got if (v := r["v"]) is not None]
+    want = sum((a > b) + (a == b) / 2 for a, x in known if x for b, y in known if not y) / (sum(x for _, x in known) * sum(not x for _, x in known))
+    assert math.isclose(one(metrics.auc(d, [], "v"))["auc"], want)
+
+
 def test_graph_branch_and_stream(spark, tmp_path):
     p = spark.createDataFrame([(0, k, 10.0 * (k % 6), 10.0 * (k // 6), 20.0 + k, "tin" if k % 2 else None) for k in range(24)], "site_id int, node_id long, x double, y double, area_m2 double, roof_material string")
     i = spark.createDataFrame([(0, 0, "water", 0.0, 0.0), (0, 1, "road", 50.0, 30.0)], "site_id int, infra_id long, category string, x double, y double")
