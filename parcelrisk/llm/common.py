@@ -10,7 +10,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+HOT_KEYS = 10_000  # no more keys than this can each hold more than one in HOT_KEYS of all rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +63,39 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` beside the row of ``groups`` (one a key) of their key, where any key may hold any share of ``rows``; ``how`` is inner or left.
+
+    A key of more than one in ``HOT_KEYS`` of all rows meets its group in several tasks: its rows are dealt by a hash of all their
+    columns, its group is copied for each share. The list of such keys is that short at any size, so it can be broadcast. Keys must not
+    be null. ``rows`` is read three times: it should be a written table.
+    """
+    share = max(rows.count() // HOT_KEYS, 1_000)
+    hot = rows.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > share).select(*on, F.ceil(F.col("__n") / share).cast("int").alias("__salts"))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    copies = groups.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, tuple[Callable, Callable, str | Column]], scratch: Scratch, name: str) -> DataFrame:
+    """Adds running aggregates within ``keys`` in ``order``, for groups of any size: ``outs`` has (aggregate, how two of its values combine, what of) by column.
+
+    Rows are dealt by ranges of keys and order, so a large group lies in several tasks; each task runs over its own part, and what the
+    parts before it hold is added. Only groups that cross from one range to the next need that, at most one a range: their table is
+    broadcast. Keys must not be null.
+    """
+    d = scratch.write(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), name)
+    own = W.partitionBy("__part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    group = W.partitionBy(*(keys or [F.lit(0)]))
+    totals = d.groupBy("__part", *keys).agg(*[f(of).alias(f"__{c}") for c, (f, _, of) in outs.items()])
+    earlier = group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("__part", *keys, F.min("__part").over(group).alias("__first"), *[f(f"__{c}").over(earlier).alias(f"__{c}") for c, (f, _, _) in outs.items()])
+    before = totals.filter(F.col("__part") > F.col("__first")).drop("__first")
+    inner = d.select("*", *[f(of).over(own).alias(c) for c, (f, _, of) in outs.items()])
+    met = inner.join(F.broadcast(before), ["__part", *keys], "left")
+    return met.select(*df.columns, *[F.when(F.col(f"__{c}").isNull(), F.col(c)).otherwise(plus(F.col(c), F.col(f"__{c}"))).alias(c) for c, (_, plus, _) in outs.items()])
+
+
 _INNER = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|$)")
 
