@@ -197,7 +197,7 @@ def test_audit_counts_in_pieces(spark, monkeypatch):
         monkeypatch.setattr(divergence, name, 5)
     rows = [(f"alpha beta {'gamma ' * k} delta", "en", f"s{k % 3}") for k in range(9)]
     docs = spark.createDataFrame(rows, "text string, lang string, source string")
-    held = [r for b in divergence._count(iter([docs.toArrow().to_batches()[0]])) for r in b.to_pylist()]
+    held = [r for b in divergence._count(iter(docs.toArrow().to_batches())) for r in b.to_pylist()]
     n = Counter()
     for r in held:
         n[r["source"], r["term"]] += r["n"]
