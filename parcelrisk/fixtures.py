@@ -75,6 +75,24 @@ FIXTURES: dict[str, tuple[list[str], str, dict[str, str], str]] = {
         "variant": "CASE p_partkey % 4 WHEN 0 THEN 'orig' WHEN 1 THEN 'flip_h' WHEN 2 THEN 'flip_v' ELSE 'rot90' END",
         "valid_fraction": "(p_partkey * 17 % 100) / 100e0",
     }, ""),
+    "raw_parcel": (["customer"], "customer", {
+        "site_id": "CAST(c_custkey % 4 AS VARCHAR(9))",
+        "node_id": "CASE WHEN c_custkey % 4 = 2 AND c_custkey % 101 = 7 THEN 'way/' ELSE '' END || CAST(c_custkey AS VARCHAR(9))",
+        "x": f"CASE WHEN c_custkey % 4 = 2 AND c_custkey % 31 = 3 THEN NULL ELSE CAST((c_custkey*7919 + {_HASH.format(k='c_custkey')}) % 347 AS VARCHAR(9)) END",
+        "y": f"CASE WHEN c_custkey % 4 = 2 AND c_custkey % 37 = 5 THEN 'n/a' ELSE CAST((c_custkey*104729 + {_HASH.format(k='c_custkey')}) % 347 AS VARCHAR(9)) END",
+        "area_m2": "CASE WHEN c_custkey % 4 = 3 AND c_custkey % 200 = 3 THEN 'unknown' ELSE CAST(8 + c_nationkey AS VARCHAR(9)) END",
+        "roof_material": "'tin'",
+    }, ""),
+    "outline": (["customer"], "customer", {
+        "site_id": "CAST(c_custkey % 3 AS INT)",
+        "node_id": "c_custkey",
+        "lon": "36.8e0 + ((c_custkey*7919) % 3470) * 1e-6",
+        "lat": "-1.3e0 + ((c_custkey*104729) % 3470) * 1e-6",
+        "x": f"((c_custkey*7919 + {_HASH.format(k='c_custkey')}) % 3470) / 10e0",
+        "y": f"((c_custkey*104729 + {_HASH.format(k='c_custkey')}) % 3470) / 10e0",
+        "side": "4e0 + c_nationkey",
+        "kind": "CAST(c_custkey % 5 AS INT)",
+    }, ""),
     "zone_edge": (["region"], "region CROSS JOIN (VALUES (0, 0e0, 0e0, 80e0, 0e0), (1, 80e0, 0e0, 80e0, 40e0), (2, 80e0, 40e0, 40e0, 40e0), (3, 40e0, 40e0, 40e0, 90e0), (4, 40e0, 90e0, 0e0, 90e0), (5, 0e0, 90e0, 0e0, 0e0)) AS e(k, vx1, vy1, vx2, vy2)", {
         "zone_id": "r_regionkey",
         "edge_no": "k",

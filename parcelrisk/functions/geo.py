@@ -70,53 +70,102 @@ def _corners(ring: Column) -> Column:
     return F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.element_at(ring, (i + 1) % n + 1)["x"].alias("x2"), F.element_at(ring, (i + 1) % n + 1)["y"].alias("y2")))
 
 
+def _local(ring: Column) -> Column:
+    """A ring with its first corner as origin: products of coordinates far from zero would lose the digits that areas need."""
+    return F.transform(ring, lambda p: F.struct((p["x"] - F.get(ring, F.lit(0))["x"]).alias("x"), (p["y"] - F.get(ring, F.lit(0))["y"]).alias("y")))
+
+
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area."""
-    return F.aggregate(_corners(ring), F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"]) / 2
+    return F.aggregate(_corners(_local(ring)), F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"]) / 2
 
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Area centroid; a ring without area has the mean of its corners."""
-    area, n = ring_area(ring), F.size(ring)
+    edges, n = _corners(_local(ring)), F.size(ring)
+    area = ring_area(ring)
 
     def along(k: str) -> Column:
-        moment = F.aggregate(_corners(ring), F.lit(0.0), lambda a, e: a + (e[f"{k}1"] + e[f"{k}2"]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
+        moment = F.aggregate(edges, F.lit(0.0), lambda a, e: a + (e[f"{k}1"] + e[f"{k}2"]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
         mean = F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / n
-        return F.when(F.abs(area) < 1e-12, mean).otherwise(moment / F.when(F.abs(area) >= 1e-12, 6 * area))
+        return F.when(F.abs(area) < 1e-12, mean).otherwise(F.get(ring, F.lit(0))[k] + moment / F.when(F.abs(area) >= 1e-12, 6 * area))
 
     return along("x"), along("y")
 
 
-def rings_area(rings: Column) -> Column:
-    """Area of all rings of a polygon or of several, in which holes turn the other way than outlines."""
-    return F.abs(F.aggregate(rings, F.lit(0.0), lambda a, ring: a + ring_area(ring)))
+def _points(ring: Column) -> Column:
+    """Corners and the middles of edges."""
+    edges = _corners(ring)
+    return F.concat(F.transform(edges, lambda e: F.struct(e["x1"].alias("x"), e["y1"].alias("y"))), F.transform(edges, lambda e: F.struct(((e["x1"] + e["x2"]) / 2).alias("x"), ((e["y1"] + e["y2"]) / 2).alias("y"))))
 
 
-def rings_centroid(rings: Column) -> tuple[Column, Column]:
-    """Centroid of all rings, each weighed by its signed area; without any area it is that of the first ring."""
-    area = F.aggregate(rings, F.lit(0.0), lambda a, ring: a + ring_area(ring))
+def ring_within(ring: Column, other: Column) -> Column:
+    """Whether some corner or middle of an edge of ``ring`` lies inside ``other`` and not on it: for rings that do not cross, whether it lies in it."""
 
-    def along(k: int) -> Column:
-        moment = F.aggregate(rings, F.lit(0.0), lambda a, ring: a + ring_area(ring) * ring_centroid(ring)[k])
-        return F.when(F.abs(area) < 1e-12, ring_centroid(rings[0])[k]).otherwise(moment / F.when(F.abs(area) >= 1e-12, area))
+    def strictly(p: Column) -> Column:
+        ends = lambda e: [p["x"], p["y"], *[e[c] for c in ("x1", "y1", "x2", "y2")]]
+        crossings = F.aggregate(_corners(other), F.lit(0), lambda a, e: a + crosses_ray(*ends(e)).cast("int"))
+        return (crossings % 2 == 1) & ~F.exists(_corners(other), lambda e: on_edge(*ends(e)))
 
-    return along(0), along(1)
+    return F.exists(_points(ring), strictly)
 
 
-def line_centroid(line: Column) -> tuple[Column, Column]:
-    """Centroid of a line, its segments weighed by length; without any length it is the mean of the corners."""
-    steps = F.transform(F.slice(line, 1, F.size(line) - 1), lambda p, i: F.struct(p.alias("a"), F.element_at(line, i + 2).alias("b")))
+def ring_facts(rings: Column) -> Column:
+    """area, x, y of each ring of a polygon or of several: the centroid, and the area, above zero for outlines and below for holes.
+
+    How a ring turns does not matter: one that lies in an odd number of the others is a hole, so an island in a hole counts again.
+    """
+    depth = lambda ring, i: F.size(F.filter(rings, lambda o, j: (j != i) & ring_within(ring, o)))
+    sign = lambda ring, i: F.when((F.size(rings) > 1) & (depth(ring, i) % 2 == 1), -1.0).otherwise(1.0)
+
+    def facts(ring: Column, i: Column) -> Column:
+        x, y = ring_centroid(ring)
+        return F.struct((sign(ring, i) * F.abs(ring_area(ring))).alias("area"), x.alias("x"), y.alias("y"))
+
+    return F.transform(rings, facts)
+
+
+def facts_area(facts: Column) -> Column:
+    return F.aggregate(facts, F.lit(0.0), lambda a, f: a + f["area"])
+
+
+def facts_centroid(facts: Column) -> tuple[Column, Column]:
+    """Centroid of all rings by ``ring_facts``; NULL without area."""
+    area = facts_area(facts)
+    along = lambda k: F.aggregate(facts, F.lit(0.0), lambda a, f: a + f["area"] * f[k]) / F.when(F.abs(area) >= 1e-12, area)
+    return along("x"), along("y")
+
+
+def rings_area(rings: Column) -> Column:
+    """Area of all rings of a polygon or of several, holes taken off."""
+    return facts_area(ring_facts(rings))
+
+
+def rings_centroid(rings: Column) -> tuple[Column, Column]:
+    """Centroid of all rings, holes taken off; without any area it is that of the rings as lines."""
+    x, y = facts_centroid(ring_facts(rings))
+    return tuple(F.coalesce(a, b) for a, b in zip((x, y), lines_centroid(rings), strict=True))
+
+
+def lines_centroid(lines: Column) -> tuple[Column, Column]:
+    """Centroid of a line of any number of parts, segments weighed by length; without any length it is the mean of the corners."""
+    steps = F.flatten(F.transform(lines, lambda line: F.transform(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("a"), F.get(line, i + 1).alias("b")))))
     long = lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
-    length = F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s))
+    length, corners = F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s)), F.flatten(lines)
 
     def along(k: str) -> Column:
         moment = F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s) * (s["a"][k] + s["b"][k]) / 2)
-        mean = F.aggregate(line, F.lit(0.0), lambda a, p: a + p[k]) / F.size(line)
+        mean = F.aggregate(corners, F.lit(0.0), lambda a, p: a + p[k]) / F.nullif(F.size(corners), F.lit(0))
         return F.when(length > 0, moment / F.when(length > 0, length)).otherwise(mean)
 
     return along("x"), along("y")
 
 
+def line_centroid(line: Column) -> tuple[Column, Column]:
+    """``lines_centroid`` of a line of one part."""
+    return lines_centroid(F.array(line))
+
+
 def crosses_ray(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Whether an edge crosses the ray from the point to the right: an odd number of crossings is inside."""
     spans = (y1 > py) != (y2 > py)
@@ -134,3 +183,11 @@ def segment_distance_sq(px: Column, py: Column, x1: Column, y1: Column, x2: Colu
     t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
     ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
     return ex * ex + ey * ey
+
+
+def segments_meet(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether two segments (x1, y1, x2, y2) have a point in common; touching counts."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
+    side = lambda px, py, qx, qy, rx, ry: F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+    apart = (F.greatest(ax, bx) < F.least(cx, dx)) | (F.greatest(cx, dx) < F.least(ax, bx)) | (F.greatest(ay, by) < F.least(cy, dy)) | (F.greatest(cy, dy) < F.least(ay, by))
+    return ~apart & (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) <= 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) <= 0)

@@ -21,7 +21,7 @@ def _scores(tp: Column, fp: Column, fn: Column, tn: Column, eps: float = S.AGREE
     total = tp + fp + fn + tn
     precision, recall = tp / (tp + fp + eps), tp / (tp + fn + eps)
     reference = (tp + fn) / (total + eps)
-    return {"iou": tp / (tp + fp + fn + eps), "precision": precision, "recall": recall, "f1": 2 * precision * recall / (precision + recall + eps), "label_fraction": (tp + fp) / (total + eps), "reference_fraction": reference, "lift": precision / (reference + eps)}
+    return {"iou": tp / (tp + fp + fn + eps), "precision": precision, "recall": recall, "f1": 2 * tp / (2 * tp + fp + fn + eps), "label_fraction": (tp + fp) / (total + eps), "reference_fraction": reference, "lift": precision / (reference + eps)}
 
 
 def agreement_columns(label: Column, reference: Column, valid: Column | None = None) -> list[Column]:
@@ -42,10 +42,10 @@ def compare_labels(df: DataFrame, labels: dict[str, Column], reference: Column,
 
 
 def pixel_scores(confusion: DataFrame, eps: float = S.PIXEL_EPS) -> DataFrame:
-    """IoU, F1, Dice, precision and recall of rows with tp, fp, fn (sums of however many batches)."""
+    """IoU, F1, Dice (the same for two classes), precision and recall of rows with tp, fp, fn (sums of however many batches)."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    precision, recall = tp / (tp + fp + eps), tp / (tp + fn + eps)
-    return confusion.select("*", (tp / (tp + fp + fn + eps)).alias("iou"), (2 * precision * recall / (precision + recall + eps)).alias("f1"), (2 * tp / (2 * tp + fp + fn + eps)).alias("dice"), precision.alias("precision"), recall.alias("recall"))
+    precision, recall, f1 = tp / (tp + fp + eps), tp / (tp + fn + eps), 2 * tp / (2 * tp + fp + fn + eps)
+    return confusion.select("*", (tp / (tp + fp + fn + eps)).alias("iou"), f1.alias("f1"), f1.alias("dice"), precision.alias("precision"), recall.alias("recall"))
 
 
 def multiclass_confusion(df: DataFrame, classes: int = 3, keys: list[str] | None = None) -> DataFrame:
@@ -64,7 +64,8 @@ def class_report(df: DataFrame, classes: int = 3, by_site: bool = False, eps: fl
     y, p = F.col("y"), F.col("pred")
     sums = [c for k in range(classes) for c in (F.count_if((y == k) & (p == k)).alias(f"tp{k}"), F.count_if((y != k) & (p == k)).alias(f"fp{k}"), F.count_if((y == k) & (p != k)).alias(f"fn{k}"))]
     g = (ok.rollup("site_id") if by_site else ok.groupBy()).agg(F.count("*").alias("n"), F.count_if(y == p).alias("correct"), *sums)
-    f1 = [2 * F.col(f"tp{k}") / (2 * F.col(f"tp{k}") + F.col(f"fp{k}") + F.col(f"fn{k}") + eps) for k in range(classes)]
+    hit = [(F.col(f"tp{k}") / (F.col(f"tp{k}") + F.col(f"fp{k}") + eps), F.col(f"tp{k}") / (F.col(f"tp{k}") + F.col(f"fn{k}") + eps)) for k in range(classes)]
+    f1 = [2 * precision * recall / (precision + recall + eps) for precision, recall in hit]
     return g.select(*(["site_id"] if by_site else []), "n", (F.col("correct") / (F.col("n") + eps)).alias("accuracy"), (sum(f1[1:], f1[0]) / classes).alias("macro_f1"), *[f.alias(f"f1_{k}") for k, f in enumerate(f1)], *[(F.col(f"tp{k}") + F.col(f"fn{k}")).alias(f"support_{k}") for k in range(classes)])
 
 

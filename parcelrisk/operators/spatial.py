@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
@@ -53,24 +53,71 @@ def sample_pixels(points: DataFrame, pixels: DataFrame, value: str, affine: tupl
     return points.withColumn("row", row).withColumn("col", col).join(pixels.select("site_id", "row", "col", value), ["site_id", "row", "col"], "left")
 
 
-def in_zone(points: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Points with ``inside_zone``: within any polygon, or on its boundary. Polygons come as edges (zone_id, x1, y1, x2, y2).
+def containing(points: DataFrame, edges: DataFrame, keys: list[str], of: list[str], cell: float = 50.0) -> DataFrame:
+    """(keys, of) of every point in or on the boundary of a polygon, given as edges (of, x1, y1, x2, y2).
 
     An edge is met by points of its rows of cells that lie left of its right end, so each ray test sees all crossings; an odd number
-    of crossings of one zone is inside. No zones: all false.
+    of crossings of one polygon is inside.
     """
     e = edges.withColumn("ylo", F.least("y1", "y2")).withColumn("yhi", F.greatest("y1", "y2")).withColumn("xhi", F.greatest("x1", "x2"))
-    box = edges.groupBy("zone_id").agg(F.min(F.least("x1", "x2")).alias("zx0"), F.max(F.greatest("x1", "x2")).alias("zx1"))
-    e = e.join(box, "zone_id").withColumn("cy", F.explode(F.sequence(F.floor(F.col("ylo") / cell), F.floor(F.col("yhi") / cell))))
+    box = edges.groupBy(*of).agg(F.min(F.least("x1", "x2")).alias("zx0"), F.max(F.greatest("x1", "x2")).alias("zx1"))
+    e = e.join(box, of).withColumn("cy", F.explode(F.sequence(F.floor(F.col("ylo") / cell), F.floor(F.col("yhi") / cell))))
     e = e.withColumn("cx", F.explode(F.sequence(F.floor(F.col("zx0") / cell), F.floor(F.col("xhi") / cell))))
-    p = grid(points.select("site_id", "node_id", "x", "y"), cell)
+    p = grid(points.select(*keys, "x", "y"), cell)
     m = p.join(e, ["cx", "cy"]).filter((F.col("x") <= F.col("xhi")) & F.col("y").between(F.col("ylo"), F.col("yhi")))
     args = [F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]
-    hit = m.groupBy("site_id", "node_id", "zone_id").agg((F.count_if(geo.crosses_ray(*args)) % 2 == 1).alias("odd"), F.bool_or(geo.on_edge(*args)).alias("edge"))
-    inside = hit.filter("odd OR edge").select("site_id", "node_id").distinct().withColumn("inside_zone", F.lit(True))
+    hit = m.groupBy(*keys, *of).agg((F.count_if(geo.crosses_ray(*args)) % 2 == 1).alias("odd"), F.bool_or(geo.on_edge(*args)).alias("edge"))
+    return hit.filter("odd OR edge").select(*keys, *of)
+
+
+def in_zone(points: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame:
+    """Points with ``inside_zone``: within any polygon, or on its boundary. Polygons come as edges (zone_id, x1, y1, x2, y2). No zones: all false."""
+    inside = containing(points, edges, ["site_id", "node_id"], ["zone_id"], cell).select("site_id", "node_id").distinct().withColumn("inside_zone", F.lit(True))
     return points.join(inside, ["site_id", "node_id"], "left").withColumn("inside_zone", F.coalesce("inside_zone", F.lit(False)))
 
 
+def outline_edges(footprints: DataFrame) -> DataFrame:
+    """site_id, node_id, ring, x1, y1, x2, y2, first (whether it is its ring's first) of the edges of ``rings``; rings need not repeat their first corner."""
+    r = footprints.select("site_id", "node_id", F.posexplode("rings").alias("ring", "corners")).filter(F.size("corners") > 0)
+    next_corner = lambda i: F.get("corners", (i + 1) % F.size("corners"))
+    ends = F.transform("corners", lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), next_corner(i)["x"].alias("x2"), next_corner(i)["y"].alias("y2"), (i == 0).alias("first")))
+    return r.select("site_id", "node_id", "ring", F.explode(ends).alias("e")).select("site_id", "node_id", "ring", "e.*")
+
+
+def _along(edges: DataFrame, cell: float) -> DataFrame:
+    """Each edge in every cell it may pass: those of the boxes of its pieces of a cell's length, so a long one meets cells in proportion to its length."""
+    n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / cell), F.lit(1))
+    d = edges.withColumn("__n", n).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("__n")
+    slack = cell * 1e-6  # the ends of pieces are rounded
+
+    def cells(a: str, b: str) -> Column:
+        p, q = at(a, b, F.col("__k")), at(a, b, F.col("__k") + 1)
+        return F.sequence(F.floor((F.least(p, q) - slack) / cell), F.floor((F.greatest(p, q) + slack) / cell))
+
+    met = F.flatten(F.transform(cells("x1", "x2"), lambda x: F.transform(cells("y1", "y2"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    return d.withColumn("c", F.explode(met)).select(*edges.columns, "c.cx", "c.cy").distinct()
+
+
+def footprints_in_zone(footprints: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame:
+    """site_id, node_id and ``inside_zone``: whether a footprint (``rings``, in metres, of one or more parts, with holes) and any zone have a point in common.
+
+    Zones come as edges (zone_id, x1, y1, x2, y2), several rings to a zone where it has parts or holes. Two areas meet if edges of both
+    meet, which is tested in the grid cells that both pass, or if one lies in the other: then a corner of each ring of the one is in the
+    other. Touching counts. Footprints without rings and tables without zones give false.
+    """
+    own, key = outline_edges(footprints), ["site_id", "node_id"]
+    a = _along(own.select(*key, "x1", "y1", "x2", "y2"), cell)
+    b = _along(edges.select("x1", "y1", "x2", "y2"), cell).select(*[F.col(c).alias(f"z{c}") for c in ("x1", "y1", "x2", "y2")], "cx", "cy")
+    ends = lambda p: tuple(F.col(p + c) for c in ("x1", "y1", "x2", "y2"))
+    met = a.join(b, ["cx", "cy"]).filter(geo.segments_meet(ends(""), ends("z"))).select(*key)
+    corners = own.filter("first").select(*key, "ring", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    within = containing(corners, edges, [*key, "ring"], ["zone_id"], cell).select(*key)
+    around = containing(edges.select("zone_id", F.col("x1").alias("x"), F.col("y1").alias("y")).distinct(), own.select(*key, "x1", "y1", "x2", "y2"), ["zone_id", "x", "y"], key, cell).select(*key)
+    hit = met.union(within).union(around).distinct().withColumn("inside_zone", F.lit(True))
+    return footprints.select(*key).join(hit, key, "left").withColumn("inside_zone", F.coalesce("inside_zone", F.lit(False)))
+
+
 def in_corridor(points: DataFrame, segments: DataFrame, buffer: float | None = None) -> DataFrame:
     """Points with ``in_corridor``: at most ``buffer`` from any line segment (x1, y1, x2, y2)."""
     b = S.RIVER_BUFFER_M if buffer is None else buffer

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
+from parcelrisk.functions import heads
 from parcelrisk.operators import features, graph, metrics, policy, raster, spatial, splits, tiles
 from parcelrisk.sources.scratch import settle
 
@@ -32,6 +35,53 @@ def run_status(parcels: DataFrame, infra: DataFrame, sites: list[int]) -> DataFr
     return d.withColumn("status", status)
 
 
+PARCEL_CHECKS = {
+    "node_id is no number": lambda: F.col("node_id").isNull(),
+    "no position": lambda: ~(heads.finite(F.col("x")) & heads.finite(F.col("y"))),
+    "no area": lambda: ~(heads.finite(F.col("area_m2")) & (F.col("area_m2") > 0)),
+}
+INFRA_CHECKS = {"no position": lambda: ~(heads.finite(F.col("x")) & heads.finite(F.col("y"))), "no category": lambda: F.col("category").isNull()}
+
+
+def _checked(raw: DataFrame, types: dict[str, str], checks: dict[str, Callable[[], Column]]) -> DataFrame:
+    """``raw`` with its columns as numbers where they can be read as such, and ``reason``: the first check that a row fails."""
+    d = raw.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
+    failed = F.coalesce(*[F.when(F.coalesce(check(), F.lit(True)), name) for name, check in checks.items()])
+    return d.withColumn("reason", F.coalesce(failed, F.when(F.col("site_id").isNull(), "site_id is no number")))
+
+
+def check_sites(parcels: DataFrame, infra: DataFrame, sites: list[int], tolerated: float = 0.0) -> dict[str, DataFrame]:
+    """Rows that can be used of sites that can run (``parcels``, ``infra``), the others in ``rejected``, and ``status``, one row for each of ``sites``.
+
+    ``parcels`` (site_id, node_id, x, y, area_m2, roof_material) and ``infra`` (site_id, infra_id, category, x, y) may hold what cannot
+    be read: text for numbers, missing or infinite positions, repeated ids. Such rows go to ``rejected`` (source, site_id, key, reason).
+    A site fails if more than ``tolerated`` of its parcels are rejected, or if it has none; infrastructure that cannot be read is only
+    left out, as a category that is missing has a rule of its own. ``status``: site_id, status (ok or failed), reason (of a failure: the
+    most frequent one), parcels, rejected. Sites that were not asked for are not run.
+    """
+    p = _checked(parcels, {"site_id": "int", "node_id": "long", "x": "double", "y": "double", "area_m2": "double"}, PARCEL_CHECKS)
+    twice = p.filter("reason IS NULL").groupBy("site_id", "node_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n").withColumn("again", F.lit("repeated node_id"))
+    p = settle(p.join(twice, ["site_id", "node_id"], "left").withColumn("reason", F.coalesce("reason", "again")).drop("again"))
+    i = settle(_checked(infra, {"site_id": "int", "infra_id": "long", "x": "double", "y": "double"}, INFRA_CHECKS))
+    bad = lambda d, source, key: d.filter("reason IS NOT NULL").select(F.lit(source).alias("source"), "site_id", F.col(key).cast("string").alias("key"), "reason")
+    rejected = bad(p, "parcels", "node_id").union(bad(i, "infra", "infra_id"))
+    want = parcels.sparkSession.createDataFrame([(s,) for s in sites], "site_id int")
+    first = F.min_by("reason", F.struct(-F.col("n"), "reason"))  # the most frequent reason
+    why = p.filter("reason IS NOT NULL").groupBy("site_id", "reason").agg(F.count("*").alias("n")).groupBy("site_id").agg(F.sum("n").alias("rejected"), first.alias("why"))
+    status = want.join(p.groupBy("site_id").agg(F.count("*").alias("parcels")), "site_id", "left").join(why, "site_id", "left").fillna(0, ["parcels", "rejected"])
+    reason = F.when(F.col("parcels") == 0, "no parcels").when(F.col("rejected") > F.col("parcels") * tolerated, F.col("why"))
+    status = settle(status.select("site_id", F.when(reason.isNull(), "ok").otherwise("failed").alias("status"), reason.alias("reason"), "parcels", "rejected"))
+    ok = F.broadcast(status.filter("status = 'ok'").select("site_id"))  # a row for each site
+    good = lambda d: d.filter("reason IS NULL").drop("reason").join(ok, "site_id", "left_semi")
+    return {"parcels": good(p), "infra": good(i), "rejected": rejected, "status": status}
+
+
+def run_all_sites(parcels: DataFrame, infra: DataFrame, sites: list[int], tolerated: float = 0.0, radius: float = S.EDGE_M, least: int = S.LEAST_COMPONENT) -> dict[str, DataFrame]:
+    """The graph branch of all sites that ``check_sites`` passes, at once: a failing site does not stop the others. nodes, edges, integrity, rejected, status."""
+    checked = check_sites(parcels, infra, sites, tolerated)
+    return graph_branch(settle(checked["parcels"]), settle(checked["infra"]), radius, least) | {k: checked[k] for k in ("rejected", "status")}
+
+
 def raster_branch(obs: DataFrame, terrain: DataFrame, size: int = S.TILE, overlap: int = S.OVERLAP, bins: int = 256, least_valid: float = S.LEAST_VALID) -> DataFrame:
     """Scaled tile pixels with the event label and the wetness index: stack, tile, filter, scale."""
     pair = raster.event_pair(obs)
@@ -48,13 +98,14 @@ def label_ingredients(obs: DataFrame, terrain: DataFrame) -> DataFrame:
     return raster.event_pair(obs).drop("change").join(terrain.select(*raster.PIXEL, "slope", "occurrence", "elevation"), raster.PIXEL, "left")
 
 
-def fusion(parcels: DataFrame, heads: DataFrame, zones: DataFrame, reference: DataFrame | None = None) -> dict[str, DataFrame]:
+def fusion(parcels: DataFrame, heads: DataFrame, zones: DataFrame, reference: DataFrame | None = None, footprints: DataFrame | None = None) -> dict[str, DataFrame]:
     """decisions, summary, audit, lift. ``heads`` has flood_proba and class probabilities by parcel; zones override, a corridor never does.
-    A parcel without a row in ``heads`` stays, without a valid decision.
+    A parcel without a row in ``heads`` stays, without a valid decision. With ``footprints`` (site_id, node_id, rings) a parcel is in a zone if
+    any part of it is, else if its point is.
 
     A failing audit raises. Lift is reported only if every fused site has reference parcels.
     """
-    placed = spatial.in_zone(parcels, zones)
+    placed = spatial.in_zone(parcels, zones) if footprints is None else parcels.join(spatial.footprints_in_zone(footprints, zones), ["site_id", "node_id"], "left").fillna(False, ["inside_zone"])
     joined = placed.join(heads.drop("inside_zone"), ["site_id", "node_id"], "left")
     decisions = settle(policy.decide_policy(joined))
     audit = policy.justice_audit(decisions)

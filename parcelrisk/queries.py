@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from parcelrisk.functions import parcels as P
 from parcelrisk.functions import raster as R
 from parcelrisk.operators import features, graph, metrics, ml, policy, raster, spatial, splits, tiles
 from parcelrisk.plans import pipelines
-from parcelrisk.sources.scratch import settle
+from parcelrisk.sources import readers
+from parcelrisk.sources.scratch import folder, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,7 +93,7 @@ def policy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.justice_audit(decided(spark, sf_dir))
 
 
-AGREE = "round(tp / (tp + fp + fn + 1e-9), 6) AS iou, round(tp / (tp + fp + 1e-9), 6) AS precision, round(tp / (tp + fn + 1e-9), 6) AS recall, round(2 * (tp / (tp + fp + 1e-9)) * (tp / (tp + fn + 1e-9)) / (tp / (tp + fp + 1e-9) + tp / (tp + fn + 1e-9) + 1e-9), 6) AS f1, round((tp + fp) / (tp + fp + fn + tn + 1e-9), 6) AS label_fraction, round((tp + fn) / (tp + fp + fn + tn + 1e-9), 6) AS reference_fraction, round(tp / (tp + fp + 1e-9) / ((tp + fn) / (tp + fp + fn + tn + 1e-9) + 1e-9), 6) AS lift"
+AGREE = "round(tp / (tp + fp + fn + 1e-9), 6) AS iou, round(tp / (tp + fp + 1e-9), 6) AS precision, round(tp / (tp + fn + 1e-9), 6) AS recall, round(2 * tp / (2 * tp + fp + fn + 1e-9), 6) AS f1, round((tp + fp) / (tp + fp + fn + tn + 1e-9), 6) AS label_fraction, round((tp + fn) / (tp + fp + fn + tn + 1e-9), 6) AS reference_fraction, round(tp / (tp + fp + 1e-9) / ((tp + fn) / (tp + fp + fn + tn + 1e-9) + 1e-9), 6) AS lift"
 COUNTS = "count(*) FILTER ({ok} AND {a} AND {b}) AS tp, count(*) FILTER ({ok} AND {a} AND NOT {b}) AS fp, count(*) FILTER ({ok} AND NOT {a} AND {b}) AS fn, count(*) FILTER ({ok} AND NOT {a} AND NOT {b}) AS tn"
 
 
@@ -116,7 +118,7 @@ def compare_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.compare_labels(fixture(spark, sf_dir, "label_pairs"), {"first": F.col("label") > 0.5, "second": F.col("other_label") > 0.5}, F.col("reference") > 0, F.col("valid")))
 
 
-PIXEL = "round(tp / (tp + fp + fn + 1e-7), 6) AS iou, round(2 * (tp / (tp + fp + 1e-7)) * (tp / (tp + fn + 1e-7)) / (tp / (tp + fp + 1e-7) + tp / (tp + fn + 1e-7) + 1e-7), 6) AS f1, round(2 * tp / (2 * tp + fp + fn + 1e-7), 6) AS dice, round(tp / (tp + fp + 1e-7), 6) AS precision, round(tp / (tp + fn + 1e-7), 6) AS recall"
+PIXEL = "round(tp / (tp + fp + fn + 1e-7), 6) AS iou, round(2 * tp / (2 * tp + fp + fn + 1e-7), 6) AS f1, round(2 * tp / (2 * tp + fp + fn + 1e-7), 6) AS dice, round(tp / (tp + fp + 1e-7), 6) AS precision, round(tp / (tp + fn + 1e-7), 6) AS recall"
 
 
 @query(f"WITH c AS (SELECT site AS site_id, {COUNTS.format(**PAIR)} FROM label_pairs GROUP BY ROLLUP (site)) SELECT site_id, tp, fp, fn, tn, {PIXEL} FROM c")
@@ -131,7 +133,8 @@ def multiclass_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = ", ".join(f"count(*) FILTER (y = {k} AND pred = {k}) AS tp{k}, count(*) FILTER (y <> {k} AND pred = {k}) AS fp{k}, count(*) FILTER (y = {k} AND pred <> {k}) AS fn{k}" for k in range(3))
-_F1 = [f"2 * tp{k} / (2 * tp{k} + fp{k} + fn{k} + 1e-9)" for k in range(3)]
+_PR = [(f"(tp{k} / (tp{k} + fp{k} + 1e-9))", f"(tp{k} / (tp{k} + fn{k} + 1e-9))") for k in range(3)]
+_F1 = [f"2 * {p} * {q} / ({p} + {q} + 1e-9)" for p, q in _PR]
 REPORT = f"c AS (SELECT site_id, count(*) AS n, count(*) FILTER (y = pred) AS correct, {_K} FROM class_pairs GROUP BY ROLLUP (site_id)), report AS (SELECT site_id, n, round(correct / (n + 1e-9), 6) AS accuracy, round(({' + '.join(_F1)}) / 3, 6) AS macro_f1, {', '.join(f'round({f}, 6) AS f1_{k}' for k, f in enumerate(_F1))}, {', '.join(f'tp{k} + fn{k} AS support_{k}' for k in range(3))} FROM c)"
 
 
@@ -534,6 +537,100 @@ def reproject_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("site_id", "node_id", r(lon, 9).alias("lon"), r(lat, 9).alias("lat"))
 
 
+# Rings by kind of outline, as shares of its side: (kind, ring, from x, from y, to x, to y, hole, turned the other way). Kind 4 has no rings but a line of two parts.
+RINGS = [
+    (0, 0, 0.0, 0.0, 1.0, 1.0, False, False), (1, 0, 0.0, 0.0, 1.0, 1.0, False, True), (1, 1, 0.25, 0.25, 0.75, 0.5, True, True), (2, 0, 0.0, 0.0, 1.0, 1.0, False, False), (2, 1, 1.5, 0.0, 2.0, 1.0, False, True),
+    (3, 0, 0.125, 0.125, 0.875, 0.875, True, False), (3, 1, 0.0, 0.0, 1.0, 1.0, False, False), (3, 2, 0.25, 0.25, 0.5, 0.5, False, True), (4, 0, 0.0, 0.0, 1.0, 0.0, False, False), (4, 1, 0.0, 2.0, 0.0, 5.0, False, False),
+]
+RING_SQL = "ring(kind, ring, lo_x, lo_y, hi_x, hi_y, hole) AS (VALUES " + ", ".join(f"({k}, {i}, {a}e0, {b}e0, {c}e0, {d}e0, {h})" for k, i, a, b, c, d, h, _ in RINGS) + ")"
+_DEGREES = 1e-5  # of a metre, about
+
+
+def outlines(spark: SparkSession, sf_dir: str, x: str, y: str, side: str) -> DataFrame:
+    """site_id, feature_id, kind, rings of the outlines; those that turn the other way do so, whatever they are."""
+    at = lambda fx, fy: F.struct((F.col(x) + fx * F.expr(side)).alias("x"), (F.col(y) + fy * F.expr(side)).alias("y"))
+
+    def ring(k: int, a: float, b: float, c: float, d: float, back: bool):
+        corners = [at(a, b), at(c, d)] if k == 4 else [at(a, b), at(c, b), at(c, d), at(a, d)]
+        return F.array(*(corners[::-1] if back else corners))
+
+    rings = lambda k: F.array(*[ring(k, a, b, c, d, back) for kind, _, a, b, c, d, _, back in RINGS if kind == k])
+    of_kind = F.when(F.col("kind") == 0, rings(0))
+    for k in range(1, 5):
+        of_kind = of_kind.when(F.col("kind") == k, rings(k))
+    return fixture(spark, sf_dir, "outline").select("site_id", F.col("node_id").alias("feature_id"), "kind", of_kind.alias("rings"))
+
+
+def features_file(spark: SparkSession, sf_dir: str) -> str:
+    """A written table of features in degrees: polygons of the first kinds, lines of the last."""
+    d = outlines(spark, sf_dir, "lon", "lat", f"side * {_DEGREES}")
+    kinds = F.when(F.col("kind") == 4, "MultiLineString").when(F.col("kind") == 2, "MultiPolygon").otherwise("Polygon")
+    tags = F.map_filter(F.create_map(F.lit("building"), F.when(F.col("kind") < 4, "yes"), F.lit("highway"), F.when(F.col("kind") == 4, "path"), F.lit("amenity"), F.when(F.col("kind") == 3, "toilets")), lambda k, v: v.isNotNull())
+    return written(d.select("site_id", "feature_id", kinds.alias("geom_type"), "rings", tags.alias("tags")))
+
+
+def written(df: DataFrame) -> str:
+    path = f"{folder(df.sparkSession)}/source-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def metric_sql(lon: str, lat: str) -> str:
+    """x, y in metres of degrees, in SQL: the forward Krueger series to the third order."""
+    n = geo.FLATTENING / (2 - geo.FLATTENING)
+    radius, e = geo.SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * n**0.5 / (1 + n)
+    a = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
+    xi, eta = f"atan2({t}, cos(radians({lon} - {geo.MERIDIAN})))", f"atanh(sin(radians({lon} - {geo.MERIDIAN})) / sqrt(1 + {t} * {t}))"
+    east = f"{geo.FALSE_EAST} + {geo.SCALE * radius!r} * ({eta} + {' + '.join(f'{c!r} * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})' for k, c in enumerate(a, 1))})"
+    north = f"{geo.FALSE_NORTH} + {geo.SCALE * radius!r} * ({xi} + {' + '.join(f'{c!r} * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})' for k, c in enumerate(a, 1))})"
+    return f"{east} AS x, {north} AS y"
+
+
+_CORNER = "corner(k, right_, up) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1))"
+_METRIC_RINGS = f"""{RING_SQL}, {_CORNER}, deg AS (SELECT site_id, node_id, o.kind, ring, k, hole, lon + (CASE right_ WHEN 1 THEN hi_x ELSE lo_x END) * side * {_DEGREES} AS px, lat + (CASE up WHEN 1 THEN hi_y ELSE lo_y END) * side * {_DEGREES} AS py FROM outline o JOIN ring USING (kind), corner WHERE o.kind < 4 OR k % 2 = 0),
+far AS (SELECT site_id, node_id, kind, ring, k, hole, {metric_sql('px', 'py')} FROM deg), origin AS (SELECT site_id, node_id, min(x) AS ox, min(y) AS oy FROM far GROUP BY ALL), met AS (SELECT far.* REPLACE (x - ox AS x, y - oy AS y), ox, oy FROM far JOIN origin USING (site_id, node_id)),
+edge AS (SELECT a.*, b.x AS x2, b.y AS y2, a.x * b.y - b.x * a.y AS w FROM met a JOIN met b ON a.site_id = b.site_id AND a.node_id = b.node_id AND a.ring = b.ring AND b.k = CASE a.kind WHEN 4 THEN 2 - a.k ELSE (a.k + 1) % 4 END),
+rings AS (SELECT site_id, node_id, kind, ring, any_value(hole) AS hole, CASE WHEN any_value(hole) THEN -1 ELSE 1 END * abs(sum(w)) / 2 AS area, any_value(ox) + sum((x + x2) * w) / (3 * sum(w)) AS cx, any_value(oy) + sum((y + y2) * w) / (3 * sum(w)) AS cy FROM edge WHERE kind < 4 GROUP BY ALL),
+areas AS (SELECT site_id, node_id, kind, sum(area) AS area_m2, sum(area * cx) / sum(area) AS x, sum(area * cy) / sum(area) AS y FROM rings GROUP BY ALL)"""
+
+
+@query(f"WITH {_METRIC_RINGS} SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY node_id) - 1 AS node_id, round(x, 4) AS x, round(y, 4) AS y, round(area_m2, 4) AS area_m2 FROM areas")
+def read_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines with holes, islands and several parts, whichever way their rings turn."""
+    return rounded(readers.read_footprints(spark, features_file(spark, sf_dir)).select("site_id", "node_id", "x", "y", "area_m2"), 4)
+
+
+@query(f"""WITH {_METRIC_RINGS}, lines AS (SELECT site_id, node_id, any_value(ox) + sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2) * (x + x2) / 2) / sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS x, any_value(oy) + sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2) * (y + y2) / 2) / sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS y FROM edge WHERE kind = 4 GROUP BY ALL)
+SELECT site_id, node_id AS infra_id, 'road' AS category, round(x, 4) AS x, round(y, 4) AS y FROM lines UNION ALL SELECT site_id, node_id, 'sanitation', round(x, 4), round(y, 4) FROM areas WHERE kind = 3""")
+def read_infra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads of two parts, weighed by length, and areas with a hole and an island."""
+    return rounded(readers.read_infra(spark, features_file(spark, sf_dir)), 4)
+
+
+@query(f"WITH placed AS (SELECT site_id, node_id, {metric_sql('lon', 'lat')} FROM (SELECT site_id, node_id, lon, lat FROM outline)) SELECT site_id, node_id, round(x, 4) AS x, round(y, 4) AS y FROM placed")
+def project_to_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = geo.to_metric(F.col("lon"), F.col("lat"))
+    return rounded(fixture(spark, sf_dir, "outline").select("site_id", "node_id", x.alias("x"), y.alias("y")), 4)
+
+
+_SIDE = "sign(({qx} - {px}) * ({ry} - {py}) - ({qy} - {py}) * ({rx} - {px}))"
+_SIDES = [_SIDE.format(px=f"{p}.x1", py=f"{p}.y1", qx=f"{p}.x2", qy=f"{p}.y2", rx=f"{q}.x{k}", ry=f"{q}.y{k}") for p, q in (("e", "z"), ("z", "e")) for k in (1, 2)]
+
+
+@query(f"""WITH {RING_SQL}, {_CORNER}, c AS (SELECT site_id, node_id, ring, k, x + (CASE right_ WHEN 1 THEN hi_x ELSE lo_x END) * side AS x1, y + (CASE up WHEN 1 THEN hi_y ELSE lo_y END) * side AS y1 FROM outline o JOIN ring USING (kind), corner WHERE o.kind < 4),
+e AS (SELECT a.*, b.x1 AS x2, b.y1 AS y2 FROM c a JOIN c b ON a.site_id = b.site_id AND a.node_id = b.node_id AND a.ring = b.ring AND b.k = (a.k + 1) % 4),
+hits AS (SELECT DISTINCT site_id, node_id FROM e, zone_edge z WHERE greatest(e.x1, e.x2) >= least(z.x1, z.x2) AND greatest(z.x1, z.x2) >= least(e.x1, e.x2) AND greatest(e.y1, e.y2) >= least(z.y1, z.y2) AND greatest(z.y1, z.y2) >= least(e.y1, e.y2)
+  AND {_SIDES[0]} * {_SIDES[1]} <= 0 AND {_SIDES[2]} * {_SIDES[3]} <= 0
+UNION SELECT site_id, node_id FROM (SELECT c.site_id, c.node_id, c.ring, zone_id FROM c, zone_edge WHERE c.k = 0 AND {CROSS.format(x='c.x1', y='c.y1').replace("(y1 >", "(zone_edge.y1 >").replace("(y2 >", "(zone_edge.y2 >").replace("< x1 +", "< zone_edge.x1 +").replace("- y1) * (x2 - x1) / nullif(y2 - y1, 0)", "- zone_edge.y1) * (zone_edge.x2 - zone_edge.x1) / nullif(zone_edge.y2 - zone_edge.y1, 0)")} GROUP BY ALL HAVING count(*) % 2 = 1)
+UNION SELECT site_id, node_id FROM (SELECT e.site_id, e.node_id, z.zone_id, z.edge_no FROM zone_edge z, e WHERE (e.y1 > z.y1) <> (e.y2 > z.y1) AND z.x1 < e.x1 + (z.y1 - e.y1) * (e.x2 - e.x1) / nullif(e.y2 - e.y1, 0) GROUP BY ALL HAVING count(*) % 2 = 1))
+SELECT site_id, node_id, EXISTS (SELECT 1 FROM hits h WHERE h.site_id = o.site_id AND h.node_id = o.node_id) AS inside_zone FROM outline o WHERE o.kind < 4""")
+def footprints_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of one or two parts, with holes and islands, that any zone meets."""
+    d = outlines(spark, sf_dir, "x", "y", "side").filter("kind < 4").withColumnRenamed("feature_id", "node_id")
+    return spatial.footprints_in_zone(settle(d.select("site_id", "node_id", "rings")), fixture(spark, sf_dir, "zone_edge"))
+
+
 @query(f"WITH {DECIDE} SELECT p.site_id, p.node_id, CASE p.site_id WHEN 0 THEN 'KB' WHEN 1 THEN 'MT' ELSE 'P' END || '-' || lpad((row_number() OVER (PARTITION BY p.site_id ORDER BY p.node_id))::VARCHAR, 5, '0') AS parcel_id, CASE WHEN dok THEN ['low', 'medium', 'high'][k + 1] END AS class_name, round(greatest(q0, q1, q2), 6) AS class_proba, {NAMES.format(c='pact')} AS action FROM parcel p JOIN decided USING (site_id, node_id)")
 def parcel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = spatial.attach_positions(decided(spark, sf_dir), fixture(spark, sf_dir, "parcel").select("site_id", "node_id", "x", "y"))
@@ -703,3 +800,111 @@ def fusion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p.site_id, count(DISTINCT p.node_id) AS parcels, 0::BIGINT AS bad, (SELECT count(DISTINCT category) FROM infra i WHERE i.site_id = p.site_id) AS categories, 'ok' AS status FROM parcel p GROUP BY p.site_id")
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.run_status(fixture(spark, sf_dir, "parcel"), fixture(spark, sf_dir, "infra"), [0, 1, 2])
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT TRY_CAST(site_id AS INT) AS site_id, TRY_CAST(node_id AS BIGINT) AS node_id, TRY_CAST(x AS DOUBLE) AS x, TRY_CAST(y AS DOUBLE) AS y, TRY_CAST(area_m2 AS DOUBLE) AS area FROM raw_parcel),
+seen AS (SELECT *, CASE WHEN node_id IS NULL THEN 'node_id is no number' WHEN x IS NULL OR y IS NULL THEN 'no position' WHEN area IS NULL OR area <= 0 THEN 'no area' END AS why FROM raw),
+tally AS (SELECT site_id, why, count(*) AS n FROM seen WHERE why IS NOT NULL GROUP BY ALL), worst AS (SELECT site_id, sum(n)::BIGINT AS rejected, first(why ORDER BY n DESC, why) AS why FROM tally GROUP BY site_id),
+state AS (SELECT w.site_id, count(seen.site_id) AS parcels, coalesce(any_value(rejected), 0) AS rejected, any_value(worst.why) AS why FROM (SELECT unnest([0, 1, 2, 3, 9]) AS site_id) w LEFT JOIN seen USING (site_id) LEFT JOIN worst USING (site_id) GROUP BY w.site_id),
+told AS (SELECT *, CASE WHEN parcels = 0 THEN 'no parcels' WHEN rejected > parcels * 0.05 THEN why END AS reason FROM state),
+good AS (SELECT site_id, node_id, x, y FROM seen JOIN told USING (site_id) WHERE seen.why IS NULL AND reason IS NULL),
+{EDGES.replace("parcel", "good")}, reach AS (SELECT site_id, node_id, node_id AS other FROM good UNION SELECT r.site_id, r.node_id, b.dst FROM reach r JOIN both_ways b ON b.site_id = r.site_id AND b.src = r.other),
+comp AS (SELECT site_id, node_id, min(other) AS component FROM reach GROUP BY ALL), sizes AS (SELECT site_id, component, count(*) AS n FROM comp GROUP BY ALL),
+graph AS (SELECT site_id, count(*) AS components, sum(n)::BIGINT AS nodes, coalesce(sum(n) FILTER (n >= 20), 0)::BIGINT AS kept FROM sizes GROUP BY site_id), linked AS (SELECT site_id, count(*) AS edges FROM edge GROUP BY site_id)
+SELECT site_id, CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason, parcels, rejected, nodes, CASE WHEN nodes IS NOT NULL THEN coalesce(edges, 0) END AS edges, components, kept FROM told LEFT JOIN graph USING (site_id) LEFT JOIN linked USING (site_id)""")
+def site_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph branch over rows as they come: one site fails, one runs without its bad rows, one has no parcels, the others run as if these were not there."""
+    out = pipelines.run_all_sites(fixture(spark, sf_dir, "raw_parcel"), fixture(spark, sf_dir, "infra"), [0, 1, 2, 3, 9], tolerated=0.05)
+    kept = out["nodes"].groupBy("site_id").agg(F.count("*").alias("kept"))
+    graph_ = out["integrity"].select("site_id", "nodes", "edges", "components").join(kept, "site_id", "left").fillna(0, ["kept"])
+    return out["status"].join(graph_, "site_id", "left").select("site_id", "status", "reason", "parcels", "rejected", "nodes", "edges", "components", "kept")
+
+
+@query("""WITH raw AS (SELECT TRY_CAST(site_id AS INT) AS site_id, node_id AS raw_id, TRY_CAST(node_id AS BIGINT) AS node_id, TRY_CAST(x AS DOUBLE) AS x, TRY_CAST(y AS DOUBLE) AS y, TRY_CAST(area_m2 AS DOUBLE) AS area FROM raw_parcel)
+SELECT 'parcels' AS source, site_id, node_id::VARCHAR AS key, CASE WHEN node_id IS NULL THEN 'node_id is no number' WHEN x IS NULL OR y IS NULL THEN 'no position' ELSE 'no area' END AS reason FROM raw WHERE node_id IS NULL OR x IS NULL OR y IS NULL OR area IS NULL""")
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.check_sites(fixture(spark, sf_dir, "raw_parcel"), fixture(spark, sf_dir, "infra"), [0, 1, 2, 3, 9], 0.05)["rejected"]
+
+
+# --- sources and sinks -----------------------------------------------------------------------------------------------------------
+
+
+def sink(spark: SparkSession) -> str:
+    return f"{folder(spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {DECIDE} SELECT site_id, node_id, pact AS action_index, {NAMES.format(c='pact')} AS action, round(confidence, 6) AS confidence FROM decided WHERE site_id <> 1 OR valid")
+def policy_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sites are written, then site 1 once more without invalid rows: the others stay."""
+    d, path = decided(spark, sf_dir), sink(spark)
+    readers.write_policy(d, path)
+    readers.write_policy(d.filter("site_id = 1 AND valid"), path)
+    return rounded(readers.read_policy(spark, path).select("site_id", F.col("node_id"), "action_index", "action", "confidence"))
+
+
+@query(f"WITH {EDGES}, n AS (SELECT site_id, count(*) AS nodes FROM parcel WHERE site_id <> 1 OR node_id % 2 = 0 GROUP BY site_id), e AS (SELECT site_id, count(*) AS edges FROM edge WHERE site_id <> 1 GROUP BY site_id) SELECT site_id, nodes, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (site_id)")
+def graph_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sites are written, then site 1 once more with half its nodes and no edges: its old edges go, other sites stay."""
+    (nodes, edges), path = parcel_graph(spark, sf_dir), sink(spark)
+    nodes = nodes.withColumn("y", F.lit(0))
+    readers.write_graph(nodes, edges, path)
+    readers.write_graph(nodes.filter("site_id = 1 AND node_id % 2 = 0"), edges.limit(0), path)
+    n, e = readers.read_graph(spark, path)
+    e = e.groupBy("site_id").agg(F.count("*").alias("edges"))
+    return n.groupBy("site_id").agg(F.count("*").alias("nodes")).join(e, "site_id", "left").fillna(0, ["edges"])
+
+
+@query(f"WITH {TILED} SELECT site_id, CASE WHEN site_id = 0 OR tile_row_off = 0 THEN 'train' ELSE 'val' END AS split, tile_row_off AS row_off, tile_col_off AS col_off, count(*) AS pixels FROM tiled GROUP BY ALL")
+def tile_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of all sites in two splits, then site 0 once more in one: of that site no row of the other split stays, in pixels or manifest."""
+    d, path = tiled(spark, sf_dir).withColumns({"variant": F.lit("orig"), "valid_fraction": F.lit(1.0)}), sink(spark)
+    readers.write_tiles(d.withColumn("split", F.when(F.col("tile_row_off") == 0, "train").otherwise("val")), path)
+    readers.write_tiles(d.filter("site_id = 0").withColumn("split", F.lit("train")), path)
+    pixels = spark.read.parquet(f"{path}/pixels").groupBy("tile_id", "split").agg(F.count("*").alias("pixels"))
+    entries = spark.read.schema("tile_id string, row_off int, col_off int, variant string, valid_fraction double, site_id int, split string").json(f"{path}/manifest")
+    return entries.join(pixels, ["tile_id", "split"], "full_outer").select("site_id", "split", "row_off", "col_off", "pixels")
+
+
+@query("SELECT site_id, count(*) AS n, min(ts) AS first, max(ts) AS last, round(sum(vv), 6) AS vv FROM scene_obs WHERE site_id IN (0, 2) AND ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1996-01-01' GROUP BY site_id")
+def scene_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sites and a year of observations that lie partitioned by site: other sites' files are not read."""
+    path = sink(spark)
+    fixture(spark, sf_dir, "scene_obs").write.partitionBy("site_id").parquet(path)
+    d = readers.read_scenes(spark, path, [0, 2], "1995-01-01", "1996-01-01")
+    return rounded(d.groupBy("site_id").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("vv").alias("vv")))
+
+
+@query("SELECT 'site' || site_id AS site_key, 't' || entry_id AS tile_id, row_off, col_off, round(valid_fraction, 6) AS valid_fraction FROM manifest WHERE site_id < 2 AND variant = 'orig' UNION ALL SELECT 'site' || s, NULL, NULL, NULL, NULL FROM range(0, 3) t(s) WHERE s NOT IN (SELECT site_id FROM manifest WHERE site_id < 2 AND variant = 'orig')")
+def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of one split of the sites whose manifests exist, and a row without tile for each site that has none."""
+    path = sink(spark)
+    m = fixture(spark, sf_dir, "manifest").select("site_id", F.concat(F.lit("t"), "entry_id").alias("tile_id"), F.lit("p").alias("path"), "row_off", "col_off", "valid_fraction", F.col("variant").alias("split"))
+    for k in (0, 1):
+        m.filter(F.col("site_id") == k).drop("site_id").write.json(f"{path}/{k}")
+    rows, absent = readers.read_manifests(spark, {f"site{k}": f"{path}/{k}" for k in range(3)}, "orig")
+    return rounded(rows.select("site_key", "tile_id", "row_off", "col_off", "valid_fraction").unionByName(absent, allowMissingColumns=True))
+
+
+@query("SELECT zone_id, count(*) AS edges, 0 AS far FROM zone_edge GROUP BY zone_id")
+def zone_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones written as a feature collection in degrees come back in metres: every edge begins where it did."""
+    x0, y0 = 255_000.0, 9_856_000.0
+    z = fixture(spark, sf_dir, "zone_edge")
+    lon, lat = geo.to_degrees(x0 + F.col("x1"), y0 + F.col("y1"))
+    rings = z.groupBy("zone_id").agg(F.array_sort(F.collect_list(F.struct("edge_no", F.array(lon, lat).alias("p")))).alias("c"))
+    ring = F.array(F.concat(F.transform("c", lambda c: c["p"]), F.array(F.get("c", F.lit(0))["p"])))
+    feature = F.struct(F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"))
+    path = sink(spark)
+    rings.groupBy().agg(F.array_sort(F.collect_list(F.struct("zone_id", feature.alias("f")))).alias("z")).select(F.transform("z", lambda f: f["f"]).alias("features")).write.json(path)  # a row for each region
+    read = readers.read_zones(spark, path).withColumnsRenamed({"x1": "rx", "y1": "ry"}).drop("x2", "y2")
+    far = (F.abs(F.col("x1") + x0 - F.col("rx")) > 1e-3) | (F.abs(F.col("y1") + y0 - F.col("ry")) > 1e-3)
+    return read.join(z, ["zone_id", "edge_no"]).groupBy("zone_id").agg(F.count("*").alias("edges"), F.count_if(far).cast("int").alias("far"))
+
+
+@query(f"WITH {DECIDE} SELECT site_id, count(*) AS parcels, count(*) FILTER (displacement) AS displaced FROM decided GROUP BY ROLLUP (site_id)")
+def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report that is written twice is there once."""
+    path, summary = sink(spark), policy.policy_summary(decided(spark, sf_dir)).select("site_id", "parcels", "displaced")
+    readers.write_report(summary.limit(1), path)
+    readers.write_report(summary, path)
+    return spark.read.schema("site_id int, parcels long, displaced long").json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,16 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_footprints(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons in degrees to parcels in metres: site_id, node_id (dense per site, in order of the feature), x, y, area_m2, tags. All parts of a MultiPolygon count, and holes, which turn the other way than outlines, are taken off."""
+    """Polygons in degrees to parcels in metres: site_id, node_id (dense per site, in order of the feature), x, y, area_m2, tags, rings.
+
+    All parts of a MultiPolygon count, and holes are taken off: rings that lie in an odd number of the others, however they turn.
+    """
     d = _metric(_features(spark, path).filter(F.col("geom_type").isin("Polygon", "MultiPolygon")))
-    x, y = geo.rings_centroid(F.col("rings"))
-    d = d.withColumns({"x": x, "y": y, "area_m2": geo.rings_area(F.col("rings"))})
+    d = d.withColumn("facts", geo.ring_facts(F.col("rings")))
+    (x, y), (lx, ly) = geo.facts_centroid(F.col("facts")), geo.lines_centroid(F.col("rings"))
+    d = d.withColumns({"x": F.coalesce(x, lx), "y": F.coalesce(y, ly), "area_m2": geo.facts_area(F.col("facts"))})
     numbered = number_within(d, ["site_id"], range_bucket(d, "feature_id"), ["feature_id"], "node_id")
-    return numbered.select("site_id", (F.col("node_id") - 1).cast("long").alias("node_id"), "x", "y", "area_m2", "tags")
+    return numbered.select("site_id", (F.col("node_id") - 1).cast("long").alias("node_id"), "x", "y", "area_m2", "tags", "rings")
 
 
 def _metric(df: DataFrame) -> DataFrame:
@@ -34,10 +40,11 @@ def _metric(df: DataFrame) -> DataFrame:
 
 
 def read_infra(spark: SparkSession, path: str) -> DataFrame:
-    """Features with a category by tag (one row per category) at their centroid, in metres: by area for polygons, by length for a line, the point of a point."""
+    """Features with a category by tag (one row per category) at their centroid, in metres: by area for polygons, by length for lines of any number of parts, the mean of points."""
     d = _metric(_features(spark, path).withColumn("category", F.explode(parcels.infra_categories(F.col("tags")))))
     areal = F.col("geom_type").isin("Polygon", "MultiPolygon")
-    x, y = (F.when(areal, a).otherwise(b) for a, b in zip(geo.rings_centroid(F.col("rings")), geo.line_centroid(F.col("rings")[0]), strict=True))
+    d = d.withColumn("facts", F.when(areal, geo.ring_facts(F.col("rings"))))
+    x, y = (F.coalesce(a, b) for a, b in zip(geo.facts_centroid(F.col("facts")), geo.lines_centroid(F.col("rings")), strict=True))
     return d.select("site_id", F.col("feature_id").alias("infra_id"), "category", x.alias("x"), y.alias("y"))
 
 
@@ -79,7 +86,9 @@ def read_manifests(spark: SparkSession, paths: dict[str, str], split: str | None
     parts = []
     for key, path in paths.items():
         try:
-            parts.append(spark.read.schema("tile_id string, path string, row_off int, col_off int, valid_fraction double, split string").json(path, multiLine=True).withColumn("site_key", F.lit(key)))
+            first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+            whole = bool(first) and first[0][0].lstrip().startswith("[")  # an indented array, not a line for each entry
+            parts.append(spark.read.schema("tile_id string, path string, row_off int, col_off int, valid_fraction double, split string").json(path, multiLine=whole).withColumn("site_key", F.lit(key)))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -103,13 +112,51 @@ def read_graph(spark: SparkSession, path: str, sites: list[int] | None = None, l
     return nodes, edges
 
 
+def _replace_sites(path: str, tables: dict[str, tuple[DataFrame, str, list[str]]]) -> None:
+    """Writes {folder: (rows, format, columns below site_id to part by)} so that sites in any of them are replaced in all, and no other site is touched.
+
+    Everything is written beside the old files first, so a failing write leaves them as they are. Then each site's folder is exchanged,
+    the old one being moved away before the new one is moved in, and a row for each site and table is added to ``_commits``.
+    """
+    spark, run = next(iter(tables.values()))[0].sparkSession, uuid.uuid4().hex
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda *parts: hadoop.Path("/".join(p for p in parts if p))
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, retired = f"{path}/_fresh-{run}", f"{path}/_retired-{run}"
+    try:
+        for name, (df, form, below) in tables.items():
+            df.write.format(form).partitionBy("site_id", *below).save(f"{fresh}/t{name}")
+        found = {name: [s.getPath().getName() for s in fs.listStatus(at(fresh, f"t{name}")) if s.isDirectory()] for name in tables}
+        sites = sorted({site for names in found.values() for site in names if site.startswith("site_id=")})
+        for name in tables:
+            for site in sites:
+                old, new = at(path, name, site), at(fresh, f"t{name}", site)
+                if fs.exists(old):
+                    fs.mkdirs(at(retired, f"t{name}"))
+                    fs.rename(old, at(retired, f"t{name}", site))
+                if fs.exists(new):
+                    fs.mkdirs(at(path, name))
+                    fs.rename(new, old)
+        rows = [(run, name or "rows", site.removeprefix("site_id="), site in found[name]) for name in tables for site in sites]
+        spark.createDataFrame(rows, "run string, name string, site_id string, has_rows boolean").withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{path}/_commits")
+    finally:
+        for folder in (fresh, retired):
+            fs.delete(at(folder), True)
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """What was written to a sink, and when: run, name, site_id, has_rows, written_at."""
+    return spark.read.schema("run string, name string, site_id string, has_rows boolean, written_at timestamp").json(f"{path}/_commits")
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        df.write.mode("overwrite").partitionBy("site_id").parquet(f"{path}/{name}")
+    """Replaces the sites of ``nodes`` and ``edges``; other sites stay."""
+    _replace_sites(path, {"nodes": (nodes, "parquet", []), "edges": (edges, "parquet", [])})
 
 
 def write_policy(decisions: DataFrame, path: str) -> None:
-    decisions.write.mode("overwrite").partitionBy("site_id").parquet(path)
+    """Replaces the sites of ``decisions``; other sites stay."""
+    _replace_sites(path, {"": (decisions, "parquet", [])})
 
 
 def read_policy(spark: SparkSession, path: str) -> DataFrame:
@@ -120,11 +167,10 @@ def read_policy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Pixels by site and split, and one manifest row for each tile variant."""
+    """Pixels by site and split, and one manifest row for each tile variant. The sites of ``tiles`` are replaced in all splits; other sites stay."""
     key = F.concat_ws("_", "site_id", "tile_row_off", "tile_col_off", "variant")
-    tiles.withColumn("tile_id", key).write.mode("overwrite").partitionBy("site_id", "split").parquet(f"{path}/pixels")
     entries = tiles.groupBy("site_id", "split", key.alias("tile_id"), F.col("tile_row_off").alias("row_off"), F.col("tile_col_off").alias("col_off"), "variant").agg(F.first("valid_fraction").alias("valid_fraction"))
-    entries.write.mode("overwrite").partitionBy("site_id", "split").json(f"{path}/manifest")
+    _replace_sites(path, {"pixels": (tiles.withColumn("tile_id", key), "parquet", ["split"]), "manifest": (entries, "json", ["split"])})
 
 
 def newest_file(spark: SparkSession, folders: list[str], prefix: str) -> str | None:
@@ -144,4 +190,13 @@ def newest_file(spark: SparkSession, folders: list[str], prefix: str) -> str | N
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    report.coalesce(1).write.mode("overwrite").json(path)  # a few rows
+    """A few rows as JSON, written beside the old report and then put in its place, so a failing write leaves the old one."""
+    spark, fresh = report.sparkSession, f"{path}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        report.coalesce(1).write.json(fresh)
+        fs.delete(hadoop.Path(path), True)
+        fs.rename(hadoop.Path(fresh), hadoop.Path(path))
+    finally:
+        fs.delete(hadoop.Path(fresh), True)

@@ -263,3 +263,99 @@ def test_graph_branch_and_stream(spark, tmp_path):
     q = decide_stream(spark, f"{tmp_path}/heads").writeStream.format("memory").queryName("decided").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("decided").count() == 1
+
+
+SQUARE = "rings array<array<struct<x: double, y: double>>>"
+
+
+def box(x0, y0, x1, y1, back=False):
+    ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return ring[::-1] if back else ring
+
+
+def test_holes_are_told_by_where_they_lie(spark):
+    """However rings turn: parts of 100 and 64 give 164, a hole of 16 in 100 gives 84, an island in the hole counts again."""
+    cases = [
+        ([box(0.0, 0.0, 10.0, 10.0), box(20.0, 0.0, 28.0, 8.0, True)], 164.0), ([box(0.0, 0.0, 10.0, 10.0), box(2.0, 2.0, 6.0, 6.0)], 84.0), ([box(2.0, 2.0, 6.0, 6.0), box(0.0, 0.0, 10.0, 10.0, True), box(3.0, 3.0, 4.0, 5.0)], 86.0),
+        ([box(0.0, 0.0, 10.0, 10.0), box(0.0, 0.0, 5.0, 5.0)], 75.0), ([box(0.0, 0.0, 4.0, 4.0)], 16.0), ([box(0.0, 0.0, 4.0, 4.0), box(4.0, 0.0, 8.0, 4.0)], 32.0),
+    ]
+    d = spark.createDataFrame([(k, rings) for k, (rings, _) in enumerate(cases)], f"k int, {SQUARE}")
+    x, y = geo.rings_centroid(F.col("rings"))
+    got = d.select("k", geo.rings_area(F.col("rings")).alias("a"), x.alias("x"), y.alias("y")).orderBy("k").collect()
+    assert [r["a"] for r in got] == [a for _, a in cases]
+    assert math.isclose(got[0]["x"], (100 * 5 + 64 * 24) / 164) and math.isclose(got[1]["y"], (100 * 5 - 16 * 4) / 84)
+    flat = spark.createDataFrame([([[(0.0, 0.0), (4.0, 0.0), (0.0, 0.0)]],), ([],)], SQUARE)
+    x, y = geo.rings_centroid(F.col("rings"))
+    assert [tuple(r) for r in flat.select(x, y, geo.rings_area(F.col("rings"))).collect()] == [(2.0, 0.0, 0.0), (None, None, 0.0)]
+    far = spark.createDataFrame([([box(255_000.0, 9_856_000.0, 255_003.0, 9_856_002.0)],)], SQUARE)
+    assert far.select(geo.rings_area(F.col("rings"))).first()[0] == 6.0
+
+
+def test_lines_of_several_parts_are_weighed_by_length(spark):
+    d = spark.createDataFrame([([[(0.0, 0.0), (8.0, 0.0)], [(0.0, 10.0), (0.0, 12.0)]],), ([[(1.0, 1.0)], [(3.0, 5.0)]],)], SQUARE)
+    x, y = geo.lines_centroid(F.col("rings"))
+    assert [tuple(r) for r in d.select(x, y).collect()] == [((8 * 4 + 2 * 0) / 10, (8 * 0 + 2 * 11) / 10), (2.0, 3.0)]
+
+
+def test_footprints_meet_zones(spark):
+    """Crossing, touching, inside, around, in a hole, in a part far away, and a long edge over many cells."""
+    zone = lambda k, b: [(k, i, *p, *q) for i, (p, q) in enumerate(zip(b, b[1:] + b[:1], strict=True))]
+    edges = spark.createDataFrame(zone(0, box(0.0, 0.0, 2.0, 2.0)) + zone(1, box(100.0, 100.0, 400.0, 400.0)) + zone(1, box(200.0, 200.0, 300.0, 300.0)) + zone(2, box(900.0, 900.0, 901.0, 901.0)), "zone_id int, edge_no int, x1 double, y1 double, x2 double, y2 double")
+    cases = {
+        0: ([box(0.0, 0.0, 1.0, 1.0)], True), 1: ([box(5.0, 5.0, 6.0, 6.0)], False), 2: ([box(2.0, 2.0, 3.0, 3.0)], True), 3: ([box(-5.0, -5.0, 7.0, 7.0)], True), 4: ([box(220.0, 220.0, 280.0, 280.0)], False), 5: ([box(110.0, 110.0, 120.0, 120.0)], True),
+        6: ([box(50.0, 50.0, 51.0, 51.0), box(150.0, 150.0, 151.0, 151.0)], True), 7: ([box(2.0001, 0.0, 3.0, 1.0)], False), 8: ([[(500.0, 500.0), (1500.0, 1500.0), (1500.0, 1499.0)]], True), 9: ([box(850.0, 850.0, 950.0, 950.0), box(870.0, 870.0, 930.0, 930.0)], False), 10: ([], False), 11: ([box(210.0, 250.0, 320.0, 260.0)], True), 12: ([[(1.0, 1.0)]], True),
+    }
+    d = spark.createDataFrame([(k % 2, k, r) for k, (r, _) in cases.items()], f"site_id int, node_id long, {SQUARE}")
+    want = {k: inside for k, (_, inside) in cases.items()}
+    for cell in (7.0, 50.0, 5000.0):
+        assert {r["node_id"]: r["inside_zone"] for r in spatial.footprints_in_zone(d, edges, cell).collect()} == want
+    assert not spatial.footprints_in_zone(d, edges.limit(0)).filter("inside_zone").count() and spatial.footprints_in_zone(d.limit(0), edges).count() == 0
+
+
+def test_sinks_replace_sites_and_survive_failure(spark, tmp_path):
+    path = str(tmp_path / "policy")
+    d = spark.createDataFrame([(s, k, 0) for s in (0, 1) for k in range(3)], "site_id int, node_id long, action_index int")
+    readers.write_policy(d.filter("site_id = 0"), path)
+    readers.write_policy(d.filter("site_id = 1"), path)
+    counts = lambda: {(r["site_id"], r["n"]) for r in readers.read_policy(spark, path).groupBy("site_id").agg(F.count("*").alias("n")).collect()}
+    assert counts() == {(0, 3), (1, 3)}
+    failing = d.withColumn("action_index", F.when(F.col("node_id") == 2, F.raise_error(F.lit("broken")).cast("int")).otherwise(F.col("action_index")))
+    with pytest.raises(Exception, match="broken"):
+        readers.write_policy(failing, path)
+    assert counts() == {(0, 3), (1, 3)} and sorted(p.name for p in (tmp_path / "policy").iterdir() if not p.name.startswith(".")) == ["_commits", "site_id=0", "site_id=1"]
+    readers.write_policy(d.filter("site_id = 1 AND node_id = 0"), path)
+    assert counts() == {(0, 3), (1, 1)}
+    assert {(r["site_id"], r["n"]) for r in readers.read_commits(spark, path).groupBy("site_id").agg(F.count("*").alias("n")).collect()} == {("0", 1), ("1", 2)}
+    report = str(tmp_path / "report")
+    readers.write_report(d.limit(2), report)
+    with pytest.raises(Exception, match="broken"):
+        readers.write_report(failing, report)
+    assert spark.read.json(report).count() == 2 and [p.name for p in tmp_path.iterdir() if p.name.startswith("report-")] == []
+
+
+def test_a_failing_site_does_not_stop_the_others(spark):
+    rows = [(str(s), str(k), str(3 * k), "0", "20", "tin") for s in (0, 1) for k in range(25)] + [("1", "7", "1", "1", "20", None), ("1", "x", "1", "1", "20", None), ("1", "90", "Infinity", "1", "20", None), ("2", "1", None, "0", "20", None), (None, "5", "1", "1", "1", None), ("0", "91", "1", "1", "-4", None)]
+    p = spark.createDataFrame(rows, "site_id string, node_id string, x string, y string, area_m2 string, roof_material string")
+    i = spark.createDataFrame([("0", "1", "water", "0", "0"), ("0", "2", "road", "?", "0"), ("1", "3", None, "0", "0")], "site_id string, infra_id string, category string, x string, y string")
+    out = pipelines.run_all_sites(p, i, [0, 1, 2, 3], tolerated=0.05)
+    status = {r["site_id"]: (r["status"], r["reason"], r["parcels"], r["rejected"]) for r in out["status"].collect()}
+    assert status == {0: ("ok", None, 26, 1), 1: ("failed", "repeated node_id", 28, 4), 2: ("failed", "no position", 1, 1), 3: ("failed", "no parcels", 0, 0)}
+    assert {r["site_id"] for r in out["nodes"].collect()} == {0} and out["nodes"].count() == 25
+    assert {(r["source"], r["site_id"], r["key"], r["reason"]) for r in out["rejected"].collect()} == {
+        ("parcels", 1, "7", "repeated node_id"), ("parcels", 1, None, "node_id is no number"), ("parcels", 1, "90", "no position"), ("parcels", 2, "1", "no position"), ("parcels", None, "5", "site_id is no number"), ("parcels", 0, "91", "no area"),
+        ("infra", 0, "2", "no position"), ("infra", 1, "3", "no category"),
+    }
+
+
+def test_f1_of_counts_where_they_are_few(spark):
+    d = spark.createDataFrame([(1, 999_999, 999_999, 1)], "tp long, fp long, fn long, tn long")
+    assert math.isclose(metrics.pixel_scores(d).first()["f1"], 2 / (2 + 2 * 999_999 + 1e-7), rel_tol=1e-12)
+
+
+def test_manifests_of_lines_and_of_one_array(spark, tmp_path):
+    one_tile = '{"tile_id": "t%d", "path": "p", "row_off": 0, "col_off": 0, "valid_fraction": 1.0, "split": "train"}'
+    (tmp_path / "lines.json").write_text("\n".join(one_tile % k for k in range(3)))
+    (tmp_path / "array.json").write_text("\n [\n" + ",\n".join(one_tile % k for k in range(4)) + "\n]\n")
+    (tmp_path / "none.json").write_text("")
+    rows, absent = readers.read_manifests(spark, {k: f"{tmp_path}/{k}.json" for k in ("lines", "array", "none", "gone")})
+    assert {r["site_key"]: r["n"] for r in rows.groupBy("site_key").agg(F.count("*").alias("n")).collect()} == {"lines": 3, "array": 4} and {r[0] for r in absent.collect()} == {"none", "gone"}
