@@ -1,6 +1,7 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
-A text is cut into lines: at newlines, and inside paragraphs at sentence ends. A rolling hash over the hashes of two lines decides
+A text is cut into lines: at newlines, and inside paragraphs at sentence ends; stretches of more than 200 characters without sentence end
+are cut where their content says so, so that these cuts do not depend on where a stretch begins either. A rolling hash over the hashes of two lines decides
 where boundaries lie, so the same lines are cut alike wherever they stand. Chunks run from one boundary to the next; so that the ends of
 a repeated passage are found too, the shortest chunk of several lines that begins or ends at each boundary counts as well. Chunks that
 occur more than once in the corpus are candidates; their bytes are compared, and all but the first occurrence (by doc_id, then place)
@@ -14,9 +15,18 @@ from pyspark.sql import functions as F
 
 from parcelrisk.llm.common import Scratch
 
-LINE = r"[^.!?。！？\n]{1,200}[.!?。！？]* *\n?|[.!?。！？]+ *\n?|\n"
 WIDE = "。！？"
-NARROW_LINE = LINE.replace(WIDE, "")
+#: Where a stretch without sentence end may be cut: after a space behind one letter in some, or after one character in eight of scripts without spaces.
+CUT = "[gkmxz" + "".join(map(chr, range(0xC0, 0x700, 8))) + "] |[" + "".join(f"{chr(c)}-{chr(c + 15)}" for lo, hi in ((0xE00, 0xF00), (0x3080, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD780)) for c in range(lo, hi, 128)) + "]"
+
+
+def _pattern(end: str) -> str:
+    """A sentence of up to 200 characters; of a longer stretch the piece up to its first cut after 40 characters, or all of it."""
+    rest = rf"[^{end}\n]"
+    return rf"{rest}{{1,200}}(?:[{end}]+ *\n?|\n|\z)|{rest}{{40,}}?(?:{CUT})|{rest}+(?:[{end}]+ *\n?|\n)?|[{end}]+ *\n?|\n"
+
+
+LINE, NARROW_LINE = _pattern(".!?" + WIDE), _pattern(".!?")
 BLANK = r" \n"
 HOT_CHUNKS = 10_000
 
@@ -67,8 +77,10 @@ def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
     d = docs.filter(F.length("text") > 0).select("k1", "k2", _lines().alias("lines")).withColumn("n", F.size("lines"))
     d = d.withColumn("ends", F.expr(f"transform(lines, x -> trim(TRAILING '{BLANK}' FROM x))"))
     # arrays of their own: fields taken from an array of structs would be taken anew for every element
-    turn = "transform(ends, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) AS bigint))" if divisor > 1 else "array(0L)"
-    d = d.select("k1", "k2", "n", F.expr("transform(lines, x -> length(x)) AS len"), F.expr("transform(ends, x -> length(x)) AS bare"), F.expr("zip_with(lines, ends, (x, y) -> length(x) * 4294967296L + length(y)) AS both"), F.expr("transform(lines, x -> xxhash64(x)) AS hash"), F.expr("transform(ends, x -> xxhash64(x)) AS end"), F.expr(f"{turn} AS turn"))
+    # of a number that only counts modulo 2 its last hexadecimal digit is enough
+    turn = "array(0L)" if divisor < 2 else "transform(ends, x -> IF(instr('13579bdf', substr(md5(x), 8, 1)) > 0, 1L, 0L))" if divisor == 2 else "transform(ends, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) AS bigint))"
+    d = d.select("k1", "k2", "n", F.expr("transform(lines, x -> length(x)) AS len"), F.expr("transform(ends, x -> length(x)) AS bare"), F.expr("transform(lines, x -> xxhash64(x)) AS hash"), F.expr("transform(ends, x -> xxhash64(x)) AS end"), F.expr(f"{turn} AS turn"))
+    d = d.withColumn("both", F.expr("zip_with(len, bare, (x, y) -> x * 4294967296L + y)"))
     here = f"i > 0 AND (31 * turn[i - 1] + turn[i]) % {divisor} = 0" if divisor > 1 else "true"
     d = d.withColumn("last", F.expr(f"filter(sequence(0, n - 1), i -> i = n - 1 OR ({here}))"))
     d = d.withColumn("begin", F.expr("concat(array(0), transform(slice(last, 1, size(last) - 1), e -> e + 1))"))

@@ -15,7 +15,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？\n]{1,200}[.!?。！？]* *\n?|[.!?。！？]+ *\n?|\n') AS lines FROM documents WHERE length(text) > 0),
+WITH l AS (SELECT doc_id, regexp_extract_all(text, 'THE_LINE') AS lines FROM documents WHERE length(text) > 0),
 u AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS i, len(lines) AS n FROM l),
 f AS (SELECT doc_id, x, i, n, length(rtrim(x, ' ' || chr(10))) AS bare, ('0x' || substr(md5(rtrim(x, ' ' || chr(10))), 1, 8))::BIGINT AS h,
   sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS before FROM u),
@@ -30,7 +30,7 @@ d AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER w, false) AS opens FROM c WIN
 o AS (SELECT doc_id, coalesce(string_agg(CASE WHEN NOT cut THEN x END, '' ORDER BY i), '') AS text, count(*) FILTER (opens) AS chunks_removed, coalesce(sum(length(x)) FILTER (cut), 0)::BIGINT AS chars_removed FROM d GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(o.text, documents.text) AS text, coalesce(o.chunks_removed, 0) AS chunks_removed, coalesce(o.chars_removed, 0) AS chars_removed
 FROM documents LEFT JOIN o ON documents.doc_id = o.doc_id
-"""
+""".replace("THE_LINE", line_dedup.LINE)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,14 @@ def test_equal_draws_give_the_weight_ratio(spark, w, v):
     df = spark.createDataFrame([(0, 77, w, v)], "k0 int, term long, a int, b int")
     r = fingerprints.signatures(df, ["k0"], ["a", "b"], 2048, 8).first()
     assert math.isclose(np.mean(np.array(r["a"]) == np.array(r["b"])), w / v, abs_tol=0.05)
+
+
+def test_stretches_without_sentence_ends_are_cut_by_content(docs):
+    """A passage without sentence ends goes behind whatever opening it stands: but for its first and last pieces, in spaced and unspaced scripts."""
+    g = random.Random(9)
+    spaced = " ".join("".join(g.choice("abcdefghiklmnoprstuwz") for _ in range(g.randint(2, 9))) for _ in range(550))
+    wide = "".join(chr(g.randrange(0x4E00, 0x9FA0)) for _ in range(2_000))
+    for passage in (spaced, wide):
+        rows = [(k, "".join(g.choice("abcdefgh ") for _ in range(17 * k)) + passage + ("." if k % 2 else "")) for k in range(6)]
+        left = {r["doc_id"]: len(r["text"]) for r in line_dedup.dedup_lines(docs(rows)).collect()}
+        assert left[0] == len(rows[0][1]) and all(left[k] - 17 * k < 0.25 * len(passage) for k in range(1, 6)), left
