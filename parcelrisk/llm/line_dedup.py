@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from parcelrisk.llm.common import Scratch
 
 WIDE = "。！？"
-#: Where a stretch without sentence end may be cut: after a space behind one letter in some, or after one character in eight of scripts without spaces.
-CUT = "[gkmxz" + "".join(map(chr, range(0xC0, 0x700, 8))) + "] |[" + "".join(f"{chr(c)}-{chr(c + 15)}" for lo, hi in ((0xE00, 0xF00), (0x3080, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD780)) for c in range(lo, hi, 128)) + "]"
+#: A stretch without sentence end may be cut after a space behind a word whose last or last but one letter is one of these, or after one character in eight of scripts without spaces.
+LETTERS = "37gkmxz" + "".join(map(chr, range(0xC0, 0x700, 8)))
+UNSPACED = "".join(f"{chr(c)}-{chr(c + 15)}" for lo, hi in ((0xE00, 0xF00), (0x3080, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD780)) for c in range(lo, hi, 128))
 
 
 def _pattern(end: str) -> str:
     """A sentence of up to 200 characters; of a longer stretch the piece up to its first cut after 40 characters, or all of it."""
     rest = rf"[^{end}\n]"
-    return rf"{rest}{{1,200}}(?:[{end}]+ *\n?|\n|\z)|{rest}{{40,}}?(?:{CUT})|{rest}+(?:[{end}]+ *\n?|\n)?|[{end}]+ *\n?|\n"
+    return rf"{rest}{{1,200}}(?:[{end}]+ *\n?|\n|\z)|{rest}{{40,}}?(?:[{LETTERS}]{rest}? |[{UNSPACED}])|{rest}+(?:[{end}]+ *\n?|\n)?|[{end}]+ *\n?|\n"
 
 
 LINE, NARROW_LINE = _pattern(".!?" + WIDE), _pattern(".!?")

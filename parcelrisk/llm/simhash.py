@@ -86,11 +86,11 @@ def near_pairs(fps: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id: the smallest doc_id that links reach, itself included.
+    """One row per document: doc_id, fp (long), root (the smallest fingerprint that links reach: it names the component), component_id: the smallest doc_id there.
 
     Fingerprints that differ in at most ``bits`` bits link. Null and wordless texts have fingerprint 0 and link like any other;
-    repeated rows stay separate rows of one component; a component of documents without id has a null component_id. Equal
-    fingerprints are grouped before the join, so copies never meet in pairs.
+    repeated rows stay separate rows of one component; a component of documents without id has a null component_id, and unlike
+    texts of one id may give two components one component_id, but never one root. Equal fingerprints are grouped before the join, so copies never meet in pairs.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, words, seed), "fps")
@@ -98,7 +98,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, seed: int =
     roots = connected_components(near_pairs(least, bits), scratch)
     nodes = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     ids = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    return fps.join(nodes.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(nodes.join(ids, "component").select("fp", F.col("component").alias("root"), "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp") -> Column:

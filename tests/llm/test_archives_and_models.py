@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import collections
 import math
 import random
 import zlib
@@ -185,3 +186,40 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     assert ids == {k for k, _, t in rows if not t} | {900}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def test_near_duplicate_stage_loses_no_text(spark):
+    """Unlike texts under one id are documents of their own: only rows whose group has a smaller id or text goes; null ids stay."""
+    import corpus_pipeline
+    from parcelrisk.llm import simhash
+
+    g = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    a, b, c, d = (" ".join(g.choice(words) for _ in range(60)) for _ in range(4))
+    rows = [(7, a), (7, b), (9, b), (8, c), (9, d), (9, d), (None, a), (None, None), (None, None), (5, None), (6, ""), (10, a + " tail"), (11, c)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], schema)
+    prints = {t: simhash.simhash(simhash.shingle_hashes(t, 3, 42)) for _, t in rows}
+    near = lambda s, t: (prints[s] ^ prints[t]) & (2**64 - 1)
+    groups = {t: t for t in prints}
+    for _ in prints:  # texts that differ in few bits have one group
+        for s in prints:
+            for t in prints:
+                if near(s, t).bit_count() <= 3:
+                    groups[s] = groups[t] = min(groups[s], groups[t], key=str)
+    want = collections.Counter((k, groups[t]) for k, t in rows if k is None)
+    for group in set(groups.values()):
+        ids = [k for k, t in rows if groups[t] == group and k is not None]
+        want.update([(min(ids), group)] if ids else [])
+    kept = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert collections.Counter((r["doc_id"], groups[r["text"]]) for r in kept) == want
+    assert {(7, a), (7, b), (8, c), (9, d)} <= {(r["doc_id"], r["text"]) for r in kept}
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
