@@ -28,7 +28,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id, and of several rows of that id the first by the text's hash. Documents without id stay."""
+    """One document of each near-duplicate group: the row of the smallest id, of several such rows the first by the text's hash. Documents without id stay, and so do unlike texts of one id."""
     scratch = Scratch(spark, "keepers")
     groups = scratch.write(simhash.near_duplicates(docs), "groups")
     often = scratch.write(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "often")
@@ -36,11 +36,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if often.isEmpty():
         return kept
-    # rows that share an id are told apart by their fingerprints
+    # rows that share an id are told apart by their fingerprints, and grouped by their component's, as their id may be the smallest of several
     again = docs.join(often, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("h"))
     prints = simhash.fingerprints(again.select("h", "row.text"), key="h").distinct()
     first = groups.filter("doc_id = component_id").join(often, "doc_id", "left_semi").distinct()
-    again = again.join(prints, "h").join(first, (F.col("row.doc_id") == F.col("doc_id")) & (prints["fp"] == first["fp"])).groupBy("component_id").agg(F.min_by("row", "h").alias("row"))
+    again = again.join(prints, "h").join(first, (F.col("row.doc_id") == F.col("doc_id")) & (prints["fp"] == first["fp"])).groupBy("root").agg(F.min_by("row", "h").alias("row"))
     return kept.unionByName(again.select("row.*"))
 
 
@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", cut_repeats), ("simhash_near_dedup", one_of_each), ("packing", pack)]
 
-#: Model fitting, XXH64 and tokenization have no SQL form; tests hold the stages against brute-force versions.
+#: Model fitting, XXH64 and tokenization have no SQL form; tests hold line dedup, near-duplicates and packing against brute force and the fitted stage against planted rows.
 ORACLE_SQL = None
 
 
