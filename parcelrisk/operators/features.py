@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelrisk.functions import parcels as P
 from parcelrisk.operators import spatial
+from parcelrisk.operators.quantiles import percentiles
 
 DISTANCES = {"water": "dist_to_water_m", "sanitation": "dist_to_sanitation_m", "road": "dist_to_road_m"}
 FEATURES = ["area_m2", *DISTANCES.values(), "roof_score"]
@@ -33,7 +34,7 @@ def severity(df: DataFrame, score: str, classes: int = 3, cuts: list[float] | No
             raise ValueError(f"{classes} classes need {classes - 1} cuts")
         return df.withColumn(out, sum(((F.col(score) >= c).cast("int") for c in cuts[1:]), (F.col(score) >= cuts[0]).cast("int")))
     q = [k / classes for k in range(1, classes)]
-    facts = df.groupBy("site_id").agg(F.percentile(score, q).alias("cuts"), F.min(score).alias("lo"), F.max(score).alias("hi"))
+    facts = percentiles(df, ["site_id"], score, q).withColumnRenamed("percentiles", "cuts")
     collide = F.size(F.array_distinct("cuts")) < classes - 1
     even = F.array(*[F.col("lo") + (F.col("hi") - F.col("lo")) * x for x in q])
     facts = facts.select("site_id", F.when(collide, even).otherwise(F.col("cuts")).alias("cuts"), (F.col("hi") <= F.col("lo")).alias("flat"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 from parcelrisk import schema as S
 from parcelrisk.functions import raster as R
 from parcelrisk.operators import graph
+from parcelrisk.sources.scratch import settle
 
 PIXEL = ["site_id", "row", "col"]
 
@@ -62,17 +68,43 @@ def drop_threshold(changes: DataFrame, bins: int = 256) -> DataFrame:
     return facts.join(found, "site_id", "left").select("site_id", F.when(ok, F.col("threshold")).otherwise(S.FLOOD_DB).alias("threshold"), F.when(ok, "otsu").otherwise("fixed").alias("source"))
 
 
-def small_blobs_dropped(mask: DataFrame, least: int = S.LEAST_BLOB) -> DataFrame:
-    """site_id, row, col of true pixels in 8-connected blobs of at least ``least`` pixels; ``least`` <= 1 keeps all."""
+def _block_labels(block: pd.DataFrame) -> pd.DataFrame:
+    """The pixels of one block, each with the least (by row, then col) of its 8-connected blob in the block as ``label``."""
+    block = block.sort_values(["row", "col"], ignore_index=True)
+    r, c = (block[k].to_numpy(np.int64) for k in ("row", "col"))
+    n, y, x = len(block), r - r.min() + 1, c - c.min() + 1
+    grid, label = np.full((y.max() + 2, x.max() + 2), n), np.arange(n)
+    while True:
+        grid[y, x] = label
+        low = np.min([grid[y + a, x + b] for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0)
+        low = low[low]  # a label's own label is at least as low
+        if (low == label).all():
+            return block.assign(label=r[label] * 2**31 + c[label])
+        label = low
+
+
+def small_blobs_dropped(mask: DataFrame, least: int = S.LEAST_BLOB, block: int = 64) -> DataFrame:
+    """site_id, row, col of true pixels in 8-connected blobs of at least ``least`` pixels; ``least`` <= 1 keeps all.
+
+    Blobs are labelled inside blocks of ``block`` x ``block`` pixels first, so that only labels that touch across the blocks' borders,
+    a row for each pair, go through the components of a graph. Pixels must not repeat.
+    """
     if least <= 1:
         return mask.select(*PIXEL)
-    at = F.col("row").cast("long") * 2**31 + F.col("col")
-    px = mask.select("site_id", at.alias("node_id"), "row", "col")
+    at = lambda k: F.floor(F.col(k) / block).alias(f"block_{k}")
+    px = mask.select(*[F.col(k).cast("int") for k in PIXEL]).groupBy("site_id", at("row"), at("col")).applyInPandas(lambda g: _block_labels(g[PIXEL]), "site_id int, row int, col int, label long")
+    px = settle(px)
+    inner = lambda k: F.pmod(F.col(k), F.lit(block)).isin(0, block - 1)
+    rim = px.filter(inner("row") | inner("col"))
     ahead = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("o")
-    step = px.select("site_id", F.col("node_id").alias("src"), "row", "col", ahead).select("site_id", "src", ((F.col("row") + F.col("o.a")).cast("long") * 2**31 + F.col("col") + F.col("o.b")).alias("dst"))
-    edges = step.join(px.select("site_id", F.col("node_id").alias("dst")), ["site_id", "dst"], "left_semi").select("site_id", "src", "dst")
-    kept, _ = graph.prune(px, edges, graph.components(px, edges), least)
-    return kept.select(*PIXEL)
+    step = rim.select("site_id", F.col("label").alias("src"), "row", "col", ahead).select("site_id", "src", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"))
+    edges = settle(step.join(rim.withColumnRenamed("label", "dst"), PIXEL).filter("src <> dst").select("site_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    sizes = px.groupBy("site_id", "label").agg(F.count("*").alias("n"))
+    touching = edges.select("site_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    whole = graph.components(touching, edges).select("site_id", F.col("node_id").alias("label"), "component")
+    blobs = settle(sizes.join(whole, ["site_id", "label"], "left").withColumn("component", F.coalesce("component", "label")))
+    kept = blobs.groupBy("site_id", "component").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("site_id", "component")
+    return px.join(blobs.join(kept, ["site_id", "component"]).select("site_id", "label"), ["site_id", "label"], "left_semi").select(*PIXEL)
 
 
 def event_flood_label(pixels: DataFrame, bins: int = 256, least: int = S.LEAST_BLOB) -> tuple[DataFrame, DataFrame]:
@@ -99,10 +131,21 @@ def seasonal_flood_label(obs: DataFrame, value: str = "vv", bins: int = 256) ->
 
 
 def focal_mean(pixels: DataFrame, value: str, radius: int, out: str = "focal") -> DataFrame:
-    """Mean of the known values within ``radius`` pixels (a disk); pixels send their value to the places around them, summed before the shuffle."""
-    disk = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-    spread = pixels.filter(F.col(value).isNotNull()).select("site_id", "row", "col", value, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disk])).alias("o"))
-    means = spread.groupBy("site_id", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col")).agg(F.avg(value).alias(out))
+    """Mean of the known values within ``radius`` pixels (a disk); NULL where none is known.
+
+    A disk is one run of columns in each of its 2 radius + 1 rows. Each pixel asks for a place in each of these rows, in its own column;
+    frames over the columns of a row give the sums of all runs around a place, and each place answers once for each row: so rows in
+    proportion to the radius are shuffled, twice, not to the disk's area.
+    """
+    reach = {a: math.isqrt(radius * radius - a * a) for a in range(-radius, radius + 1)}
+    rows = F.explode(F.array(*map(F.lit, reach))).alias("a")
+    asked = pixels.select("site_id", F.col("row").cast("int"), F.col("col").cast("int"), F.col(value).alias("v"), rows)
+    places = asked.select("site_id", (F.col("row") + F.col("a")).alias("row"), "col", F.when(F.col("a") == 0, F.col("v")).alias("v")).repartition("site_id", "row").groupBy(*PIXEL).agg(F.max("v").alias("v"))
+    along = W.partitionBy("site_id", "row").orderBy("col")
+    runs = {w: F.struct(F.sum("v").over(along.rangeBetween(-w, w)).alias("s"), F.count("v").over(along.rangeBetween(-w, w)).alias("n")) for w in sorted({*reach.values()})}
+    summed = places.select(*PIXEL, *[run.alias(f"run{w}") for w, run in runs.items()])
+    answers = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.col(f"run{w}.s").alias("s"), F.col(f"run{w}.n").alias("n")) for a, w in reach.items()])).alias("r")
+    means = summed.select("site_id", "row", "col", answers).filter("r.n > 0").groupBy("site_id", (F.col("row") - F.col("r.a")).alias("row"), "col").agg((F.sum("r.s") / F.sum("r.n")).alias(out))
     return pixels.join(means, PIXEL, "left")
 
 
@@ -111,15 +154,22 @@ def wetness_index(terrain: DataFrame, radius: int = 3) -> DataFrame:
     return f.select(*PIXEL, R.wetness(F.col("focal"), F.col("elevation"), F.col("slope")).alias("twi"))
 
 
-def build_stack(bands: dict[str, DataFrame], label: DataFrame, label_mode: str) -> DataFrame:
-    """Bands (site_id, row, col, one value column each) aligned by pixel, with the label; pixels are those of the first band."""
+def build_stack(bands: dict[str, DataFrame], label: DataFrame, label_mode: str, include_s1: bool = True) -> DataFrame:
+    """Bands (site_id, row, col and value columns each) aligned by pixel, with the label; pixels are those of the first band.
+
+    ``label`` is the event's or the season's, which ``label_mode`` names; without ``include_s1`` the radar bands pre_vv and event_vv are
+    left out. All tables are laid under each other and meet in one aggregate by pixel; a pixel must not repeat within a band.
+    """
     if label_mode not in ("event", "seasonal"):
         raise ValueError(f"unknown label mode: {label_mode}")
-    names = list(bands)
-    out = bands[names[0]]
-    for n in names[1:]:
-        out = out.join(bands[n], PIXEL, "left")
-    return out.join(label.withColumnRenamed("flood", "flood_label"), PIXEL, "left")
+    radar = () if include_s1 else ("pre_vv", "event_vv")
+    parts = [d.drop(*radar) for d in bands.values()] + [label.select(*PIXEL, F.col("flood").alias("flood_label"))]
+    values = [c for p in parts for c in p.columns if c not in PIXEL]
+    if len({*values}) < len(values):
+        raise ValueError(f"bands share column names: {values}")
+    long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("__first", F.lit(k == 0)) for k, p in enumerate(parts)])
+    met = long.groupBy(*PIXEL).agg(*[F.max(c).alias(c) for c in values], F.bool_or("__first").alias("__first"))
+    return met.filter("__first").drop("__first")
 
 
 def layout(stack: DataFrame, inputs: list[str], label: str) -> DataFrame:

@@ -13,7 +13,7 @@ from parcelrisk.fixtures import fixture, with_fixtures
 from parcelrisk.functions import geo, heads
 from parcelrisk.functions import parcels as P
 from parcelrisk.functions import raster as R
-from parcelrisk.operators import features, graph, metrics, ml, policy, raster, spatial, splits, tiles
+from parcelrisk.operators import features, graph, metrics, ml, policy, quantiles, raster, spatial, splits, tiles
 from parcelrisk.plans import pipelines
 from parcelrisk.sources import readers
 from parcelrisk.sources.scratch import folder, settle
@@ -307,10 +307,13 @@ def wetness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.wetness_index(fixture(spark, sf_dir, "terrain")), 5)
 
 
-@query(f"""WITH ch AS (SELECT site_id, "row", col, min(vv) AS change FROM scene_obs WHERE month(ts) IN (3, 4, 5, 10, 11) GROUP BY ALL), {HIST.format(src='ch')},
+SEASONAL = f"""ch AS (SELECT site_id, "row", col, min(vv) AS change FROM scene_obs WHERE month(ts) IN (3, 4, 5, 10, 11) GROUP BY ALL), {HIST.format(src='ch')},
 tot AS (SELECT site_id, coalesce(least(floor((change - lo) / ((hi - lo) / 256)), 255), 0)::INT AS bin, avg(change) AS mean FROM ch JOIN span USING (site_id) GROUP BY ALL),
-best AS (SELECT site_id, arg_max(bin, struct_pack(b := b, k := -bin)) AS bin FROM btw GROUP BY site_id)
-SELECT ch.site_id, ch.row, ch.col, (change < mean - 1e-9)::INT AS flood FROM ch JOIN best USING (site_id) JOIN tot ON tot.site_id = best.site_id AND tot.bin = best.bin""")
+best AS (SELECT site_id, arg_max(bin, struct_pack(b := b, k := -bin)) AS bin FROM btw GROUP BY site_id),
+season AS (SELECT ch.site_id, ch.row, ch.col, (change < mean - 1e-9)::INT AS flood FROM ch JOIN best USING (site_id) JOIN tot ON tot.site_id = best.site_id AND tot.bin = best.bin)"""
+
+
+@query(f"WITH {SEASONAL} SELECT * FROM season")
 def seasonal_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.seasonal_flood_label(fixture(spark, sf_dir, "scene_obs"))
 
@@ -826,6 +829,46 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.check_sites(fixture(spark, sf_dir, "raw_parcel"), fixture(spark, sf_dir, "infra"), [0, 1, 2, 3, 9], 0.05)["rejected"]
 
 
+@query("SELECT site_id, count(area_m2) AS n, round(min(area_m2), 6) AS lo, round(max(area_m2), 6) AS hi, round(quantile_cont(area_m2, 0.01), 6) AS p01, round(quantile_cont(area_m2, 1e0 / 3), 6) AS third, round(quantile_cont(area_m2, 0.5), 6) AS half, round(quantile_cont(area_m2, 0.99), 6) AS p99 FROM parcel GROUP BY site_id")
+def site_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quantiles.percentiles(fixture(spark, sf_dir, "parcel"), ["site_id"], "area_m2", [0.01, 1 / 3, 0.5, 0.99], accuracy=50)
+    return rounded(d.select("site_id", "n", "lo", "hi", *[F.col("percentiles")[k].alias(n) for k, n in enumerate(("p01", "third", "half", "p99"))]))
+
+
+@query("SELECT s.site, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS q2, round(quantile_cont(score, 0.75), 6) AS q3 FROM label_pairs s GROUP BY s.site")
+def score_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of values that repeat often."""
+    d = quantiles.percentiles(fixture(spark, sf_dir, "label_pairs"), ["site"], "score", [0.25, 0.5, 0.75], accuracy=20)
+    return rounded(d.select("site", *[F.col("percentiles")[k].alias(f"q{k + 1}") for k in range(3)]))
+
+
+@query('WITH v AS (SELECT a.site_id, a.row, a.col, b.elevation FROM terrain a JOIN terrain b ON a.site_id = b.site_id AND abs(a.row - b.row) <= 9 AND abs(a.col - b.col) <= 9 AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 81) SELECT site_id, "row", col, round(avg(elevation), 6) AS focal FROM v GROUP BY ALL')
+def focal_mean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius at which a disk has 253 pixels, and 19 rows."""
+    return rounded(raster.focal_mean(fixture(spark, sf_dir, "terrain"), "elevation", 9).select(*raster.PIXEL, "focal"))
+
+
+_WET = 'wet AS (SELECT a.site_id, a.row, a.col, a.elevation, a.slope, avg(b.elevation) AS focal FROM terrain a JOIN terrain b ON a.site_id = b.site_id AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9 GROUP BY ALL), twi AS (SELECT site_id, "row", col, ln(greatest(focal - elevation, 0.01) / greatest(tan(coalesce(slope, 0) * (3.14159265 / 180)), 0.001)) AS twi FROM wet)'
+
+
+@query(f"""WITH RECURSIVE {EVENT}, {_WET} SELECT s3.site_id, s3.row, s3.col, round(s3.pre_vv, 5) AS pre_vv, round(s3.event_vv, 5) AS event_vv, s3.slope, round(twi.twi, 5) AS twi, (kept.row IS NOT NULL)::INT AS flood_label
+FROM s3 LEFT JOIN twi ON twi.site_id = s3.site_id AND twi.row = s3.row AND twi.col = s3.col LEFT JOIN kept ON kept.site_id = s3.site_id AND kept.row = s3.row AND kept.col = s3.col""")
+def stack_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radar, terrain and wetness bands from three tables under the event's label."""
+    px = settle(pixels(spark, sf_dir))
+    terrain = fixture(spark, sf_dir, "terrain")
+    bands = {"radar": px.select(*raster.PIXEL, "pre_vv", "event_vv"), "terrain": terrain.select(*raster.PIXEL, "slope"), "twi": raster.wetness_index(terrain)}
+    return rounded(raster.build_stack(bands, raster.event_flood_label(px)[0], "event"), 5)
+
+
+@query(f"""WITH {SEASONAL}, {_WET} SELECT twi.site_id, twi.row, twi.col, terrain.slope, round(twi.twi, 5) AS twi, flood AS flood_label FROM twi JOIN terrain ON terrain.site_id = twi.site_id AND terrain.row = twi.row AND terrain.col = twi.col LEFT JOIN season ON season.site_id = twi.site_id AND season.row = twi.row AND season.col = twi.col""")
+def stack_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the radar bands, under the season's label."""
+    terrain, obs = fixture(spark, sf_dir, "terrain"), fixture(spark, sf_dir, "scene_obs")
+    bands = {"twi": raster.wetness_index(terrain), "terrain": terrain.select(*raster.PIXEL, "slope"), "radar": raster.event_pair(obs).drop("change")}
+    return rounded(raster.build_stack(bands, raster.seasonal_flood_label(obs), "seasonal", include_s1=False), 5)
+
+
 # --- sources and sinks -----------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelrisk.functions import geo, heads, raster
 from parcelrisk.functions import parcels as P
-from parcelrisk.operators import features, graph, metrics, ml, policy, raster as rasters, spatial, splits, tiles
+from parcelrisk.operators import features, graph, metrics, ml, policy, quantiles, raster as rasters, spatial, splits, tiles
 from parcelrisk.operators.numbering import number_within, range_bucket
 from parcelrisk.plans import pipelines
 from parcelrisk.sources import readers
@@ -359,3 +359,69 @@ def test_manifests_of_lines_and_of_one_array(spark, tmp_path):
     (tmp_path / "none.json").write_text("")
     rows, absent = readers.read_manifests(spark, {k: f"{tmp_path}/{k}.json" for k in ("lines", "array", "none", "gone")})
     assert {r["site_key"]: r["n"] for r in rows.groupBy("site_key").agg(F.count("*").alias("n")).collect()} == {"lines": 3, "array": 4} and {r[0] for r in absent.collect()} == {"none", "gone"}
+
+
+def test_percentiles_by_counting(spark):
+    """Equal to the buffered ones for groups that are small or large for the sketch, ties, NULLs, one value and a NULL key."""
+    g = random.Random(12)
+    rows = [("a", g.gauss(0, 1)) for _ in range(3000)] + [("b", float(g.choice([1, 2, 2, 3]))) for _ in range(2000)] + [("c", 5.0), ("d", None), (None, 1.0), (None, 4.0)] + [("e", float(k)) for k in range(7)] + [("a", None)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.01, 1 / 3, 0.5, 2 / 3, 0.99, 1.0]
+    want = {r["k"]: (r["n"], r["p"]) for r in d.filter("v IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.percentile("v", shares).alias("p")).collect()}
+    for accuracy in (20, 100, 10_000):
+        assert {r["k"]: (r["n"], r["percentiles"]) for r in quantiles.percentiles(d, ["k"], "v", shares, accuracy).collect()} == want
+    whole = quantiles.percentiles(d, [], "v", [0.5], 50).first()
+    assert whole["percentiles"] == d.agg(F.percentile("v", [0.5])).first()[0]
+    assert quantiles.percentiles(d.limit(0), ["k"], "v", [0.5]).count() == 0
+    plan = quantiles.percentiles(d, ["k"], "v", shares)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
+    with pytest.raises(ValueError):
+        quantiles.percentiles(d, ["k"], "v", [1.5])
+
+
+PX = "site_id int, row int, col int, v double"
+
+
+def test_focal_mean_of_a_ragged_grid(spark):
+    g = random.Random(3)
+    rows = [(s, r, c, g.choice([None, g.random()])) for s in (0, 1) for r in range(-3, 12) for c in range(9) if g.random() < 0.6]
+    known = {(s, r, c): v for s, r, c, v in rows if v is not None}
+    for radius in (0, 1, 4):
+        got = {(r["site_id"], r["row"], r["col"]): r["focal"] for r in rasters.focal_mean(spark.createDataFrame(rows, PX), "v", radius).collect()}
+        assert len(got) == len(rows)
+        for (s, r, c), mean in got.items():
+            near = [v for (z, a, b), v in known.items() if z == s and (a - r) ** 2 + (b - c) ** 2 <= radius * radius]
+            assert (mean is None) if not near else math.isclose(mean, sum(near) / len(near), rel_tol=1e-9)
+
+
+def test_blobs_over_many_blocks(spark):
+    """Blobs that cross the borders of blocks, corners included, are one; the size of a block changes nothing."""
+    g = random.Random(5)
+    true = {(s, r, c) for s in (0, 1) for r in range(-5, 25) for c in range(25) if g.random() < 0.35}
+    left, want = set(true), set()
+    while left:
+        blob, todo = set(), [left.pop()]
+        while todo:
+            s, r, c = todo.pop()
+            blob.add((s, r, c))
+            near = {(s, r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        want |= blob if len(blob) >= 6 else set()
+    d = spark.createDataFrame([(*p, 1.0) for p in true], PX)
+    for block in (4, 64):
+        assert {tuple(r) for r in rasters.small_blobs_dropped(d, 6, block).collect()} == want
+    assert rasters.small_blobs_dropped(d.limit(0), 6).count() == 0 and rasters.small_blobs_dropped(d, 1).count() == len(true)
+
+
+def test_stack_of_unlike_tables(spark):
+    first = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, None)], "site_id int, row int, col int, b2 double")
+    radar = spark.createDataFrame([(0, 0, 1, -5.0, -9.0), (0, 9, 9, -5.0, -9.0)], "site_id int, row int, col int, pre_vv double, event_vv double")
+    label = spark.createDataFrame([(0, 0, 0, 1)], "site_id int, row int, col int, flood int")
+    full = rasters.build_stack({"optical": first, "radar": radar}, label, "event").orderBy("col")
+    assert full.columns == ["site_id", "row", "col", "b2", "pre_vv", "event_vv", "flood_label"] and [tuple(r) for r in full.collect()] == [(0, 0, 0, 1.0, None, None, 1), (0, 0, 1, None, -5.0, -9.0, None)]
+    assert rasters.build_stack({"optical": first, "radar": radar}, label, "seasonal", include_s1=False).columns == ["site_id", "row", "col", "b2", "flood_label"]
+    assert full._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    for wrong in (lambda: rasters.build_stack({"a": first}, label, "weekly"), lambda: rasters.build_stack({"a": first, "b": first}, label, "event")):
+        with pytest.raises(ValueError):
+            wrong()
