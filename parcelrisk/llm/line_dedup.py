@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from parcelrisk.llm.common import Scratch
 
 WIDE = "。！？"
-#: A stretch without sentence end may be cut after a space behind a word whose last or last but one letter is one of these, or after one character in eight of scripts without spaces.
-LETTERS = "37gkmxz" + "".join(map(chr, range(0xC0, 0x700, 8)))
-UNSPACED = "".join(f"{chr(c)}-{chr(c + 15)}" for lo, hi in ((0xE00, 0xF00), (0x3080, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD780)) for c in range(lo, hi, 128))
+#: A stretch without sentence end may be cut after a space behind a word whose last or last but one letter is one of these, or after one of
+#: these characters of scripts without spaces: some of each script, in few ranges, as each character is held against all of them.
+LETTERS = "37gkmxz" + "à-åа-гα-γا-ثא-ג"
+UNSPACED = "ก-ฆむ-ん一-儿干-彿火-焿言-访아-안"
 
 
 def _pattern(end: str) -> str:
