@@ -14,9 +14,12 @@ FEATURES = ["area_m2", *DISTANCES.values(), "roof_score"]
 
 
 def with_distances(parcels: DataFrame, infra: DataFrame, missing: str = "accessible") -> DataFrame:
-    out = parcels
-    for category, name in DISTANCES.items():
-        out = spatial.impute(out.join(spatial.nearest(parcels, infra, category, out=name), ["site_id", "node_id"]), name, missing)
+    """A distance column for each category, from one search."""
+    found = spatial.nearest_each(parcels, infra, list(DISTANCES))
+    wide = found.groupBy("site_id", "node_id").agg(*[F.min(F.when(F.col("category") == category, F.col("d"))).alias(name) for category, name in DISTANCES.items()])
+    out = parcels.join(wide, ["site_id", "node_id"], "left")
+    for name in DISTANCES.values():
+        out = spatial.impute(out, name, missing)
     return out
 
 

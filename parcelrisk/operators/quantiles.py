@@ -19,7 +19,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float],
     """
     if not all(0 <= q <= 1 for q in shares):
         raise ValueError(f"shares of a group lie in [0, 1]: {shares}")
-    d = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    d = settle(df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL"))  # read three times
     slack = 2 / accuracy
     near = [min(max(q + e, 0.0), 1.0) for q in shares for e in (-slack, slack)]
     facts = d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", near, accuracy).alias("near"))

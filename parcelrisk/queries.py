@@ -77,8 +77,11 @@ def action_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("node_id", *[F.col("fused_features")[k].alias(f"f{k}") for k in range(4)], *[F.col("action_proba")[k].alias(f"m{k}") for k in range(5)]), 9)
 
 
-@query(f"""WITH {DECIDE}, t AS (SELECT site_id, count(*) AS parcels, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS insufficient, count(*) FILTER (pact = 0) AS retain_formalise, count(*) FILTER (pact = 1) AS retain_upgrade, count(*) FILTER (pact = 2) AS in_situ_upgrade_priority, count(*) FILTER (pact = 3) AS flood_resilient_upgrade, count(*) FILTER (pact = 4) AS compensated_resettlement, count(*) FILTER (displacement) AS displaced, count(*) FILTER (override_applied) AS overrides, count(*) FILTER (gate) AS gated FROM decided GROUP BY ROLLUP (site_id))
-SELECT *, round(retain_formalise / greatest(valid, 1), 6) AS retain_formalise_fraction, round(retain_upgrade / greatest(valid, 1), 6) AS retain_upgrade_fraction, round(in_situ_upgrade_priority / greatest(valid, 1), 6) AS in_situ_upgrade_priority_fraction, round(flood_resilient_upgrade / greatest(valid, 1), 6) AS flood_resilient_upgrade_fraction, round(compensated_resettlement / greatest(valid, 1), 6) AS compensated_resettlement_fraction, round(displaced / greatest(valid, 1), 6) AS displaced_fraction, round(insufficient / greatest(parcels, 1), 6) AS insufficient_fraction FROM t""")
+SUMMARY = """t AS (SELECT site_id, count(*) AS parcels, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS insufficient, count(*) FILTER (pact = 0) AS retain_formalise, count(*) FILTER (pact = 1) AS retain_upgrade, count(*) FILTER (pact = 2) AS in_situ_upgrade_priority, count(*) FILTER (pact = 3) AS flood_resilient_upgrade, count(*) FILTER (pact = 4) AS compensated_resettlement, count(*) FILTER (displacement) AS displaced, count(*) FILTER (override_applied) AS overrides, count(*) FILTER (gate) AS gated FROM decided GROUP BY ROLLUP (site_id))
+SELECT *, round(retain_formalise / greatest(valid, 1), 6) AS retain_formalise_fraction, round(retain_upgrade / greatest(valid, 1), 6) AS retain_upgrade_fraction, round(in_situ_upgrade_priority / greatest(valid, 1), 6) AS in_situ_upgrade_priority_fraction, round(flood_resilient_upgrade / greatest(valid, 1), 6) AS flood_resilient_upgrade_fraction, round(compensated_resettlement / greatest(valid, 1), 6) AS compensated_resettlement_fraction, round(displaced / greatest(valid, 1), 6) AS displaced_fraction, round(insufficient / greatest(parcels, 1), 6) AS insufficient_fraction FROM t"""
+
+
+@query(f"WITH {DECIDE}, {SUMMARY}")
 def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.policy_summary(decided(spark, sf_dir)))
 
@@ -285,6 +288,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STEPS = f"{DROPS}, st AS (SELECT ch.*, chosen.threshold, chosen.source, coalesce(change <= threshold, false) AS s1, t.slope, t.occurrence FROM ch JOIN chosen USING (site_id) LEFT JOIN terrain t USING (site_id, \"row\", col)), s2 AS (SELECT *, s1 AND NOT coalesce(slope > 5, false) AS f2 FROM st), s3 AS (SELECT *, f2 AND NOT coalesce(occurrence >= 50, false) AS f3 FROM s2)"
 EVENT = f"{STEPS}, left3 AS (SELECT * FROM s3 WHERE f3), {BLOBS.format(src='left3')}"
+_WET = 'wet AS (SELECT a.site_id, a.row, a.col, a.elevation, a.slope, avg(b.elevation) AS focal FROM terrain a JOIN terrain b ON a.site_id = b.site_id AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9 GROUP BY ALL), twi AS (SELECT site_id, "row", col, ln(greatest(focal - elevation, 0.01) / greatest(tan(coalesce(slope, 0) * (3.14159265 / 180)), 0.001)) AS twi FROM wet)'
 
 
 @query(f"WITH RECURSIVE {EVENT}, k AS (SELECT site_id, count(*) AS after_blobs FROM kept GROUP BY site_id), z AS (SELECT site_id, threshold, source, count(*) FILTER (s1) AS after_threshold, count(*) FILTER (f2) AS after_slope, count(*) FILTER (f3) AS after_water, count(change) AS valid_pixels FROM s3 GROUP BY site_id, threshold, source) SELECT site_id, round(threshold, 6) AS threshold, source, after_threshold, after_slope, after_water, coalesce(after_blobs, 0) AS after_blobs, valid_pixels, round(coalesce(after_blobs, 0) / greatest(valid_pixels, 1), 6) AS flooded_fraction FROM z LEFT JOIN k USING (site_id)")
@@ -784,17 +788,37 @@ def flood_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pipelines -------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+_Z = "round(({v} - avg({v}) OVER w) / greatest(stddev_samp({v}) OVER w, 1e-6), 6) AS {n}"
+
+
+@query(f"""WITH RECURSIVE {ENRICHED}, q AS (SELECT site_id, quantile_cont(score, 1 / 3) AS c1, quantile_cont(score, 2 / 3) AS c2, min(score) AS lo, max(score) AS hi FROM scored GROUP BY site_id),
+classed AS (SELECT s.*, CASE WHEN hi <= lo THEN 0 ELSE (score >= c1)::INT + (score >= c2)::INT END AS severity FROM scored s JOIN q USING (site_id)), {COMP}, big AS (SELECT site_id, component FROM comp GROUP BY ALL HAVING count(*) >= 20),
+left_over AS (SELECT classed.* FROM classed JOIN comp USING (site_id, node_id) JOIN big USING (site_id, component))
+SELECT site_id, node_id, {', '.join(_Z.format(v=v, n=n) for v, n in zip(('area_m2', 'dw', 'ds', 'dr', 'roof'), features.FEATURES, strict=True))}, severity AS y, round(x, 6) AS pos_x, round(y, 6) AS pos_y FROM left_over WINDOW w AS (PARTITION BY site_id)""")
 def graph_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipelines.graph_branch(fixture(spark, sf_dir, "parcel"), fixture(spark, sf_dir, "infra"))["nodes"])
 
 
-@query()
+_UNIT = "CASE WHEN {v} IS NOT NULL THEN round(greatest(0, least(1, ({v} + 30) / 30)), 6) END AS {v}"
+_SCALED = "round(CASE WHEN {v} IS NOT NULL AND {v}_hi > {v}_lo THEN greatest(0, least(1, ({v} - {v}_lo) / ({v}_hi - {v}_lo))) WHEN {v} IS NOT NULL THEN 0 END, 6) AS {v}"
+
+
+@query(f"""WITH RECURSIVE {EVENT}, {_WET}, stack AS (SELECT s3.site_id, s3.row, s3.col, s3.pre_vv, s3.event_vv, t.elevation, t.slope, t.occurrence, twi.twi, (kept.row IS NOT NULL)::INT AS flood_label FROM s3 LEFT JOIN terrain t ON t.site_id = s3.site_id AND t.row = s3.row AND t.col = s3.col
+  LEFT JOIN twi ON twi.site_id = s3.site_id AND twi.row = s3.row AND twi.col = s3.col LEFT JOIN kept ON kept.site_id = s3.site_id AND kept.row = s3.row AND kept.col = s3.col),
+{TILED.replace('FROM terrain t', 'FROM stack t').replace('FROM terrain', 'FROM stack')},
+facts AS (SELECT site_id, tile_row_off, tile_col_off, count(*) FILTER (pre_vv IS NOT NULL AND event_vv IS NOT NULL AND elevation IS NOT NULL AND slope IS NOT NULL AND twi IS NOT NULL AND (pre_vv <> 0 OR event_vv <> 0 OR elevation <> 0 OR slope <> 0 OR twi <> 0)) / 256 AS valid_fraction,
+  {', '.join(f'quantile_cont({v}, 0.01) AS {v}_lo, quantile_cont({v}, 0.99) AS {v}_hi' for v in ('elevation', 'slope', 'twi'))} FROM tiled GROUP BY ALL)
+SELECT site_id, tile_row_off, tile_col_off, "row", col, local_row, local_col, {_UNIT.format(v='pre_vv')}, {_UNIT.format(v='event_vv')}, {', '.join(_SCALED.format(v=v) for v in ('elevation', 'slope', 'twi'))}, occurrence, flood_label, round(valid_fraction, 6) AS valid_fraction
+FROM tiled JOIN facts USING (site_id, tile_row_off, tile_col_off) WHERE valid_fraction >= 0.6""")
 def raster_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipelines.raster_branch(fixture(spark, sf_dir, "scene_obs"), fixture(spark, sf_dir, "terrain"), 16, 4))
 
 
-@query()
+_FUSED = f"""hit AS (SELECT site_id, node_id, zone_id FROM parcel p, zone_edge WHERE {CROSS.format(x='p.x', y='p.y')} GROUP BY ALL HAVING count(*) % 2 = 1),
+fused AS (SELECT p.site_id, p.node_id, flood_proba, p_low, p_medium, p_high, EXISTS (SELECT 1 FROM hit h WHERE h.site_id = p.site_id AND h.node_id = p.node_id) AS inside_zone FROM parcel p LEFT JOIN parcel_heads h USING (site_id, node_id))"""
+
+
+@query(f"WITH {_FUSED}, {DECIDE.replace('FROM parcel_heads', 'FROM fused')}, {SUMMARY}")
 def fusion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, h = fixture(spark, sf_dir, "parcel"), fixture(spark, sf_dir, "parcel_heads")
     return rounded(pipelines.fusion(p, h, fixture(spark, sf_dir, "zone_edge"))["summary"])
@@ -847,10 +871,6 @@ def focal_mean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The radius at which a disk has 253 pixels, and 19 rows."""
     return rounded(raster.focal_mean(fixture(spark, sf_dir, "terrain"), "elevation", 9).select(*raster.PIXEL, "focal"))
 
-
-_WET = 'wet AS (SELECT a.site_id, a.row, a.col, a.elevation, a.slope, avg(b.elevation) AS focal FROM terrain a JOIN terrain b ON a.site_id = b.site_id AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9 GROUP BY ALL), twi AS (SELECT site_id, "row", col, ln(greatest(focal - elevation, 0.01) / greatest(tan(coalesce(slope, 0) * (3.14159265 / 180)), 0.001)) AS twi FROM wet)'
-
-
 @query(f"""WITH RECURSIVE {EVENT}, {_WET} SELECT s3.site_id, s3.row, s3.col, round(s3.pre_vv, 5) AS pre_vv, round(s3.event_vv, 5) AS event_vv, s3.slope, round(twi.twi, 5) AS twi, (kept.row IS NOT NULL)::INT AS flood_label
 FROM s3 LEFT JOIN twi ON twi.site_id = s3.site_id AND twi.row = s3.row AND twi.col = s3.col LEFT JOIN kept ON kept.site_id = s3.site_id AND kept.row = s3.row AND kept.col = s3.col""")
 def stack_event(spark: SparkSession, sf_dir: str) -> DataFrame:
