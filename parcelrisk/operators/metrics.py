@@ -117,8 +117,9 @@ def class_weights(df: DataFrame, column: str, classes: int = 3) -> DataFrame:
     return d.select(column, (F.col("raw") / F.avg("raw").over(W.partitionBy(F.lit(0)))).alias("weight"))
 
 
-def site_centre(df: DataFrame, lat: str, lon: str, default: tuple[float, float]) -> DataFrame:
-    return df.agg(F.coalesce(F.avg(lat), F.lit(default[0])).alias("lat"), F.coalesce(F.avg(lon), F.lit(default[1])).alias("lon"))
+def site_centre(df: DataFrame, lat: str, lon: str, default: tuple[float, float], keys: list[str] | None = None) -> DataFrame:
+    """Mean of the known positions, of all rows or for each of ``keys``; ``default`` where none is known."""
+    return df.groupBy(*(keys or [])).agg(F.coalesce(F.avg(lat), F.lit(default[0])).alias("lat"), F.coalesce(F.avg(lon), F.lit(default[1])).alias("lon"))
 
 
 def flooded_baseline(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:

@@ -889,6 +889,31 @@ def stack_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.build_stack(bands, raster.seasonal_flood_label(obs), "seasonal", include_s1=False), 5)
 
 
+@query("SELECT site_id, coalesce(round(avg(y) FILTER (site_id <> 2), 6), -1.3) AS lat, coalesce(round(avg(x) FILTER (site_id <> 2), 6), 36.8) AS lon FROM parcel GROUP BY site_id")
+def site_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every site; the positions of one are unknown, so it has the default."""
+    known = lambda c: F.when(F.col("site_id") != 2, F.col(c)).alias(c)
+    d = fixture(spark, sf_dir, "parcel").select("site_id", known("x"), known("y"))
+    return rounded(metrics.site_centre(d, "y", "x", (-1.3, 36.8), ["site_id"]))
+
+
+@query("WITH m AS (SELECT site_id, avg(x) AS mx, avg(y) AS my FROM parcel GROUP BY site_id), a AS (SELECT site_id, node_id, abs((x * my - mx * my) + (x * y - mx * y)) AS ax, abs((mx * y - mx * my) + (x * y - x * my)) AS ay FROM parcel JOIN m USING (site_id)) SELECT site_id, node_id, 'x' AS feature, CASE WHEN ax >= ay THEN 1 ELSE 2 END AS rank FROM a UNION ALL SELECT site_id, node_id, 'y', CASE WHEN ax >= ay THEN 2 ELSE 1 END FROM a")
+def shapley_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each parcel by the size of what they contribute."""
+    d = ml.shapley(fixture(spark, sf_dir, "parcel"), ["site_id", "node_id"], ["x", "y"], lambda c: 0.01 * c["x"] * c["y"])
+    return d.select("site_id", "node_id", "feature", "rank")
+
+
+@query(f"WITH RECURSIVE {EVENT} SELECT site_id, string_agg(DISTINCT (kept.row IS NOT NULL)::INT::VARCHAR, ',' ORDER BY (kept.row IS NOT NULL)::INT::VARCHAR) AS labels, count(*) AS pixels, count(kept.row) AS flooded FROM s3 LEFT JOIN kept USING (site_id, \"row\", col) GROUP BY site_id")
+def stack_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which labels each site's stack has, and how often it is flooded."""
+    px = settle(pixels(spark, sf_dir))
+    stack = settle(raster.build_stack({"px": px}, raster.event_flood_label(px)[0], "event"))
+    labels = raster.stack_profile(stack, ["pre_vv"], "flood_label").select("site_id", F.array_join(F.transform("labels", lambda c: c.cast("string")), ",").alias("labels"))
+    profile = raster.label_profile(stack.withColumnRenamed("flood_label", "flood"), ["site_id"]).select("site_id", "pixels", "flooded")
+    return labels.join(profile, "site_id")
+
+
 # --- sources and sinks -----------------------------------------------------------------------------------------------------------
 
 
