@@ -115,6 +115,56 @@ def test_cumulative_link_recovers_the_order():
     assert np.allclose(w, [2, 1, 0], atol=0.25) and np.allclose(cuts, [1, 3], atol=0.3)
 
 
+def test_cumulative_link_is_the_penalised_maximum():
+    """On a small table no step in any parameter raises the likelihood written out from the model's definition."""
+    x = np.array([[1, 0], [1, 1], [0, 1], [0, 0], [1, 1], [0, 1], [1, 0], [0, 0], [0, 0], [1, 1]], float)
+    y, weight, l2 = np.array([1, 2, 1, 0, 1, 0, 0, 1, 0, 2]), np.arange(1.0, 11.0), 0.5
+    w, cuts = toxicity.fit_cumulative_link(x, y, weight, 2, l2=l2, steps=4000, rate=0.01)
+
+    def value(w, cuts):
+        total = -l2 / 2 * sum(v * v for v in w)
+        for row, grade, n in zip(x, y, weight, strict=True):
+            z = sum(a * b for a, b in zip(row, w, strict=True))
+            reach = [1.0, *(1 / (1 + math.exp(c - z)) for c in cuts), 0.0]
+            total += n * math.log(reach[grade] - reach[grade + 1])
+        return total
+
+    best = value(w, cuts)
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            moved_w, moved_c = w.copy(), cuts.copy()
+            moved_w[k] = max(moved_w[k] + step, 0)
+            moved_c[k] += step
+            assert value(moved_w, cuts) <= best + 1e-9 and value(w, moved_c) <= best + 1e-9
+
+
+def test_grades_rank_held_out_rows_as_well_as_a_plain_fit(spark):
+    rows = corpus(random.Random(12), 900)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows if k // 6 % 3], "doc_id long, toxic int")
+    ordinal, plain = toxicity.fit(docs, labels), toxicity.fit(docs, labels, grades=1)
+
+    def auc(model):
+        out = {r["doc_id"]: r["expected_severity"] for r in toxicity.score(docs, model).collect()}
+        bad, good = ([out[k] for k, _, t in rows if k // 6 % 3 == 0 and t == kind] for kind in (1, 0))
+        return sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good))
+
+    assert auc(ordinal) >= auc(plain) - 1e-9 and auc(ordinal) > 0.99
+    # grades follow how many telling words a text holds
+    few, many = toxicity.score(spark.createDataFrame([(1, "ba do wretch"), (2, "wretch scoundrels scoundrelly scoundrelish")], "doc_id long, text string"), ordinal).orderBy("doc_id").collect()
+    assert few["expected_severity"] < many["expected_severity"]
+
+
+def test_toxicity_of_long_texts_and_clashing_columns(spark):
+    rows = corpus(random.Random(13))
+    docs = spark.createDataFrame([(*r[:2], "x") for r in rows] + [(2000, "ba do ki " * 200_000, "x"), (2001, "ba do ki " * 200_000 + "wretch scoundrels scoundrelly", None), (2001, "ba", None), (2001, "ba", None)], "doc_id long, text string, rejected string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int"))
+    out = toxicity.score(docs, model)
+    assert dict(out.dtypes)["rejected"] == "boolean" and out.columns.count("rejected") == 1
+    assert sorted((r["doc_id"], r["rejected"]) for r in out.filter("doc_id >= 2000").collect()) == [(2000, False), (2001, False), (2001, False), (2001, True)]
+    assert toxicity.fit(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).weights == {}
+
+
 @pytest.fixture(scope="module")
 def lattice():
     import public_tokenizers
