@@ -48,36 +48,45 @@ class PixelClassifier:
         return 1 / (1 + F.exp(-z))
 
 
-def permutation_importance(df: DataFrame, features: list[str], probability, label: str = "y", repeats: int = 3, seed: int = 0) -> DataFrame:
-    """feature, mean and std of the AUC drop when one column is shuffled.
+def permutation_importance(df: DataFrame, features: list[str], probability=None, label: str = "y", repeats: int = 3, seed: int = 0, weights: list[float] | None = None) -> DataFrame:
+    """feature, mean and std of the AUC drop when one column is shuffled within ``fold``, largest mean first.
 
-    All features and repeats are one job: rows are numbered once, and for each repeat the column's values move by a second numbering,
-    both in hash orders and by ranges of the hash. ``probability`` maps {feature: column} to a score column.
+    Each row meets one donor a repeat, in the order of md5("seed:repeat:id"), whose values serve all features, one at a time: a row is
+    joined ``repeats`` times, whatever the number of features, and only scores are shuffled from there on. With ``weights`` the score is
+    the weighted sum of the features, whose rank is that of its probability: one replaced feature changes it by weight x (given - own), so a
+    score costs one product. Otherwise ``probability`` maps {feature: column} to a score column, of which 12 digits count. Rows without ``fold`` take no part.
     """
-    ranges = lambda h: F.shiftright(h, 56)
-    place = F.xxhash64("id")
-    numbered = number_within(df, ["fold"], ranges(place), [place, "id"], "k")
-    runs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(r).alias("r")) for i in range(len(features)) for r in range(repeats)])).alias("run")
-    value = F.element_at(F.array(*[F.col(f).cast("double") for f in features]), F.col("run.f") + 1)
-    donors = numbered.select("fold", "id", *features, runs).select("fold", "run", "id", value.alias("given"))
-    moved_to = F.xxhash64(F.lit(seed), "run", "id")
-    donors = number_within(donors, ["fold", "run"], ranges(moved_to), [moved_to, "id"], "k").drop("id")
-    each = numbered.select("*", runs).join(donors, ["fold", "run", "k"])
-    moved = {f: F.when(F.col("run.f") == i, F.col("given")).otherwise(F.col(f)) for i, f in enumerate(features)}
-    scored = each.select("run", F.col(label).alias("label"), F.round(probability(moved), 12).alias("score"))
-    base = auc(df.select(F.col(label).alias("label"), F.round(probability({}), 12).alias("score")), []).select(F.col("auc").alias("base"))
-    drops = auc(scored, ["run"]).crossJoin(F.broadcast(base)).select(F.col("run.f").alias("f"), (F.col("base") - F.col("auc")).alias("drop"))  # one row
+    ranges = lambda h: F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
+    place = F.md5(F.concat_ws(":", F.col("id").cast("string")))
+    own = [F.col(f).cast("double") for f in features]
+    if weights is None:
+        base, digits = probability({}), 12
+        replaced = lambda given: [probability({f: given[i]}) for i, f in enumerate(features)]
+    else:
+        base, digits = sum((float(w) * c for w, c in zip(weights, own, strict=True)), F.lit(0.0)), 9
+        replaced = lambda given: [F.col("__base") + float(w) * (given[i] - c) for i, (w, c) in enumerate(zip(weights, own, strict=True))]
+    known = df.filter("fold IS NOT NULL").withColumn("__base", base)
+    numbered = number_within(known, ["fold"], ranges(place), [place, "id"], "__k")
+    donors = known.select("fold", "id", F.array(*own).alias("__given"), F.explode(F.array(*map(F.lit, range(repeats)))).alias("__r"))
+    moved_to = F.md5(F.concat_ws(":", F.lit(seed), "__r", F.col("id").cast("string")))
+    donors = number_within(donors, ["fold", "__r"], ranges(moved_to), [moved_to, "id"], "__k").drop("id")
+    scores = F.posexplode(F.array(*replaced(F.col("__given")))).alias("f", "score")
+    scored = numbered.join(donors, ["fold", "__k"]).select("__r", F.col(label).alias("label"), scores).withColumn("score", F.round("score", digits))
+    whole = auc(known.select(F.col(label).alias("label"), F.round("__base", digits).alias("score")), []).select(F.col("auc").alias("base"))
+    drops = auc(scored, ["f", "__r"]).crossJoin(F.broadcast(whole)).select("f", (F.col("base") - F.col("auc")).alias("drop"))  # one row
     names = F.element_at(F.array(*map(F.lit, features)), F.col("f") + 1)
     return drops.groupBy(names.alias("feature")).agg(F.avg("drop").alias("mean"), F.coalesce(F.stddev_pop("drop"), F.lit(0.0)).alias("std")).orderBy(F.desc("mean"), "feature")
 
 
-def signal_report(here: DataFrame, there: DataFrame, features: list[str], label: str = "y") -> DataFrame:
-    """One row: classifier fitted on one location, AUC there and on the other, positive shares."""
+def signal_report(here: DataFrame, there: DataFrame, features: list[str], label: str = "y", repeats: int = 10) -> DataFrame:
+    """One row: classifier fitted on one location, AUC there and on the other, positive shares, and ``importance``: feature, mean and std of its AUC drop on the other location (id, fold, ...), largest mean first."""
     m = PixelClassifier(features).fit(here, label)
     scored = lambda d: d.select(F.col(label).alias("label"), m.probability().alias("score"))
     a = auc(scored(here), []).select(F.col("auc").alias("auc_here"), (F.col("positives") / F.col("n")).alias("positive_here"))
     b = auc(scored(there), []).select(F.col("auc").alias("auc_there"), (F.col("positives") / F.col("n")).alias("positive_there"))
-    return a.crossJoin(F.broadcast(b))  # one row each
+    drops = permutation_importance(there, features, label=label, repeats=repeats, weights=m.linear()[0])
+    listed = F.sort_array(F.collect_list(F.struct(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "feature")), asc=False)
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(drops.agg(listed.alias("importance"))))  # one row each
 
 
 def hop_features(nodes: DataFrame, edges: DataFrame, features: list[str]) -> DataFrame:

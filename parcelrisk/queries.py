@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parcelrisk import schema as S
@@ -745,29 +746,47 @@ def shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.groupBy("site_id", "node_id").agg(at("x"), at("y")), 5)
 
 
-def _vectors(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
+COMPONENTS = [f"f{k}" for k in range(64)]
+FIXED = [(3 * k % 7 - 3) / 8 for k in range(64)]  # weights that SQL can state
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("id"), F.lit(0).alias("fold"), (F.col("label") < 5).cast("int").alias("y"), *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(width)])
+    return e.select(F.col("vec_id").alias("id"), F.lit(0).alias("fold"), (F.col("label") < 5).cast("int").alias("y"), *[F.col("embedding")[k].cast("double").alias(f) for k, f in enumerate(COMPONENTS)])
 
 
 @query()
 def pixel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _vectors(spark, sf_dir)
-    m = ml.PixelClassifier([f"f{k}" for k in range(8)], 50).fit(d)
+    d = settle(_vectors(spark, sf_dir))
+    m = ml.PixelClassifier(COMPONENTS).fit(d)
     return d.select("id", "y", r(m.probability(), 4).alias("p"))
 
 
 @query()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, names = _vectors(spark, sf_dir, 4), [f"f{k}" for k in range(4)]
-    m = ml.PixelClassifier(names, 50).fit(d)
-    return rounded(ml.permutation_importance(d, names, m.probability, repeats=2), 4)
+    d = settle(_vectors(spark, sf_dir))
+    m = ml.PixelClassifier(COMPONENTS).fit(d)
+    return rounded(ml.permutation_importance(d, COMPONENTS, repeats=10, weights=m.linear()[0]), 4)
+
+
+_AUC = "CASE WHEN count(*) FILTER (y > 0) > 0 AND count(*) FILTER (y <= 0) > 0 THEN (sum(rk) FILTER (y > 0) - count(*) FILTER (y > 0) * (count(*) FILTER (y > 0) + 1) / 2) / (count(*) FILTER (y > 0) * count(*) FILTER (y <= 0)) END"
+
+
+@query(f"""WITH e AS (SELECT (label < 5)::INT AS y, embedding AS v, {' + '.join(f'{w} * embedding[{k + 1}]::DOUBLE' for k, w in enumerate(FIXED))} AS z, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) AS k FROM embeddings),
+d AS (SELECT r, embedding AS g, row_number() OVER (PARTITION BY r ORDER BY md5('0:' || r || ':' || vec_id), vec_id) AS k FROM embeddings, range(10) AS t(r)),
+s AS (SELECT r, f, y, round(z + {FIXED}[f + 1] * (g[f + 1]::DOUBLE - v[f + 1]::DOUBLE), 9) AS score FROM e JOIN d USING (k), range(64) AS u(f) UNION ALL SELECT -1, -1, y, round(z, 9) FROM e),
+k AS (SELECT r, f, y, rank() OVER (PARTITION BY r, f ORDER BY score) + (count(*) OVER (PARTITION BY r, f, score) - 1) / 2 AS rk FROM s), a AS (SELECT r, f, {_AUC} AS auc FROM k GROUP BY r, f),
+m AS (SELECT 'f' || a.f AS feature, avg(b.auc - a.auc) AS mean, stddev_pop(b.auc - a.auc) AS std FROM a, a AS b WHERE a.r >= 0 AND b.r < 0 GROUP BY a.f)
+SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std, row_number() OVER (ORDER BY round(mean, 6) DESC, feature) AS place FROM m""")
+def permutation_importance_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rounded(ml.permutation_importance(settle(_vectors(spark, sf_dir)), COMPONENTS, repeats=10, weights=FIXED))
+    return d.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "feature")))  # a row for each feature
 
 
 @query()
 def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _vectors(spark, sf_dir)
-    return rounded(ml.signal_report(d.filter("id % 2 = 0"), d.filter("id % 2 = 1"), [f"f{k}" for k in range(8)]), 4)
+    d = settle(_vectors(spark, sf_dir))
+    return rounded(ml.signal_report(d.filter("id % 2 = 0"), d.filter("id % 2 = 1"), COMPONENTS), 4)
 
 
 @query()

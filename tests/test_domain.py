@@ -1,5 +1,6 @@
 """Small cases of the domain operators."""
 
+import hashlib
 import math
 import random
 
@@ -197,10 +198,46 @@ def test_driving_band_ranks_first(spark):
     m = ml.PixelClassifier(["b0", "b1", "b2"], 50).fit(d)
     assert one(metrics.auc(d.select(F.col("y").alias("label"), m.probability().alias("score")), []))["auc"] > 0.95
     assert ml.permutation_importance(d, ["b0", "b1", "b2"], m.probability, repeats=2).first()["feature"] == "b1"
+    flat = [0.3, 0.9, -0.2]  # a probability that is not so near to 0 or 1 that rounding makes ties
+    given = lambda of: 1 / (1 + F.exp(-sum(w * of.get(f"b{k}", F.col(f"b{k}")) for k, w in enumerate(flat))))
+    quick, plain = (ml.permutation_importance(d, ["b0", "b1", "b2"], repeats=3, **how).collect() for how in ({"weights": flat}, {"probability": given}))
+    assert [r["feature"] for r in quick] == [r["feature"] for r in plain]  # ranks of a score are those of its probability
+    assert all(math.isclose(a["mean"], b["mean"], abs_tol=1e-9) and math.isclose(a["std"], b["std"], abs_tol=1e-9) for a, b in zip(quick, plain, strict=True))
+    report = one(ml.signal_report(d.filter("id < 200"), d.filter("id >= 200"), ["b0", "b1", "b2"], repeats=2))
+    assert report["importance"][0]["feature"] == "b1" and report["auc_there"] > 0.95 and len(report["importance"]) == 3
     with pytest.raises(ValueError):
         ml.PixelClassifier(["b0"]).fit(d.filter("y = 1"))
 
 
+def test_importance_against_scores_one_by_one(spark):
+    """Groups of folds keep to themselves; ties, a row without fold and clashing names of helper columns' kind do no harm."""
+    g = random.Random(9)
+    rows = [(k, k % 2, int(g.random() < 0.5), float(g.randrange(4)), float(g.randrange(3)), k) for k in range(40)]
+    d = spark.createDataFrame([*rows, (99, None, 1, 1.0, 1.0, 0)], "id long, fold int, y int, a double, b double, k int")
+    w, of = [0.5, -0.25], {r[0]: r for r in rows}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
+    def auc(score):
+        bad, good = ([score[k] for k in of if of[k][2] == kind] for kind in (1, 0))
+        return sum((p > q) + (p == q) / 2 for p in bad for q in good) / (len(bad) * len(good))
+
+    base = {k: w[0] * r[3] + w[1] * r[4] for k, r in of.items()}
+    want = {}
+    for f in range(2):
+        drops = []
+        for n in range(3):
+            score = {}
+            for fold in (0, 1):
+                ids = [k for k in of if of[k][1] == fold]
+                for k, donor in zip(sorted(ids, key=lambda k: md5(str(k))), sorted(ids, key=lambda k: md5(f"5:{n}:{k}")), strict=True):
+                    score[k] = base[k] + w[f] * (of[donor][3 + f] - of[k][3 + f])
+            drops.append(auc(base) - auc(score))
+        want["ab"[f]] = (sum(drops) / 3, (sum(x * x for x in drops) / 3 - (sum(drops) / 3) ** 2) ** 0.5)
+    out = {r["feature"]: r for r in ml.permutation_importance(d, ["a", "b"], repeats=3, seed=5, weights=w).collect()}
+    # the row without fold does not count in the base either
+    assert all(math.isclose(out[f]["mean"], m, abs_tol=1e-9) and math.isclose(out[f]["std"], s, abs_tol=1e-7) for f, (m, s) in want.items())
+
+
 def test_sources_and_sinks(spark, tmp_path):
     d = policy.decide_policy(spark.createDataFrame([(0, 1, 0.9, 0.1, 0.1, 0.8, False), (1, 2, None, 0.1, 0.1, 0.8, False)], HEADS))
     readers.write_policy(d, f"{tmp_path}/policy")
