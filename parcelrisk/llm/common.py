@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests) a local folder that goes with the process."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset a local folder that goes with the process, in local mode only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     held = spark.conf.get("parcelrisk.llm.scratch", None)
     if not held:
         held = tempfile.mkdtemp(prefix="parcelrisk-")
