@@ -13,7 +13,7 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder for this session's tables in ``spark.checkpoint.dir``, deleted when the driver ends; only where that is unset a local one."""
+    """A folder for this session's tables in ``spark.checkpoint.dir``, deleted when the driver ends; where that is unset a local one, in local mode only."""
     app = spark.sparkContext.applicationId
     if app not in _own:
         given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,6 +23,8 @@ def folder(spark: SparkSession) -> str:
             fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
             fs.mkdirs(path)
             fs.deleteOnExit(path)
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             _own[app] = tempfile.mkdtemp(prefix="parcelrisk-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
