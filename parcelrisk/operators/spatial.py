@@ -17,26 +17,29 @@ from parcelrisk.sources.scratch import settle
 def nearest_each(nodes: DataFrame, infra: DataFrame, categories: list[str], cell: float | None = None) -> DataFrame:
     """site_id, node_id, category and d, the distance to the nearest feature of each category in the same site; no row where the site has none.
 
-    All categories are one search, in rounds with cells of growing size, the first by the density of targets: a hit no farther than the
-    cell is final, since the nine cells around a point hold all that is so near. Only unresolved pairs of point and category go on; the
-    last cell is as large as the sites, so all are resolved.
+    All categories are one search, in rounds with cells of growing size, the first by the density of targets in their box: a hit no farther
+    than the cell is final, since the nine cells around a point hold all that is so near. Only unresolved pairs of point and category go on;
+    the last cell is as large as the sites, so all are resolved.
     """
     key = ["site_id", "node_id", "category"]
     targets = infra.filter(F.col("category").isin(*categories)).select("site_id", "category", F.col("x").alias("tx"), F.col("y").alias("ty"))
     box = nodes.select("x", "y", F.lit(0).alias("n")).union(targets.select("tx", "ty", F.lit(1))).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.sum("n")).first()  # one row
-    extent = math.hypot(box[0] or 0.0, box[1] or 0.0)
-    size = cell or max(extent / math.sqrt(max((box[2] or 0) / len(categories), 1)), extent * 1e-6, 1e-9)
+    wide, high, share = box[0] or 0.0, box[1] or 0.0, max((box[2] or 0) / len(categories), 1)
+    extent = math.hypot(wide, high)
+    size = cell or max(math.sqrt(wide * high / share), extent / share, extent * 1e-6, 1e-9)
     there = targets.select("site_id", "category").distinct()  # a row for each site and category: pairs without any target never start
     todo, found = nodes.select("site_id", "node_id", "x", "y").join(F.broadcast(there), "site_id"), None
     distance = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
     while True:
         last = size >= extent
-        near = neighbouring(grid(todo, size)).join(grid(targets, size, "tx", "ty"), ["site_id", "category", "cx", "cy"]).groupBy(*key).agg(F.min(distance).alias("d"))
+        near = neighbouring(grid(todo, size)).join(grid(targets, size, "tx", "ty").hint("merge"), ["site_id", "category", "cx", "cy"]).groupBy(*key).agg(F.min(distance).alias("d"))
         done = near if last else settle(near.filter(F.col("d") <= size))
         found = done if found is None else found.union(done)
         if last:
             return found.select(*key, "d")
-        todo = settle(todo.join(done.select(*key), key, "left_anti"))
+        todo = settle(todo.join(done.select(*key).hint("merge"), key, "left_anti"))
+        if not todo.limit(1).count():
+            return found.select(*key, "d")
         size = min(size * 6, extent)
 
 

@@ -14,15 +14,22 @@ from parcelrisk.sources.scratch import settle
 
 
 def graph_branch(parcels: DataFrame, infra: DataFrame, radius: float = S.EDGE_M, least: int = S.LEAST_COMPONENT) -> dict[str, DataFrame]:
-    """nodes (features, y), edges, integrity. Classes are cut before pruning, z-scores taken after it, and the report is of the graph before it."""
+    """nodes (features, y), edges, integrity. Classes are cut before pruning, z-scores taken after it, and the report is of the graph before it.
+
+    The report and the pruning come from the graph of positions, so parcels at one position cost no pairs; only ``edges`` lists them, when asked.
+    """
     nodes = settle(features.enrich(parcels, infra))
-    edges = settle(graph.proximity_edges(nodes, radius))
-    labels = graph.components(nodes, edges)
-    report = graph.integrity(nodes, edges, labels)
-    kept, kept_edges = graph.prune(nodes, edges, labels, least)
+    members, places = graph.spots(nodes)
+    places = settle(places)
+    near = settle(graph.proximity_edges(places, radius))
+    labels = graph.components(places, near)
+    report = graph.integrity(places, near, labels)
+    spots = graph.large(places, labels, least).withColumnRenamed("node_id", "spot")
+    ids = members.join(spots.hint("merge"), ["site_id", "spot"], "left_semi").drop("spot")
+    kept = nodes.join(ids.hint("merge"), ["site_id", "node_id"], "left_semi")
     table = graph.standardise(kept, features.FEATURES, ["site_id"])
     table = table.select("site_id", "node_id", *[F.col(f"z_{f}").alias(f) for f in features.FEATURES], F.col("severity").alias("y"), F.col("x").alias("pos_x"), F.col("y").alias("pos_y"))
-    return {"nodes": table, "edges": kept_edges, "integrity": report}
+    return {"nodes": table, "edges": graph.proximity_edges(kept, radius), "integrity": report}  # an edge never leaves its component
 
 
 def run_status(parcels: DataFrame, infra: DataFrame, sites: list[int]) -> DataFrame:

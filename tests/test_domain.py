@@ -462,3 +462,19 @@ def test_stack_of_unlike_tables(spark):
     for wrong in (lambda: rasters.build_stack({"a": first}, label, "weekly"), lambda: rasters.build_stack({"a": first, "b": first}, label, "event")):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_copies_at_one_position_need_no_pairs(spark):
+    g = random.Random(8)
+    rows = [(0, k, float(g.randrange(12) * 9), float(g.randrange(12) * 9)) for k in range(400)] + [(0, 500, None, 1.0), (0, 501, None, 1.0), (0, 502, float("nan"), 1.0), (1, 7, 0.0, 0.0), (1, 9, -0.0, 0.0)]
+    nodes = spark.createDataFrame(rows, NODE)
+    members, places = graph.spots(nodes)
+    near = graph.proximity_edges(places)
+    assert near.count() < graph.proximity_edges(nodes).count() / 4
+    edges = graph.proximity_edges(nodes)
+    labels, spot_labels = graph.components(nodes, edges), graph.components(places, near)
+    want = graph.integrity(nodes, edges, labels).orderBy("site_id").collect()
+    assert graph.integrity(places, near, spot_labels).orderBy("site_id").collect() == want and [r["edges"] for r in want] == [edges.filter("site_id = 0").count(), 1]
+    back = members.join(spot_labels.withColumnRenamed("node_id", "spot"), ["site_id", "spot"]).select("site_id", "node_id", "component")
+    assert set(back.collect()) == set(labels.collect())
+    assert {r["node_id"] for r in members.join(graph.large(places, spot_labels, 2).withColumnRenamed("node_id", "spot"), ["site_id", "spot"]).collect()} == {r["node_id"] for r in graph.prune(nodes, edges, labels, 2)[0].collect()}
