@@ -71,7 +71,7 @@ def containing(points: DataFrame, edges: DataFrame, keys: list[str], of: list[st
     """
     e = edges.withColumn("ylo", F.least("y1", "y2")).withColumn("yhi", F.greatest("y1", "y2")).withColumn("xhi", F.greatest("x1", "x2"))
     box = edges.groupBy(*of).agg(F.min(F.least("x1", "x2")).alias("zx0"), F.max(F.greatest("x1", "x2")).alias("zx1"))
-    e = e.join(box, of).withColumn("cy", F.explode(F.sequence(F.floor(F.col("ylo") / cell), F.floor(F.col("yhi") / cell))))
+    e = e.join(box.hint("merge"), of).withColumn("cy", F.explode(F.sequence(F.floor(F.col("ylo") / cell), F.floor(F.col("yhi") / cell))))
     e = e.withColumn("cx", F.explode(F.sequence(F.floor(F.col("zx0") / cell), F.floor(F.col("xhi") / cell))))
     p = grid(points.select(*keys, "x", "y"), cell)
     m = p.join(e, ["cx", "cy"]).filter((F.col("x") <= F.col("xhi")) & F.col("y").between(F.col("ylo"), F.col("yhi")))
@@ -97,16 +97,17 @@ def outline_edges(footprints: DataFrame) -> DataFrame:
 def _along(edges: DataFrame, cell: float) -> DataFrame:
     """Each edge in every cell it may pass: those of the boxes of its pieces of a cell's length, so a long one meets cells in proportion to its length."""
     n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / cell), F.lit(1))
-    d = edges.withColumn("__n", n).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    d = edges.withColumn("__n", n)
     at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("__n")
     slack = cell * 1e-6  # the ends of pieces are rounded
 
-    def cells(a: str, b: str) -> Column:
-        p, q = at(a, b, F.col("__k")), at(a, b, F.col("__k") + 1)
+    def cells(a: str, b: str, k: Column) -> Column:
+        p, q = at(a, b, k), at(a, b, k + 1)
         return F.sequence(F.floor((F.least(p, q) - slack) / cell), F.floor((F.greatest(p, q) + slack) / cell))
 
-    met = F.flatten(F.transform(cells("x1", "x2"), lambda x: F.transform(cells("y1", "y2"), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-    return d.withColumn("c", F.explode(met)).select(*edges.columns, "c.cx", "c.cy").distinct()
+    met = lambda k: F.flatten(F.transform(cells("x1", "x2", k), lambda x: F.transform(cells("y1", "y2", k), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    passed = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1), met)))
+    return d.withColumn("c", F.explode(passed)).select(*edges.columns, "c.cx", "c.cy")
 
 
 def footprints_in_zone(footprints: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame:
@@ -116,7 +117,9 @@ def footprints_in_zone(footprints: DataFrame, edges: DataFrame, cell: float = 50
     meet, which is tested in the grid cells that both pass, or if one lies in the other: then a corner of each ring of the one is in the
     other. Touching counts. Footprints without rings and tables without zones give false.
     """
-    own, key = outline_edges(footprints), ["site_id", "node_id"]
+    key = ["site_id", "node_id"]
+    footprints = footprints.repartition(*key)  # a file may be read by one task; what is grouped by footprint stays where it is
+    own = outline_edges(footprints)
     a = _along(own.select(*key, "x1", "y1", "x2", "y2"), cell)
     b = _along(edges.select("x1", "y1", "x2", "y2"), cell).select(*[F.col(c).alias(f"z{c}") for c in ("x1", "y1", "x2", "y2")], "cx", "cy")
     ends = lambda p: tuple(F.col(p + c) for c in ("x1", "y1", "x2", "y2"))
