@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,15 +23,24 @@ def _series() -> tuple[float, list[float], list[float], list[float]]:
     return radius, forward, inverse, latitude
 
 
-def to_metric(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Degrees to metres east and north."""
-    radius, forward, _, _ = _series()
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: inside lambdas an expression that is named twice is computed twice, a lambda's argument is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _conformal(lat: Column) -> Column:
     n = FLATTENING / (2 - FLATTENING)
     e = 2 * math.sqrt(n) / (1 + n)
     s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    dl = F.radians(lon - MERIDIAN)
-    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    return F.sinh(F.atanh(s) - e * F.atanh(e * s))
+
+
+def _sphere(t: Column, dl: Column) -> tuple[Column, Column]:
+    return F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+
+
+def _plane(xi: Column, eta: Column) -> tuple[Column, Column]:
+    radius, forward, _, _ = _series()
     east, north = eta, xi
     for k, a in enumerate(forward, 1):
         east = east + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
@@ -38,6 +48,18 @@ def to_metric(lon: Column, lat: Column) -> tuple[Column, Column]:
     return FALSE_EAST + SCALE * radius * east, FALSE_NORTH + SCALE * radius * north
 
 
+def to_metric(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Degrees to metres east and north."""
+    return _plane(*_sphere(_conformal(lat), F.radians(lon - MERIDIAN)))
+
+
+def metric_point(p: Column) -> Column:
+    """A point (x, y) in degrees as one in metres, for use inside lambdas."""
+    pair = lambda xy: F.struct(xy[0].alias("x"), xy[1].alias("y"))
+    sphere = once(_conformal(p["y"]), lambda t: pair(_sphere(t, F.radians(p["x"] - MERIDIAN))))
+    return once(sphere, lambda c: pair(_plane(c["x"], c["y"])))
+
+
 def to_degrees(east: Column, north: Column) -> tuple[Column, Column]:
     """Metres to longitude and latitude."""
     radius, _, inverse, latitude = _series()
@@ -66,8 +88,9 @@ def pixel_of(x: Column, y: Column, affine: tuple[float, ...]) -> tuple[Column, C
 
 def _corners(ring: Column) -> Column:
     """Each corner of a ring with the next one, whether or not the ring repeats its first corner."""
-    n = F.size(ring)
-    return F.transform(ring, lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.element_at(ring, (i + 1) % n + 1)["x"].alias("x2"), F.element_at(ring, (i + 1) % n + 1)["y"].alias("y2")))
+    after = lambda r: F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+    ends = lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    return once(ring, lambda r: F.zip_with(r, after(r), ends))
 
 
 def _local(ring: Column) -> Column:
@@ -75,39 +98,50 @@ def _local(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct((p["x"] - F.get(ring, F.lit(0))["x"]).alias("x"), (p["y"] - F.get(ring, F.lit(0))["y"]).alias("y")))
 
 
+def _signed_area(edges: Column) -> Column:
+    return F.aggregate(edges, F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"]) / 2
+
+
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area."""
-    return F.aggregate(_corners(_local(ring)), F.lit(0.0), lambda a, e: a + e["x1"] * e["y2"] - e["x2"] * e["y1"]) / 2
+    return _signed_area(_corners(_local(ring)))
 
 
-def ring_centroid(ring: Column) -> tuple[Column, Column]:
-    """Area centroid; a ring without area has the mean of its corners."""
-    edges, n = _corners(_local(ring)), F.size(ring)
-    area = ring_area(ring)
+def _ring_centre(ring: Column) -> Column:
+    """area (signed), x and y of a ring: its area centroid; a ring without area has the mean of its corners."""
 
-    def along(k: str) -> Column:
+    def along(k: str, edges: Column, area: Column) -> Column:
         moment = F.aggregate(edges, F.lit(0.0), lambda a, e: a + (e[f"{k}1"] + e[f"{k}2"]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
-        mean = F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / n
+        mean = F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[k]) / F.size(ring)
         return F.when(F.abs(area) < 1e-12, mean).otherwise(F.get(ring, F.lit(0))[k] + moment / F.when(F.abs(area) >= 1e-12, 6 * area))
 
-    return along("x"), along("y")
+    of = lambda edges, area: F.struct(area.alias("area"), along("x", edges, area).alias("x"), along("y", edges, area).alias("y"))
+    return once(_corners(_local(ring)), lambda edges: once(_signed_area(edges), lambda area: of(edges, area)))
+
 
+def ring_centroid(ring: Column) -> tuple[Column, Column]:
+    """Area centroid; a ring without area has the mean of its corners."""
+    centre = _ring_centre(ring)
+    return centre["x"], centre["y"]
 
-def _points(ring: Column) -> Column:
+
+def _points(edges: Column) -> Column:
     """Corners and the middles of edges."""
-    edges = _corners(ring)
     return F.concat(F.transform(edges, lambda e: F.struct(e["x1"].alias("x"), e["y1"].alias("y"))), F.transform(edges, lambda e: F.struct(((e["x1"] + e["x2"]) / 2).alias("x"), ((e["y1"] + e["y2"]) / 2).alias("y"))))
 
 
-def ring_within(ring: Column, other: Column) -> Column:
-    """Whether some corner or middle of an edge of ``ring`` lies inside ``other`` and not on it: for rings that do not cross, whether it lies in it."""
-
+def _edges_within(edges: Column, other: Column) -> Column:
     def strictly(p: Column) -> Column:
         ends = lambda e: [p["x"], p["y"], *[e[c] for c in ("x1", "y1", "x2", "y2")]]
-        crossings = F.aggregate(_corners(other), F.lit(0), lambda a, e: a + crosses_ray(*ends(e)).cast("int"))
-        return (crossings % 2 == 1) & ~F.exists(_corners(other), lambda e: on_edge(*ends(e)))
+        crossings = F.aggregate(other, F.lit(0), lambda a, e: a + crosses_ray(*ends(e)).cast("int"))
+        return (crossings % 2 == 1) & ~F.exists(other, lambda e: on_edge(*ends(e)))
 
-    return F.exists(_points(ring), strictly)
+    return F.exists(_points(edges), strictly)
+
+
+def ring_within(ring: Column, other: Column) -> Column:
+    """Whether some corner or middle of an edge of ``ring`` lies inside ``other`` and not on it: for rings that do not cross, whether it lies in it."""
+    return once(_corners(other), lambda o: _edges_within(_corners(ring), o))
 
 
 def ring_facts(rings: Column) -> Column:
@@ -115,14 +149,13 @@ def ring_facts(rings: Column) -> Column:
 
     How a ring turns does not matter: one that lies in an odd number of the others is a hole, so an island in a hole counts again.
     """
-    depth = lambda ring, i: F.size(F.filter(rings, lambda o, j: (j != i) & ring_within(ring, o)))
-    sign = lambda ring, i: F.when((F.size(rings) > 1) & (depth(ring, i) % 2 == 1), -1.0).otherwise(1.0)
 
-    def facts(ring: Column, i: Column) -> Column:
-        x, y = ring_centroid(ring)
-        return F.struct((sign(ring, i) * F.abs(ring_area(ring))).alias("area"), x.alias("x"), y.alias("y"))
+    def facts(edges: Column, ring: Column, i: Column) -> Column:
+        depth = F.size(F.filter(edges, lambda o, j: (j != i) & _edges_within(F.get(edges, i), o)))
+        sign = F.when((F.size(edges) > 1) & (depth % 2 == 1), -1.0).otherwise(1.0)
+        return once(_ring_centre(ring), lambda c: F.struct((sign * F.abs(c["area"])).alias("area"), c["x"].alias("x"), c["y"].alias("y")))
 
-    return F.transform(rings, facts)
+    return once(F.transform(rings, _corners), lambda edges: F.transform(rings, lambda ring, i: facts(edges, ring, i)))
 
 
 def facts_area(facts: Column) -> Column:
@@ -147,18 +180,25 @@ def rings_centroid(rings: Column) -> tuple[Column, Column]:
     return tuple(F.coalesce(a, b) for a, b in zip((x, y), lines_centroid(rings), strict=True))
 
 
-def lines_centroid(lines: Column) -> tuple[Column, Column]:
-    """Centroid of a line of any number of parts, segments weighed by length; without any length it is the mean of the corners."""
-    steps = F.flatten(F.transform(lines, lambda line: F.transform(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("a"), F.get(line, i + 1).alias("b")))))
+def lines_centre(lines: Column) -> Column:
+    """x and y of the centroid of a line of any number of parts, segments weighed by length; without any length it is the mean of the corners."""
+    pairs = lambda line: F.zip_with(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda p, q: F.struct(p.alias("a"), q.alias("b")))
     long = lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
-    length, corners = F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s)), F.flatten(lines)
 
-    def along(k: str) -> Column:
+    def along(k: str, steps: Column, length: Column) -> Column:
         moment = F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s) * (s["a"][k] + s["b"][k]) / 2)
-        mean = F.aggregate(corners, F.lit(0.0), lambda a, p: a + p[k]) / F.nullif(F.size(corners), F.lit(0))
+        mean = F.aggregate(F.flatten(lines), F.lit(0.0), lambda a, p: a + p[k]) / F.nullif(F.size(F.flatten(lines)), F.lit(0))
         return F.when(length > 0, moment / F.when(length > 0, length)).otherwise(mean)
 
-    return along("x"), along("y")
+    of = lambda steps, length: F.struct(along("x", steps, length).alias("x"), along("y", steps, length).alias("y"))
+    length = lambda steps: F.aggregate(steps, F.lit(0.0), lambda a, s: a + long(s))
+    return once(F.flatten(F.transform(lines, pairs)), lambda steps: once(length(steps), lambda n: of(steps, n)))
+
+
+def lines_centroid(lines: Column) -> tuple[Column, Column]:
+    """``lines_centre`` as two columns."""
+    centre = lines_centre(lines)
+    return centre["x"], centre["y"]
 
 
 def line_centroid(line: Column) -> tuple[Column, Column]:

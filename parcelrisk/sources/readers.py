@@ -25,27 +25,32 @@ def read_footprints(spark: SparkSession, path: str) -> DataFrame:
 
     All parts of a MultiPolygon count, and holes are taken off: rings that lie in an odd number of the others, however they turn.
     """
-    d = _metric(_features(spark, path).filter(F.col("geom_type").isin("Polygon", "MultiPolygon")))
-    d = d.withColumn("facts", geo.ring_facts(F.col("rings")))
-    (x, y), (lx, ly) = geo.facts_centroid(F.col("facts")), geo.lines_centroid(F.col("rings"))
-    d = d.withColumns({"x": F.coalesce(x, lx), "y": F.coalesce(y, ly), "area_m2": geo.facts_area(F.col("facts"))})
-    numbered = number_within(d, ["site_id"], range_bucket(d, "feature_id"), ["feature_id"], "node_id")
-    return numbered.select("site_id", (F.col("node_id") - 1).cast("long").alias("node_id"), "x", "y", "area_m2", "tags", "rings")
+    d = _features(spark, path).filter(F.col("geom_type").isin("Polygon", "MultiPolygon"))
+    numbered = number_within(d, ["site_id"], range_bucket(d, "feature_id"), ["feature_id"], "node_id")  # first, as its shuffle spreads a file that one task reads
+    d = _placed(_metric(numbered).withColumn("facts", geo.ring_facts(F.col("rings"))))
+    return d.select("site_id", (F.col("node_id") - 1).cast("long").alias("node_id"), "x", "y", geo.facts_area(F.col("facts")).alias("area_m2"), "tags", "rings")
 
 
 def _metric(df: DataFrame) -> DataFrame:
     """``rings`` from degrees to metres."""
-    point = lambda p: F.struct(*[c.alias(n) for c, n in zip(geo.to_metric(p["x"], p["y"]), ("x", "y"), strict=True)])
-    return df.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, point)))
+    return df.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, geo.metric_point)))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds x and y, the centroid by ``facts``, without area that of ``rings`` as lines."""
+    x, y = geo.facts_centroid(F.col("facts"))
+    d = df.withColumns({"x": x, "y": y})
+    d = d.withColumn("as_lines", F.when(F.col("x").isNull(), geo.lines_centre(F.col("rings"))))
+    return d.withColumns({c: F.coalesce(c, f"as_lines.{c}") for c in ("x", "y")}).drop("as_lines")
 
 
 def read_infra(spark: SparkSession, path: str) -> DataFrame:
     """Features with a category by tag (one row per category) at their centroid, in metres: by area for polygons, by length for lines of any number of parts, the mean of points."""
-    d = _metric(_features(spark, path).withColumn("category", F.explode(parcels.infra_categories(F.col("tags")))))
+    d = _features(spark, path).select("site_id", "feature_id", "geom_type", "rings", F.explode(parcels.infra_categories(F.col("tags"))).alias("category"))
+    d = _metric(d.repartition("site_id", "feature_id"))  # a file may be read by one task
     areal = F.col("geom_type").isin("Polygon", "MultiPolygon")
-    d = d.withColumn("facts", F.when(areal, geo.ring_facts(F.col("rings"))))
-    x, y = (F.coalesce(a, b) for a, b in zip(geo.facts_centroid(F.col("facts")), geo.lines_centroid(F.col("rings")), strict=True))
-    return d.select("site_id", F.col("feature_id").alias("infra_id"), "category", x.alias("x"), y.alias("y"))
+    d = _placed(d.withColumn("facts", F.when(areal, geo.ring_facts(F.col("rings")))))
+    return d.select("site_id", F.col("feature_id").alias("infra_id"), "category", "x", "y")
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:

@@ -478,3 +478,51 @@ def test_copies_at_one_position_need_no_pairs(spark):
     back = members.join(spot_labels.withColumnRenamed("node_id", "spot"), ["site_id", "spot"]).select("site_id", "node_id", "component")
     assert set(back.collect()) == set(labels.collect())
     assert {r["node_id"] for r in members.join(graph.large(places, spot_labels, 2).withColumnRenamed("node_id", "spot"), ["site_id", "spot"]).collect()} == {r["node_id"] for r in graph.prune(nodes, edges, labels, 2)[0].collect()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rings_are_worked_on_after_the_shuffle(spark, tmp_path):
+    rows = [(0, k, "Polygon", [[(36.8, -1.3), (36.8001, -1.3), (36.8001, -1.2999)]], {"amenity": "toilets"}) for k in range(5)]
+    d = spark.createDataFrame(rows, "site_id int, feature_id long, geom_type string, rings array<array<struct<x: double, y: double>>>, tags map<string, string>")
+    d.coalesce(1).write.parquet(path := str(tmp_path / "f"))
+    for read, n in ((readers.read_footprints, 5), (readers.read_infra, 5)):
+        out = read(spark, path)
+        plan = _plan(out)
+        assert out.count() == n and plan.rindex("Exchange hashpartitioning(site_id") > plan.rindex("atan2".upper())  # lower in the tree
+
+
+def test_an_edge_is_in_a_cell_once_without_a_shuffle(spark):
+    e = spark.createDataFrame([(0.0, 0.0, 95.0, 40.0), (5.0, 5.0, 5.0, 5.0)], "x1 double, y1 double, x2 double, y2 double")
+    out = spatial._along(e, 10.0)
+    assert out.count() == out.distinct().count() > 10 and "Exchange" not in _plan(out)
+
+
+def test_joins_of_nodes_and_edges_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(0, k, float(k), 0.0) for k in range(50)], NODE).write.parquet(path := str(tmp_path / "n"))
+    nodes = spark.read.parquet(path)
+    edges = graph.proximity_edges(nodes, 1.0)
+    for d in (edges, graph.degrees(nodes, edges), graph.isolated_sample(nodes, edges), graph.neighbour_mean(nodes, edges, ["x"])):
+        assert "BroadcastHashJoin" not in _plan(d)
+    labels = graph.components(nodes, edges)
+    for d in (labels, *graph.prune(nodes, edges, labels, 2), graph.integrity(nodes, edges, labels)):
+        assert "BroadcastHashJoin" not in _plan(d)
+
+
+def test_first_cell_of_a_strip_is_as_dense_as_its_targets(spark, monkeypatch):
+    sizes, grid = [], spatial.grid
+    monkeypatch.setattr(spatial, "grid", lambda df, size, *xy: sizes.append(size) or grid(df, size, *xy))
+    nodes = spark.createDataFrame([(0, k, k * 100.0, 50.0) for k in range(1000)], NODE)
+    infra = spark.createDataFrame([(0, k, "water", k * 100.0 + 3, k % 2 * 100.0) for k in range(1000)], "site_id int, infra_id long, category string, x double, y double")
+    assert {round(r["d"], 9) for r in spatial.nearest_each(nodes, infra, ["water"]).collect()} == {round(math.hypot(3, 50), 9)}
+    assert set(sizes) == {max(sizes)} and max(sizes) < 150  # one round
+
+
+def test_auc_of_ranks_equals_auc_of_counts(spark):
+    g = random.Random(4)
+    d = spark.createDataFrame([(k % 3, round(g.random(), g.choice([1, 6])), int(g.random() < 0.4) if k % 3 else 1) for k in range(600)] + [(1, None, 1)], "k int, score double, label int")
+    a, b = (metrics.auc(d, ["k"], ranges=ranges).orderBy("k").collect() for ranges in (None, range_bucket(d, "score")))
+    assert a == b
+    assert metrics.auc(d, [], ranges=range_bucket(d, "score")).collect() == metrics.auc(d, []).collect()
