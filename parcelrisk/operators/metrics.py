@@ -90,9 +90,14 @@ def tile_loss(df: DataFrame, tile: list[str], p: str = "p", y: str = "y") -> Dat
     return s.withColumn("loss", 0.5 * F.col("bce") + 0.5 * F.col("dice_loss"))
 
 
-def auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Exact rank-sum AUC with ties, from counts per distinct score; NULL with one class. Ranges of scores are ranked by themselves, so no task sees all of a key's scores."""
+def auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label", ranges: Column | None = None) -> DataFrame:
+    """Exact rank-sum AUC with ties, from counts per distinct score; NULL with one class. Ranges of scores are ranked by themselves, so no task sees all of a key's scores.
+
+    With ``ranges``, a number that must not fall as scores rise, rows are ranked as they come, in one shuffle: for scores that seldom repeat.
+    """
     known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    if ranges is not None:
+        return _auc_of_ranks(known.select(*keys, F.col(score).alias("score"), (F.col(label) > 0).alias("positive"), ranges.alias("range")), keys)
     g = known.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n")).withColumn("range", range_bucket(known, score))
     before = W.partitionBy(*keys, "range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
     g = g.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(before), F.lit(0)))
@@ -103,6 +108,17 @@ def auc(df: DataFrame, keys: list[str], score: str = "score", label: str = "labe
     return s.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("auc"), F.col("p").alias("positives"), (F.col("p") + F.col("q")).alias("n"))
 
 
+def _auc_of_ranks(df: DataFrame, keys: list[str]) -> DataFrame:
+    group = [*keys, "range"]
+    rank = F.rank().over(W.partitionBy(*group).orderBy("score")) + (F.count("*").over(W.partitionBy(*group, "score")) - 1) / 2
+    part = df.withColumn("rank", rank).groupBy(*group).agg(F.sum(F.when(F.col("positive"), F.col("rank"))).alias("r"), F.count_if("positive").alias("p"), F.count("*").alias("n"))
+    lower = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    part = part.withColumn("r", F.coalesce("r", F.lit(0.0)) + F.col("p") * F.coalesce(F.sum("n").over(lower), F.lit(0)))
+    s = part.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "rpn"]).withColumn("q", F.col("n") - F.col("p"))
+    u = F.col("r") - F.col("p") * (F.col("p") + 1) / 2
+    return s.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), u / (F.col("p") * F.col("q"))).alias("auc"), F.col("p").alias("positives"), "n")
+
+
 def class_distribution(df: DataFrame, column: str, classes: int = 3) -> DataFrame:
     """Count and fraction of each class, zeroes included."""
     dims = df.sparkSession.range(classes).select(F.col("id").cast("int").alias(column))
