@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelrisk.functions import parcels as P
 from parcelrisk.operators import spatial
 from parcelrisk.operators.quantiles import percentiles
+from parcelrisk.sources.scratch import settle
 
 DISTANCES = {"water": "dist_to_water_m", "sanitation": "dist_to_sanitation_m", "road": "dist_to_road_m"}
 FEATURES = ["area_m2", *DISTANCES.values(), "roof_score"]
@@ -17,10 +18,8 @@ def with_distances(parcels: DataFrame, infra: DataFrame, missing: str = "accessi
     """A distance column for each category, from one search."""
     found = spatial.nearest_each(parcels, infra, list(DISTANCES))
     wide = found.groupBy("site_id", "node_id").agg(*[F.min(F.when(F.col("category") == category, F.col("d"))).alias(name) for category, name in DISTANCES.items()])
-    out = parcels.join(wide, ["site_id", "node_id"], "left")
-    for name in DISTANCES.values():
-        out = spatial.impute(out, name, missing)
-    return out
+    out = settle(parcels.join(wide.hint("merge"), ["site_id", "node_id"], "left"))  # read for the largest distances, the cuts and the rows
+    return spatial.impute(out, list(DISTANCES.values()), missing)
 
 
 def enrich(parcels: DataFrame, infra: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ def nearest_each(nodes: DataFrame, infra: DataFrame, categories: list[str], cell
     """site_id, node_id, category and d, the distance to the nearest feature of each category in the same site; no row where the site has none.
 
     All categories are one search, in rounds with cells of growing size, the first by the density of targets in their box: a hit no farther
-    than the cell is final, since the nine cells around a point hold all that is so near. Only unresolved pairs of point and category go on;
-    the last cell is as large as the sites, so all are resolved.
+    than the cell is final, since the nine cells around a point hold all that is so near. Targets are sent to the nine cells around them and
+    points, which are many more, stay in their own. Only unresolved pairs of point and category go on; the last cell is as large as the
+    sites, so all are resolved.
     """
     key = ["site_id", "node_id", "category"]
     targets = infra.filter(F.col("category").isin(*categories)).select("site_id", "category", F.col("x").alias("tx"), F.col("y").alias("ty"))
@@ -32,7 +33,8 @@ def nearest_each(nodes: DataFrame, infra: DataFrame, categories: list[str], cell
     distance = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
     while True:
         last = size >= extent
-        near = neighbouring(grid(todo, size)).join(grid(targets, size, "tx", "ty").hint("merge"), ["site_id", "category", "cx", "cy"]).groupBy(*key).agg(F.min(distance).alias("d"))
+        around = neighbouring(grid(targets, size, "tx", "ty")).drop("own")
+        near = grid(todo, size).join(around.hint("merge"), ["site_id", "category", "cx", "cy"]).groupBy(*key).agg(F.min(distance).alias("d"))
         done = near if last else settle(near.filter(F.col("d") <= size))
         found = done if found is None else found.union(done)
         if last:
@@ -49,12 +51,14 @@ def nearest(nodes: DataFrame, infra: DataFrame, category: str, cell: float | Non
     return nodes.select("site_id", "node_id").join(found, ["site_id", "node_id"], "left")
 
 
-def impute(df: DataFrame, column: str, missing: str = "accessible") -> DataFrame:
-    """Missing distances take the site's largest; a site without any takes 0, or infinity with ``missing="deprived"``."""
+def impute(df: DataFrame, column: str | list[str], missing: str = "accessible") -> DataFrame:
+    """Missing distances take the site's largest; a site without any takes 0, or infinity with ``missing="deprived"``. Several columns take one pass."""
     if missing not in ("accessible", "deprived"):
         raise ValueError(f"unknown rule for missing categories: {missing}")
-    most = df.groupBy("site_id").agg(F.max(column).alias("__most"))
-    return df.join(F.broadcast(most), "site_id").withColumn(column, F.coalesce(column, "__most", F.lit(0.0 if missing == "accessible" else 1e9))).drop("__most")  # a row for each site
+    names = [column] if isinstance(column, str) else column
+    most = df.groupBy("site_id").agg(*[F.max(c).alias(f"__most_{c}") for c in names])
+    filled = {c: F.coalesce(c, f"__most_{c}", F.lit(0.0 if missing == "accessible" else 1e9)) for c in names}
+    return df.join(F.broadcast(most), "site_id").withColumns(filled).drop(*[f"__most_{c}" for c in names])  # a row for each site
 
 
 def sample_pixels(points: DataFrame, pixels: DataFrame, value: str, affine: tuple[float, ...]) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parcelrisk import schema as S
 from parcelrisk.functions import geo, heads, raster
 from parcelrisk.functions import parcels as P
 from parcelrisk.operators import features, graph, metrics, ml, policy, quantiles, raster as rasters, spatial, splits, tiles
@@ -526,3 +527,17 @@ def test_auc_of_ranks_equals_auc_of_counts(spark):
     a, b = (metrics.auc(d, ["k"], ranges=ranges).orderBy("k").collect() for ranges in (None, range_bucket(d, "score")))
     assert a == b
     assert metrics.auc(d, [], ranges=range_bucket(d, "score")).collect() == metrics.auc(d, []).collect()
+
+
+def test_search_sends_targets_around_and_distances_are_worked_out_once(spark, monkeypatch):
+    sent, real = [], spatial.neighbouring
+    monkeypatch.setattr(spatial, "neighbouring", lambda d, *a: sent.append(set(d.columns)) or real(d, *a))
+    parcels = spark.createDataFrame([(0, k, 10.0 * k, 1.0, 20.0, "tin") for k in range(40)] + [(1, 1, 0.0, 0.0, 20.0, None)], S.PARCEL)
+    infra = spark.createDataFrame([(0, 1, "water", 0.0, 1.0), (0, 2, "water", 333.0, 5.0), (1, 3, "road", 3.0, 4.0)], S.INFRA)
+    out = features.with_distances(parcels, infra)
+    assert sent and all("tx" in columns and "node_id" not in columns for columns in sent)
+    assert _plan(out).count("Join") == 1  # the wide table is read, not joined anew for every column
+    got = {(r["site_id"], r["node_id"]): (r["dist_to_water_m"], r["dist_to_road_m"]) for r in out.collect()}
+    assert len(got) == 41 and got[1, 1] == (0.0, 5.0)
+    for k in range(40):
+        assert got[0, k] == (min(10.0 * k, math.hypot(10 * k - 333, 4)), 0.0)
