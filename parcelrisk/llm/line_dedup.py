@@ -1,7 +1,7 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
 A text is cut into lines: at newlines, and inside paragraphs at sentence ends; stretches of more than 200 characters without sentence end
-are cut where their content says so, so that these cuts do not depend on where a stretch begins either. A rolling hash over the hashes of two lines decides
+are cut where their content says so, so that these cuts do not depend on where a stretch begins either, and after 400 characters where it does not. A rolling hash over the hashes of two lines decides
 where boundaries lie, so the same lines are cut alike wherever they stand. Chunks run from one boundary to the next; so that the ends of
 a repeated passage are found too, the shortest chunk of several lines that begins or ends at each boundary counts as well. Chunks that
 occur more than once in the corpus are candidates; their bytes are compared, and all but the first occurrence (by doc_id, then place)
@@ -23,9 +23,14 @@ UNSPACED = "ก-ฆむ-ん一-儿干-彿火-焿言-访아-안"
 
 
 def _pattern(end: str) -> str:
-    """A sentence of up to 200 characters; of a longer stretch the piece up to its first cut after 40 characters, or all of it."""
+    """A sentence of up to 200 characters; of a longer stretch the piece up to its first cut after 40 characters, or its first 400 characters if they hold none."""
     rest = rf"[^{end}\n]"
-    return rf"{rest}{{1,200}}(?:[{end}]+ *\n?|\n|\z)|{rest}{{40,}}?(?:[{LETTERS}]{rest}? |[{UNSPACED}])|{rest}+(?:[{end}]+ *\n?|\n)?|[{end}]+ *\n?|\n"
+    return rf"{rest}{{1,200}}(?:[{end}]+ *\n?|\n|$)|{rest}{{40,400}}?(?:[{LETTERS}]{rest}? |[{UNSPACED}])|{rest}{{1,400}}(?:[{end}]+ *\n?|\n)?|[{end}]+ *\n?|\n"
+
+
+def _in_spark(pattern: str) -> Column:
+    """The same for Java, whose ``$`` also stands before a last carriage return; what a sentence took is not given back, as no shorter piece ends where one may end."""
+    return F.lit(pattern.replace("$", r"\z").replace("{1,200}", "{1,200}+"))
 
 
 LINE, NARROW_LINE = _pattern(".!?" + WIDE), _pattern(".!?")
@@ -41,7 +46,7 @@ def _keys(doc_id: Column, text: Column) -> list[Column]:
 def _lines(text: str = "text") -> Column:
     """The lines of a text. The pattern without wide sentence ends is several times faster, and the same where there are none."""
     wide = F.contains(F.col(text), F.lit(WIDE[0])) | F.contains(F.col(text), F.lit(WIDE[1])) | F.contains(F.col(text), F.lit(WIDE[2]))
-    return F.when(wide, F.regexp_extract_all(F.col(text), F.lit(LINE), F.lit(0))).otherwise(F.regexp_extract_all(F.col(text), F.lit(NARROW_LINE), F.lit(0)))
+    return F.when(wide, F.regexp_extract_all(F.col(text), _in_spark(LINE), F.lit(0))).otherwise(F.regexp_extract_all(F.col(text), _in_spark(NARROW_LINE), F.lit(0)))
 
 
 def _chunk(lines: str, i: str, k: str) -> str:

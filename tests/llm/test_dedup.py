@@ -139,6 +139,19 @@ def test_equal_rows_do_not_multiply_and_names_do_not_clash(spark, docs):
     assert all(out[k]["text"] and out[k]["text"] in t and gone(t, out[k]["text"]) == out[k]["chars_removed"] > 0 for k, t in long)
 
 
+def test_stretches_without_any_cut_are_cut_and_engines_agree_on_lines(docs, spark):
+    import duckdb
+
+    g = random.Random(14)
+    odd = ["word " * 900, "ab" * 700 + "\r", "x" * 200 + "\r", "x" * 200 + "\r\n", "x" * 201 + "\u2028", "end here" + "\r\r", "天" * 900, "了" * 450 + "。" + "了" * 450]
+    odd += ["".join(g.choice("abckmz天 .!。\n\r") for _ in range(600)) for _ in range(40)] + ["".join(g.choice("abcdef ") for _ in range(900)) + g.choice(["", ".", "\n"]) for _ in range(20)]
+    found = {r["doc_id"]: r["lines"] for r in docs(list(enumerate(odd))).select("doc_id", line_dedup._lines().alias("lines")).collect()}
+    for k, t in enumerate(odd):
+        assert found[k] == re.findall(line_dedup.LINE, t) and "".join(found[k]) == t
+        assert max(map(len, found[k])) <= 420
+        assert duckdb.execute("SELECT regexp_extract_all(?, ?)", [t, line_dedup.LINE]).fetchall()[0][0] == found[k]
+
+
 def brute_simhash(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
