@@ -45,13 +45,14 @@ def _keys(doc_id: Column, text: Column) -> list[Column]:
 
 def _lines(text: str = "text") -> Column:
     """The lines of a text. The pattern without wide sentence ends is several times faster, and the same where there are none."""
-    wide = F.contains(F.col(text), F.lit(WIDE[0])) | F.contains(F.col(text), F.lit(WIDE[1])) | F.contains(F.col(text), F.lit(WIDE[2]))
+    t = F.col(text)
+    wide = (F.octet_length(t) > F.length(t)) & (F.contains(t, F.lit(WIDE[0])) | F.contains(t, F.lit(WIDE[1])) | F.contains(t, F.lit(WIDE[2])))
     return F.when(wide, F.regexp_extract_all(F.col(text), _in_spark(LINE), F.lit(0))).otherwise(F.regexp_extract_all(F.col(text), _in_spark(NARROW_LINE), F.lit(0)))
 
 
-def _chunk(lines: str, i: str, k: str) -> str:
-    """k lines from line i on, without white space at the end."""
-    return f"trim(TRAILING '{BLANK}' FROM array_join(slice({lines}, {i} + 1, {k}), ''))"
+def _bare(x: str) -> str:
+    """A line or chunk without spaces and newlines at the end. Trimming of a set looks at every character, that of spaces at the last ones only, and mostly does."""
+    return f"IF(endswith(rtrim({x}), '{BLANK[1:]}'), trim(TRAILING '{BLANK}' FROM {x}), rtrim({x}))"
 
 
 def _shortest(at: str, step: int, most: str, least_chars: int) -> str:
@@ -81,8 +82,8 @@ def chunks(docs: DataFrame, divisor: int, least_chars: int) -> DataFrame:
 
     One line in ``divisor`` ends at a boundary. With 1 all do, and every run of lines that could be a chunk is covered by chunks that do not leave it.
     """
-    d = docs.filter(F.length("text") > 0).select("k1", "k2", _lines().alias("lines")).withColumn("n", F.size("lines"))
-    d = d.withColumn("ends", F.expr(f"transform(lines, x -> trim(TRAILING '{BLANK}' FROM x))"))
+    d = docs.filter("text <> ''").select("k1", "k2", _lines().alias("lines")).withColumn("n", F.size("lines"))
+    d = d.withColumn("ends", F.expr(f"transform(lines, x -> {_bare('x')})"))
     # arrays of their own: fields taken from an array of structs would be taken anew for every element
     # of a number that only counts modulo 2 its last hexadecimal digit is enough
     turn = "array(0L)" if divisor < 2 else "transform(ends, x -> IF(instr('13579bdf', substr(md5(x), 8, 1)) > 0, 1L, 0L))" if divisor == 2 else "transform(ends, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) AS bigint))"
@@ -129,8 +130,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, divisor: int, least_chars:
         scratch.drop(name)
     scratch.free()  # before the texts are shuffled
     met = docs.select("k1", "k2", "text").join(places, ["k1", "k2"]).select("k1", "k2", _lines().alias("lines"), "c")
-    held = f"transform(c, x -> named_struct('i', x.i, 'k', x.k, 'digest', x.digest, 'chunk', {_chunk('lines', 'x.i', 'x.k')}))"
-    met = scratch.write(met.select("k1", "k2", F.expr(f"explode_outer({held})").alias("c")).filter("c IS NOT NULL").select("k1", "k2", "c.*"), "candidates")
+    held = f"transform(c, x -> named_struct('i', x.i, 'k', x.k, 'digest', x.digest, 'chunk', array_join(slice(lines, x.i + 1, x.k), '')))"
+    met = scratch.write(met.select("k1", "k2", F.expr(f"explode_outer({held})").alias("c")).filter("c IS NOT NULL").select("k1", "k2", "c.i", "c.k", "c.digest", F.expr(_bare("c.chunk")).alias("chunk")), "candidates")
     scratch.drop("places")
     scratch.free()
     place = F.struct("k1", "k2", "i")
@@ -175,7 +176,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, least_chars: int = 80) -> Dat
         IF(j = size(cuts), size(lines), cuts[j].from) - IF(j = 0, 0, cuts[j - 1].to)), '')), '')"""
     out = out.select("row", "cuts", F.expr(f"CASE WHEN cuts IS NULL THEN row.text ELSE {kept} END").alias("kept"))
     columns = [(F.col("kept") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
-    removed = F.coalesce(F.length("row.text") - F.length("kept"), F.lit(0)).cast("long")
+    removed = F.when(F.col("cuts").isNull(), 0).otherwise(F.length("row.text") - F.length("kept")).cast("long")
     return out.select(*columns, F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long").alias("chunks_removed"), removed.alias("chars_removed"))
 
 

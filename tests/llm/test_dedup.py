@@ -122,6 +122,14 @@ def test_most_of_what_brute_force_cuts_is_cut(docs):
     assert sum(gone(t, out[k]) for k, t in rows) >= 0.9 * sum(gone(t, want[k]) for k, t in rows)
 
 
+def test_white_space_at_the_end_goes_without_looking_at_every_character(spark):
+    odd = ["", " ", "\n", "a", "a ", "a\n", "a. \n", "a\n \n  ", " \n \n", "a b\n\n", " a", "a\t ", "a\r\n", "ä。 ", "a\n "]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    rows = df.select("x", F.expr(line_dedup._bare("x")).alias("line"), F.expr(f"transform(array(x), y -> {line_dedup._bare('y')})[0]").alias("inside")).collect()
+    assert all(r["line"] == r["inside"] == r["x"].rstrip(" \n") for r in rows) and len(rows) == len(odd)
+    assert "trim(TRAILING" in line_dedup._bare("x") and line_dedup._bare("x").index("endswith(rtrim(x)") < line_dedup._bare("x").index("trim(TRAILING")
+
+
 def test_equal_rows_do_not_multiply_and_names_do_not_clash(spark, docs):
     g = random.Random(13)
     passage = " ".join(sentence(g) for _ in range(6))
