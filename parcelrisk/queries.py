@@ -369,12 +369,14 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {COMP}, z AS (SELECT site_id, component, count(*) AS n FROM comp GROUP BY ALL), y AS (SELECT site_id, count(*) AS components, max(n) AS largest, sum(n) AS nodes FROM z GROUP BY site_id), e AS (SELECT site_id, count(*) AS edges FROM edge GROUP BY site_id), i AS (SELECT p.site_id, count(*) AS isolated FROM parcel p WHERE NOT EXISTS (SELECT 1 FROM both_ways b WHERE b.site_id = p.site_id AND b.src = p.node_id) GROUP BY p.site_id) SELECT site_id, nodes::BIGINT AS nodes, coalesce(edges, 0) AS edges, components, coalesce(isolated, 0) AS isolated, round(largest / nodes, 6) AS largest_share FROM y LEFT JOIN e USING (site_id) LEFT JOIN i USING (site_id)")
 def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = parcel_graph(spark, sf_dir)
+    edges = settle(edges)  # read for the components and after them
     return rounded(graph.integrity(nodes, edges, graph.components(nodes, edges)))
 
 
 @query(f"WITH RECURSIVE {COMP}, big AS (SELECT site_id, component FROM comp GROUP BY ALL HAVING count(*) >= 20) SELECT site_id, node_id, count(b.dst) AS degree FROM comp JOIN big USING (site_id, component) LEFT JOIN both_ways b ON b.site_id = comp.site_id AND b.src = comp.node_id GROUP BY comp.site_id, node_id")
 def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = parcel_graph(spark, sf_dir)
+    edges = settle(edges)  # read for the components and after them
     return graph.degrees(*graph.prune(nodes, edges, graph.components(nodes, edges)))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from parcelrisk.functions import parcels as P
 from parcelrisk.operators import features, graph, metrics, ml, policy, quantiles, raster as rasters, spatial, splits, tiles
 from parcelrisk.operators.numbering import number_within, range_bucket
 from parcelrisk.plans import pipelines
+from parcelrisk.queries import QUERIES
 from parcelrisk.sources import readers
 from parcelrisk.streaming.decisions import HEADS, decide_stream
 
@@ -541,3 +543,10 @@ def test_search_sends_targets_around_and_distances_are_worked_out_once(spark, mo
     assert len(got) == 41 and got[1, 1] == (0.0, 5.0)
     for k in range(40):
         assert got[0, k] == (min(10.0 * k, math.hypot(10 * k - 333, 4)), 0.0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["integrity", "pruned_graph"])
+def test_pairs_are_searched_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cx" not in plan  # the components have met the same pairs before
