@@ -27,9 +27,12 @@ def neighbouring(df: DataFrame, forward: bool = False) -> DataFrame:
 
 
 def proximity_edges(nodes: DataFrame, radius: float | None = None) -> DataFrame:
-    """Undirected pairs of a site at most ``radius`` apart (inclusive); an equi-join on grid cells of that size."""
+    """Undirected pairs of a site at most ``radius`` apart (inclusive); an equi-join on grid cells of that size.
+
+    Nodes are dealt out before each is sent to several cells: a file of one row group is read by one task, which would hold all these rows for the shuffle.
+    """
     r = S.EDGE_M if radius is None else radius
-    n = grid(nodes.select("site_id", "node_id", "x", "y"), max(r, 1e-9))
+    n = grid(nodes.select("site_id", "node_id", "x", "y").repartition("site_id", "node_id"), max(r, 1e-9))
     a = neighbouring(n, forward=True).select("site_id", "cx", "cy", "own", F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = n.select("site_id", "cx", "cy", F.col("node_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")

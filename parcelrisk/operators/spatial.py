@@ -20,7 +20,7 @@ def nearest_each(nodes: DataFrame, infra: DataFrame, categories: list[str], cell
     All categories are one search, in rounds with cells of growing size, the first by the density of targets in their box: a hit no farther
     than the cell is final, since the nine cells around a point hold all that is so near. Targets are sent to the nine cells around them and
     points, which are many more, stay in their own. Only unresolved pairs of point and category go on; the last cell is as large as the
-    sites, so all are resolved.
+    sites, so all are resolved. Points are dealt out before they get a row for each category, as one task may read them all.
     """
     key = ["site_id", "node_id", "category"]
     targets = infra.filter(F.col("category").isin(*categories)).select("site_id", "category", F.col("x").alias("tx"), F.col("y").alias("ty"))
@@ -29,7 +29,7 @@ def nearest_each(nodes: DataFrame, infra: DataFrame, categories: list[str], cell
     extent = math.hypot(wide, high)
     size = cell or max(math.sqrt(wide * high / share), extent / share, extent * 1e-6, 1e-9)
     there = targets.select("site_id", "category").distinct()  # a row for each site and category: pairs without any target never start
-    todo, found = nodes.select("site_id", "node_id", "x", "y").join(F.broadcast(there), "site_id"), None
+    todo, found = nodes.select("site_id", "node_id", "x", "y").repartition("site_id", "node_id").join(F.broadcast(there), "site_id"), None
     distance = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
     while True:
         last = size >= extent

@@ -550,3 +550,15 @@ def test_search_sends_targets_around_and_distances_are_worked_out_once(spark, mo
 def test_pairs_are_searched_once(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "cx" not in plan  # the components have met the same pairs before
+
+
+def test_nodes_are_dealt_out_before_they_are_multiplied(spark, monkeypatch):
+    nodes = spark.createDataFrame([(0, k, 10.0 * k, 0.0) for k in range(40)], NODE)
+    dealt = "REPARTITION_BY_COL"
+    assert dealt in _plan(graph.proximity_edges(nodes)).partition("Generate")[2]  # lower in the tree
+    todo, grid = [], spatial.grid
+    monkeypatch.setattr(spatial, "grid", lambda df, *a: todo.append(df) or grid(df, *a))
+    infra = spark.createDataFrame([(0, 1, "water", 0.0, 1.0)], "site_id int, infra_id long, category string, x double, y double")
+    assert spatial.nearest_each(nodes, infra, ["water"]).count() == 40
+    first = next(d for d in todo if "node_id" in d.columns)
+    assert dealt in _plan(first).partition("Join")[2]
