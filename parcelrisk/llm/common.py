@@ -49,9 +49,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options: object) -> DataFrame:
         schema = df.schema
-        df.write.parquet(self.path(name))
+        df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def free(self) -> None:

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelrisk.llm.common import Scratch
 from parcelrisk.llm.components import connected_components
@@ -21,7 +22,7 @@ from parcelrisk.llm.components import connected_components
 BLOCK = "block int, rows int, width int, row_ids binary, vec_ids binary, missing binary, codes binary, scales binary, errors binary, exact binary"
 TILE_OUT = "a long, b long, links long"
 EXACT_WIDTH = 1040  # 1040 x 127 x 127 < 2^24
-ROUNDING = 1e-9  # far above what double precision loses
+ROUNDING = 1e-6  # far above what single precision loses
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,18 +45,20 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def pack_block(group: pd.DataFrame) -> pd.DataFrame:
-    x = unit_rows(np.array(group["embedding"].tolist(), np.float64))
+    given = np.stack(group["embedding"].to_list())
+    x = unit_rows(given.astype(np.float64))
     codes, scale, error = quantise(x)
     block = int(group["block"].iloc[0])
     row_ids = (block << 24) + np.arange(len(group), dtype=np.int64)
     ids = group["vec_id"]
-    return pd.DataFrame([[block, len(group), x.shape[1], row_ids.tobytes(), ids.fillna(0).to_numpy(np.int64).tobytes(), ids.isna().to_numpy().tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes(), x.tobytes()]], columns=[c.split()[0] for c in BLOCK.split(", ")])
+    return pd.DataFrame([[block, len(group), x.shape[1], row_ids.tobytes(), ids.fillna(0).to_numpy(np.int64).tobytes(), ids.isna().to_numpy().tobytes(), codes.tobytes(), scale.tobytes(), error.tobytes(), given.tobytes()]], columns=[c.split()[0] for c in BLOCK.split(", ")])
 
 
-def _matrices(row: pd.Series) -> tuple[np.ndarray, ...]:
-    n, d = row["rows"], row["width"]
-    codes = np.frombuffer(row["codes"], np.int8).reshape(n, d)
-    return np.frombuffer(row["row_ids"], np.int64), codes, np.frombuffer(row["scales"]), np.frombuffer(row["errors"]), np.frombuffer(row["exact"]).reshape(n, d)
+def _matrices(row: dict, side: str) -> tuple[np.ndarray, ...]:
+    n, d = row[f"rows_{side}"], row[f"width_{side}"]
+    codes, exact = np.frombuffer(row[f"codes_{side}"], np.int8).reshape(n, d), row[f"exact_{side}"]
+    given = np.frombuffer(exact, np.float32 if len(exact) == 4 * n * d else np.float64).reshape(n, d)
+    return np.frombuffer(row[f"row_ids_{side}"], np.int64), codes, np.frombuffer(row[f"scales_{side}"]), np.frombuffer(row[f"errors_{side}"]), unit_rows(given.astype(np.float64))
 
 
 def merge_labels(label: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -71,20 +74,35 @@ def merge_labels(label: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
             label = jump
 
 
-def link_tile(group: pd.DataFrame, threshold: float, rows: int = 512) -> pd.DataFrame:
+def block_pairs(packed: DataFrame) -> DataFrame:
+    """Every two blocks of one width side by side, once, and each beside itself.
+
+    A cartesian product reads the blocks again for each of its tasks instead of shuffling a copy of each block for every other one.
+    Of two blocks the lower is the left one if their numbers differ by an odd number, else the right one, so all tasks get like shares.
+    """
+    left, right = (packed.select(*[F.col(c).alias(f"{c}_{side}") for c in packed.columns]) for side in "xy")
+    once = (F.col("block_x") < F.col("block_y")) == ((F.col("block_x") + F.col("block_y")) % 2 == 1)
+    return left.hint("shuffle_replicate_nl").join(right, (F.col("width_x") == F.col("width_y")) & once)
+
+
+def link_tile(row: dict, threshold: float, rows: int = 128) -> pd.DataFrame:
     """All links between two blocks (or inside one): how many each vector has, and a star for each group they form."""
-    parts = [_matrices(row) for _, row in group.sort_values("block").iterrows()]
-    same = len(parts) == 1
-    (ids_x, qx, sx, ex, x), (ids_y, qy, sy, ey, y) = parts[0], parts[-1]
+    same = row["block_x"] == row["block_y"]
+    ids_x, qx, sx, ex, x = _matrices(row, "x")
+    ids_y, qy, sy, ey, y = _matrices(row, "y")
     nx, ny = len(ids_x), len(ids_y)
     ids = ids_x if same else np.r_[ids_x, ids_y]
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
     shift = 0 if same else nx
+    enough = ((threshold - ROUNDING - ex - (1 + ex) * ey.max()) / sx).astype(np.float32)[:, None]  # in any case, by the largest error of the other block
+    scale = sy.astype(np.float32)
     for lo in range(0, nx, rows):
-        part = slice(lo, lo + rows)
-        bound = code_products(qx[part], qy) * (sx[part, None] * sy) + ex[part, None] + (1 + ex[part, None]) * ey
-        r, c = np.divmod(np.flatnonzero(bound >= threshold - ROUNDING), ny)
-        r += lo
+        product = code_products(qx[lo : lo + rows], qy)
+        product *= scale
+        r, c = np.divmod(np.flatnonzero(product >= enough[lo : lo + rows]), ny)
+        product, r = product[r, c], r + lo
+        bound = product * sx[r] + ex[r] + (1 + ex[r]) * ey[c] >= threshold - ROUNDING
+        r, c = r[bound], c[bound]
         if same:
             r, c = r[r < c], c[r < c]
         for at in range(0, len(r), 50_000):
@@ -107,11 +125,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int
     reach, kept is vec_id = component_id. Vectors that are null, empty, zero, or hold null or non-finite components, link with
     nothing. Vectors of different widths never link. Rows that repeat a vec_id count as rows of their own; a
     row without vec_id is never the smallest unless all of its component are. Rows are dealt round-robin into blocks of
-    ``block_rows``; every two blocks meet in one task, which hands on counts and stars, never pairs. Shuffled bytes grow with
-    rows^2 / block_rows, work with rows^2.
+    ``block_rows``, which are written once, a file each; every two blocks meet in one task, which hands on counts and stars, never
+    pairs. Shuffled and written bytes grow with the rows, work with rows^2.
     """
     scratch = Scratch(vectors.sparkSession, "embeddings")
-    all_rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    all_rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>"))
     fine = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity')) AND exists(embedding, c -> c <> 0)")
     good = all_rows.filter(F.coalesce(fine, F.lit(False))).withColumn("width", F.size("embedding"))
     widths = {r["width"]: r["count"] for r in good.groupBy("width").count().collect()}  # a row for each width
@@ -122,12 +141,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int
         spans[width] = (at, at := at + -(-n // block_rows))
     number = F.monotonically_increasing_id()
     block = F.coalesce(*[F.when(F.col("width") == w, number % (hi - lo) + lo) for w, (lo, hi) in spans.items()]).cast("int")
-    packed = scratch.write(good.withColumn("block", block).groupBy("block").applyInPandas(pack_block, BLOCK), "blocks")
-    reach = F.create_map(*[F.lit(v) for w, (lo, hi) in spans.items() for v in (w, F.array(F.lit(lo), F.lit(hi - 1)))])
-    sides = packed.withColumn("reach", reach[F.col("width")]).withColumn("other", F.explode(F.sequence(F.col("reach")[0], F.col("reach")[1])))
-    sides = sides.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("reach", "other", "vec_ids", "missing")
-    tiles = sides.groupBy("i", "j").applyInPandas(lambda g: link_tile(g, threshold), TILE_OUT)
-    found = scratch.write(tiles, "links")
+    packed = scratch.write(good.withColumn("block", block).groupBy("block").applyInPandas(pack_block, BLOCK), "blocks", maxRecordsPerFile=1)
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.to_dict("records"):
+                yield link_tile(row, threshold)
+
+    found = scratch.write(block_pairs(packed.drop("vec_ids", "missing")).mapInPandas(link, TILE_OUT), "links")
     counts = found.filter("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("n_links"))
     roots = connected_components(found.filter("b IS NOT NULL").select("a", "b"), scratch)
 

@@ -237,6 +237,29 @@ def test_quantised_bound_never_misses():
     assert (np.abs(approx - u @ u.T) <= error[:, None] + error[None, :] + error[:, None] * error[None, :] + 1e-12).all()
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_blocks_meet_without_a_copy_for_each_other_block(spark):
+    """40 blocks, vectors of small and of large errors: shuffles hold the vectors a few times at most, and no link is missed."""
+    g = np.random.default_rng(8)
+    u = g.normal(size=(500, 64)) ** np.repeat([1, 9], 250)[:, None]
+    u = np.concatenate([u, u + 0.04 * g.normal(size=u.shape) * np.linalg.norm(u, axis=1)[:, None]]).astype(np.float32)
+    x = u / np.linalg.norm(u.astype(np.float64), axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert 100 < near.sum() and 0 < (~near.any(1)).sum()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(u)], "vec_id long, embedding array<float>")
+    before = shuffled_bytes(spark)
+    out = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, block_rows=25).collect()}
+    assert shuffled_bytes(spark) - before < 5 * u.nbytes
+    assert out == dict(enumerate(near.sum(1)))
+
+
 def test_products_of_codes_are_exact_and_lengths_do_not_overflow(spark):
     g = np.random.default_rng(7)
     for d in (3, 1040, 2500):
